@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, simhash
+from . import bpe, chat, langid, packing, quality, simhash
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs, ~held_out)
+    out = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode_documents(docs, WORD_BPE).select("doc_id", "ids")
@@ -54,6 +62,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_chat, op5_quality, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op9_packing)}
 
 SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql()}
