@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, simhash
+from . import bpe, chat, langid, packing, quality, simhash, toxicity
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    out = toxicity.score_documents(docs.withColumn("held_out", held_out), model)
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op9_packing, op10_toxicity)}
 
 SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql()}
