@@ -108,39 +108,37 @@ class WordBpe:
         """A chunk normalised (composed, lower case letter by letter) and split by the vocabulary's pattern."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return self.pattern.findall(chunk.lower())
+        chunk = chunk.lower()
+        return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks = {}
+    def ids_of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         if self.merge == "library":
-            new = list(chunks)
-            encodings = self.library.encode_batch_fast(new, add_special_tokens=False)
-            self.chunks.update([(c, array("I", e.ids).tobytes()) for c, e in zip(new, encodings, strict=True)])
-            return
-        if len(self.pieces) > CACHE_ENTRIES // 2:
-            self.pieces = {}
+            encodings = self.library.encode_batch_fast(pieces, add_special_tokens=False)
+            return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, encodings, strict=True)}
+        return {p: array("I", self.merged(p)).tobytes() for p in pieces}
+
+    def ids_of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks. Caches take what comes first, which is what is frequent, and then stay as they are."""
         split = [(c, self.pieces_of(c)) for c in chunks]
-        pieces = self.pieces
-        for c, ps in split:
-            for p in ps:
-                if p not in pieces:
-                    pieces[p] = array("I", self.merged(p)).tobytes()
-            self.chunks[c] = b"".join([pieces[p] for p in ps])
+        known = self.pieces
+        found = self.ids_of_pieces(list({p for _, ps in split for p in ps if p not in known}))
+        if len(known) < CACHE_ENTRIES // 2:
+            known.update(found)
+            found = known
+        look = lambda p: found[p] if p in found else known[p]
+        return {c: look(ps[0]) if len(ps) == 1 else b"".join([look(p) for p in ps]) for c, ps in split}
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Texts without special tokens to little-endian 32-bit ids."""
         cut = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
         known = self.chunks
-        new = {c for cs in cut for c in cs if c not in known}
+        new = set().union(*cut) - known.keys()
         if new:
-            held = len(known)
-            self.learn(new)
-            if len(self.chunks) < held:  # the cache has been emptied: learn what this batch needs from it again
-                self.learn({c for cs in cut for c in cs if c not in self.chunks})
-            known = self.chunks
-        return [b"".join([known[c] for c in cs]) for cs in cut]
+            found = self.ids_of_chunks(new)
+            if len(known) >= CACHE_ENTRIES:
+                return [b"".join([known[c] if c in known else found[c] for c in cs]) for cs in cut]
+            known.update(found)
+        return [b"".join(map(known.__getitem__, cs)) for cs in cut]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Texts to little-endian 32-bit ids; special tokens inside a text are cut out before anything else."""
