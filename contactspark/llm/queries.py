@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, secrets, simhash, toxicity
+from . import bpe, chat, langid, packing, quality, secrets, simhash, suffix, toxicity
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
@@ -77,6 +88,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op8_secrets, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op7_suffix, op8_secrets, op9_packing, op10_toxicity)}
 
 SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql(), "op8_secrets": secrets.sql()}
