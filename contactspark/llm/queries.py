@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, secrets, simhash, suffix, toxicity
+from . import bpe, chat, hamming, langid, packing, quality, secrets, simhash, suffix, toxicity
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where("vec_id % 100 = 0"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -88,6 +93,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op7_suffix, op8_secrets, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op6_hamming, op7_suffix, op8_secrets, op9_packing, op10_toxicity)}
 
-SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql(), "op8_secrets": secrets.sql()}
+SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql(), "op6_hamming": hamming.SQL, "op8_secrets": secrets.sql()}

@@ -1,20 +1,66 @@
-"""A corpus from raw documents to packed training sequences, one operator a stage."""
+"""A corpus from raw documents to packed training sequences, one operator a stage.
+
+Each stage takes the documents that its predecessor kept and returns documents (doc_id, text, lang,
+source, n_chars); the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contactspark.llm import packing, quality, secrets, simhash, suffix
 from contactspark.llm.common import stored, table
+from contactspark.llm.queries import WORD_BPE
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_text(docs: DataFrame, text) -> DataFrame:
+    """Documents with another text and its length in characters."""
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    return quality.judge(docs).where("kept").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates."""
+    first = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(first.hint("shuffle_hash"), F.expr("doc_id <=> first"), "left_semi").select(COLUMNS)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages; bytes of a character cut in half go, and so do documents without a word left."""
+    cut = suffix.remove_repeats(docs.select(COLUMNS))
+    whole = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    cut = with_text(cut, whole)
+    return cut.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked."""
+    found = secrets.scan(docs)
+    return with_text(found, secrets.redacted(F.col("text"), F.col("secret_spans")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, WORD_BPE)
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("repeat removal", repeat_removal), ("secret scan", secret_scan), ("packing", packed)]
 
+#: Fingerprints, repeats and token ids are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, on the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage{k}")
