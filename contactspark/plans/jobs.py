@@ -1,10 +1,226 @@
-"""Jobs made of the operators."""
+"""Jobs made of the operators: detection, training samples, evaluation, and the conversion of call lists.
+
+Detections stay in chromosome bins (chrom1_idx, chrom2_idx, x, y) from stage to stage; genome positions
+are made at the end. `stored` writes a stage's detections and reads them back, which cuts the lineage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import coords, values
+from ..functions.common import bounded, floor_div
+from ..operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
+from ..sources.writers import read_stage, write_stage
+
+Scorer = Callable[[np.ndarray], np.ndarray]
+POINT = ["chrom1_idx", "chrom2_idx", "x", "y"]
 
 
 def attach_labels(refined: DataFrame, classified: DataFrame, key: str = "det_id") -> DataFrame:
     """Refined detections with their class label; detections without a class keep a null."""
     return refined.join(classified.select(key, "label"), key, "left")
+
+
+def stored(df: DataFrame, path: str | None, stage: str) -> DataFrame:
+    """df, written as a stage and read back if there is a path."""
+    if not path:
+        return df
+    write_stage(df, path, stage)
+    return read_stage(df.sparkSession, path, stage).select(df.columns)
+
+
+def genome_cells(pixels: DataFrame, chromsizes: DataFrame, res: int) -> DataFrame:
+    """Counts by genome bins g1 <= g2; two cells may fall on one pair of genome bins."""
+    c = coords.chrom_to_genome_pair(pixels, chromsizes, res, "bin1", "bin2")
+    return c.groupBy("sample", F.least("genome_x", "genome_y").alias("g1"), F.greatest("genome_x", "genome_y").alias("g2")).agg(F.sum("count").alias("count"))
+
+
+def scan_diagonal(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int = 48, step: int = 24, centre: int = 4) -> DataFrame:
+    """Windows along the diagonal of the whole genome, scored by the contrast of the two samples' log-ratio:
+    window, chrom_idx, local_bin (of the window's centre) and score above a half.
+
+    Cells farther from the diagonal than a window go before the samples are joined.
+    """
+    near = genome_cells(pixels, chromsizes, res).where(F.col("g2") - F.col("g1") < size)
+    side = lambda s, c: near.where(F.col("sample") == s).select("g1", "g2", F.col("count").alias(c))
+    both = side("test", "a").join(side("clean", "b"), ["g1", "g2"]).withColumn("value", values.log_ratio_masked(F.col("a"), F.col("b")))
+    n = sampling.genome_length(chromsizes) // res
+    cut = windows.diagonal_windows(both, n, size, step, "g1", "g2").select("window", "start", (F.col("g1") - F.col("start")).alias("dx"), (F.col("g2") - F.col("start")).alias("dy"), "value")
+    cut = cut.union(cut.where("dx <> dy").select("window", "start", "dy", "dx", "value"))
+    scored = scoring.contrast_of_windows(cut, size, centre, ("window", "start")).where(values.threshold(F.col("score")))
+    return coords.genome_to_chrom(scored.withColumn("x", F.col("start") + size // 2), chromsizes, "x", res).select("window", "chrom_idx", "local_bin", "score")
+
+
+def log_cells(pixels: DataFrame, base: float) -> DataFrame:
+    """The test sample's cells in both triangles, value the logarithm of the count."""
+    test = maps.symmetric(pixels.where("sample = 'test'"))
+    return test.withColumn("value", values.log_value(F.col("count"), base))
+
+
+def ratio_cells(pixels: DataFrame, chromsizes: DataFrame, res: int) -> DataFrame:
+    """Log-ratios of the samples scaled over each pair of chromosomes, both triangles, value."""
+    n = bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n")))
+    v = maps.pair_samples(pixels).withColumn("value", values.log_ratio_masked(F.col("a"), F.col("b")))
+    for k in ("1", "2"):
+        v = v.join(n.select(F.col("chrom_idx").alias(f"chrom{k}_idx"), F.col("n").alias(f"n{k}")), f"chrom{k}_idx")
+    scaled = normalize.minmax_scale(v.withColumn("cells", F.col("n1") * F.col("n2")), ["chrom1_idx", "chrom2_idx"], "cells")
+    return maps.symmetric(scaled.where("scaled is not null").select(*maps.CELL, F.col("scaled").alias("value")))
+
+
+def score_points(cells: DataFrame, points: DataFrame, size: int, scorer: Scorer, blur: bool = True) -> DataFrame:
+    """points with the score of the window around each; points whose window has no cell are left out."""
+    corner = windows.centre_to_corner(points.select(*POINT).distinct(), size)
+    dense = scoring.densify(windows.cut_windows(cells, corner, size, keep=tuple(POINT)), size, tuple(POINT))
+    fn = (lambda s: scorer(scoring.blur3(s))) if blur else scorer
+    found = scoring.score_patches(dense, fn, size).drop("values")
+    return found.withColumns({"x": F.col("x") + size // 2, "y": F.col("y") + size // 2})
+
+
+def detect_svs(
+    pixels: dict[int, DataFrame], chromsizes: DataFrame, scorer: Scorer, classifier: Scorer, size: int = 48, class_size: int = 24, resolutions: tuple[int, int, int] = (50_000, 10_000, 5_000),
+    fine: int | None = None, cutoff: float = 0.95, stage_path: str | None = None,
+) -> DataFrame:
+    """bp_1, bp_2, label of structural variations, from coarse to fine.
+
+    pixels: by resolution, with both samples. scorer gives a number for each patch, classifier five. Stages: scan of
+    the diagonal, thinned anchors, pairs of anchors at the coarse resolution, refinement, chains into boxes, windows of each
+    box, refinement, the largest count of each box, class, and recentring on a finer map if there is one.
+    """
+    coarse, middle, small = resolutions
+    ratio = coarse // middle
+    anchors = scan_diagonal(pixels[middle], chromsizes, middle, size, size // 2).select("chrom_idx", F.col("local_bin").alias("x"))
+    anchors = stored(cluster.thin_anchors(anchors, size, ["chrom_idx"]), stage_path, "anchors")
+    pairs = windows.cross_anchors(anchors, size).withColumns({"x": floor_div(F.col("x"), ratio), "y": floor_div(F.col("y"), ratio)}).distinct()
+    found = score_points(ratio_cells(pixels[coarse], chromsizes, coarse), pairs, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    found = stored(found, stage_path, "pairs")
+
+    fine_cells = log_cells(pixels[small], 10)
+    grid = windows.filter_inside(windows.refine_grid(found, size, coarse, size, small), chromsizes, size, small)
+    refined = score_points(fine_cells, grid, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    refined = stored(refined, stage_path, "refined")
+
+    half = middle // small
+    points = refined.withColumns({"x": floor_div(F.col("x"), half), "y": floor_div(F.col("y"), half)}).distinct()
+    keys = ["chrom1_idx", "chrom2_idx"]
+    boxes = cluster.chain_groups(points, size, keys).withColumn("box_id", F.struct(*keys, "chain"))
+    inner = windows.box_windows(boxes, size).select("box_id.chrom1_idx", "box_id.chrom2_idx", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    sure = score_points(log_cells(pixels[middle], 10), inner, size, scorer).where(values.threshold(F.col("score"), "cutoff", cutoff)).select(*POINT)
+    grid = windows.filter_inside(windows.refine_grid(sure, size, middle, size, small), chromsizes, size, small)
+    last = score_points(fine_cells, grid, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    last = stored(last, stage_path, "boxes")
+
+    boxes = cluster.chain_groups(last, class_size, keys).withColumn("box_id", F.struct(*keys, "chain"))
+    raw = maps.symmetric(pixels[small].where("sample = 'test'")).withColumn("value", F.col("count").cast("double"))
+    held = windows.box_cells(raw, boxes).join(boxes.select("box_id", "x0", "y0"), "box_id")
+    best = cluster.patch_argmax(held.select("box_id", (F.col("bin1") - F.col("x0")).alias("dx"), (F.col("bin2") - F.col("y0")).alias("dy"), "value"), ["box_id"])
+    det = best.join(boxes.select("box_id", "x0", "y0"), "box_id").select("box_id.chrom1_idx", "box_id.chrom2_idx", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y")).distinct()
+    det = stored(det.withColumn("det_id", F.xxhash64(*POINT)), stage_path, "best")
+
+    at = det.select("det_id", "chrom1_idx", "chrom2_idx", floor_div(F.col("x"), half).alias("x"), floor_div(F.col("y"), half).alias("y"))
+    cut = windows.cut_windows(log_cells(pixels[middle], 2), windows.centre_to_corner(windows.filter_margin(at, class_size), class_size), class_size, keep=("det_id",))
+    classes = scoring.classify_patches(scoring.densify(cut, class_size, ("det_id",)), lambda s: classifier(scoring.blur3(s)), class_size)
+    res = small
+    if fine:
+        res, k, wide = fine, small // fine, 120
+        det = det.withColumns({"x": F.col("x") * k, "y": F.col("y") * k})
+        raw = maps.symmetric(pixels[fine].where("sample = 'test'")).withColumn("value", F.col("count").cast("double"))
+        moves = cluster.recentre(windows.cut_windows(raw, windows.centre_to_corner(det, wide), wide, keep=("det_id",)), wide, ["det_id"])
+        det = det.join(moves, "det_id", "left").withColumns({"x": F.col("x") + F.coalesce("move_x", F.lit(0)), "y": F.col("y") + F.coalesce("move_y", F.lit(0))})
+    o = coords.chrom_offsets(chromsizes).select("chrom_idx", "start")
+    for k, c in (("1", "x"), ("2", "y")):
+        det = det.join(bounded(o.select(F.col("chrom_idx").alias(f"chrom{k}_idx"), F.col("start").alias(f"o{k}"))), f"chrom{k}_idx").withColumn(f"bp_{k}", F.col(c) * res + F.col(f"o{k}"))
+    return attach_labels(det, classes).select("bp_1", "bp_2", "label")
+
+
+def build_training_set(calls_: DataFrame, pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal", norm: str = "masked") -> DataFrame:
+    """Patches around calls and as many negatives: call_id, is_sv, which, label_idx, values. Windows are clamped to the map.
+
+    norm: masked or raw_log, the log-ratio of the samples, scaled over each pair of chromosomes or as it is.
+    """
+    pad = size // 2
+    named = calls_.select("call_id", "chrom_idx", "start", "end", "label")
+    both = sampling.union_samples(named, sampling.negatives_per_call(calls_, chromsizes, size, res))
+    n = bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n")))
+    centres = windows.endpoint_windows(both, kind).withColumns({"x": floor_div(F.col("x"), res), "y": floor_div(F.col("y"), res)})
+    centres = sampling.jitter(centres, pad // 2).join(n, "chrom_idx").withColumn("p", windows.clamp_to_map(F.col("x"), F.col("y"), pad, F.col("n")))
+    keys = ("call_id", "is_sv", "which", "label_idx")
+    w = centres.select("call_id", "is_sv", "which", values.label_to_index(F.col("label")).alias("label_idx"), F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "p.x", "p.y")
+    if norm == "raw_log":
+        cells = maps.symmetric(calls.call_log_ratios(maps.pair_samples(pixels)).select(*maps.CELL, "value"))
+    else:
+        cells = ratio_cells(pixels, chromsizes, res)
+    return scoring.densify(windows.cut_windows(cells, windows.centre_to_corner(w, size), size, keep=keys), size, keys)
+
+
+def evaluate_calls(results: DataFrame, answers: DataFrame, chromsizes: DataFrame, res: int, tol: int, least: int = 10_000, crossed: bool = True) -> DataFrame:
+    """Precision, recall and F1 of results (bp_1, bp_2) against answers (chrom_idx, start, end)."""
+    kept = calls.filter_eval_results(results.select("result_id", "bp_1", "bp_2"), coords.chrom_offsets(chromsizes), least=least)
+    once = kept.join(calls.drop_all_duplicates(kept.select("bp_1", "bp_2")), ["bp_1", "bp_2"])
+    binned = once.withColumns({"bp_1": floor_div(F.col("bp_1"), res), "bp_2": floor_div(F.col("bp_2"), res)})
+    truth = sampling.call_bins(answers, chromsizes, res).select(F.col("x").alias("bp_1"), F.col("y").alias("bp_2"))
+    return evaluate.call_scores(evaluate.match_calls(binned, truth, tol, crossed), truth)
+
+
+def filter_real_svs(svs: DataFrame, pixels: DataFrame, res: int, size: int, block: tuple[int, int], whole: float = 0.2, centre: float = 0.4) -> DataFrame:
+    """Calls (call_id, hap, chrom_idx, start, end) long enough and with signal in the patch of the two samples: call_id, chrom, start, end, whole, centre."""
+    named = svs.withColumns({"chrom": values.strip_haplotype(F.col("hap")), "start_bin": floor_div(F.col("start"), res), "end_bin": floor_div(F.col("end"), res)})
+    kept = calls.filter_span(named)
+    at = windows.centre_to_corner(kept.select(F.col("call_id").alias("patch_id"), F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), F.col("start_bin").alias("x"), F.col("end_bin").alias("y")), size)
+    side = lambda s: windows.cut_windows(maps.symmetric(pixels.where(F.col("sample") == s)).withColumn("value", F.col("count")), at, size)
+    pairs = side("test").withColumnRenamed("value", "a").join(side("clean").withColumnRenamed("value", "b"), ["patch_id", "dx", "dy"], "full")
+    good = calls.filter_signal(pairs, size, block, whole, centre)
+    return kept.join(good.withColumnRenamed("patch_id", "call_id"), "call_id").select("call_id", "chrom", "start", "end", "whole", "centre")
+
+
+def merge_vcf_svs(vcf: DataFrame, bin_size: int = 5000, gap: int = 50_000, least: int = 5000) -> DataFrame:
+    return calls.merge_vcf(calls.vcf_bin_sums(vcf, bin_size), gap, least)
+
+
+def results_to_chrom(results: DataFrame, chromsizes: DataFrame) -> DataFrame:
+    return coords.bp_to_chrom_exclusive(results, chromsizes, {"bp_1": ("chrom_x", "coord_x"), "bp_2": ("chrom_y", "coord_y")})
+
+
+def two_step_scan(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, dist: int, scorer: Scorer, step: int = 1, stage_path: str | None = None) -> DataFrame:
+    """Every diagonal position of each chromosome, then the pairs of those found, then near ones merged: chrom1_idx, chrom2_idx, x, y, members."""
+    cells = log_cells(pixels, 10)
+    spots = chromsizes.where(F.expr(f"length div {res} >= {size}")).withColumn("x", F.explode(F.expr(f"sequence({size // 2}L, length div {res} - {size // 2}, {step}L)")))
+    spots = spots.select(F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "x", F.col("x").alias("y"))
+    first = score_points(cells, spots, size, scorer).where(values.threshold(F.col("score")))
+    anchors = stored(first.select(F.col("chrom1_idx").alias("chrom_idx"), "x"), stage_path, "spots")
+    pairs = windows.cross_anchors(anchors, size)
+    second = score_points(cells, pairs, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    return cluster.merge_near_points(second, dist, ["chrom1_idx", "chrom2_idx"]).drop("chain")
+
+
+def expected_curve(table: DataFrame, keys: list[str], **smoothing) -> DataFrame:
+    """keys, dist, smooth: log of the expected value, cut at the first bad one, smoothed, and never rising."""
+    curve = expected.truncate_at_first_bad(expected.expected_by_distance(table, keys), keys)
+    return expected.running_min(expected.smooth_expected(curve, keys, **smoothing), keys, "smooth")
+
+
+def crops_for_calls(results: DataFrame, pixels: DataFrame, chromsizes: DataFrame, chrom: int, res: int, size: int) -> DataFrame:
+    """log2(count + 1) around the calls of one chromosome: result_id, dx, dy, value."""
+    points = coords.points_for_chrom_pair(results, chromsizes, chrom, chrom, res)
+    cells = maps.symmetric(pixels.where("sample = 'test'")).withColumn("value", values.log_value(F.col("count"), 2, 1))
+    return windows.cut_windows(cells, windows.centre_to_corner(points, size), size, keep=("result_id",))
+
+
+def score_model(pred: DataFrame) -> DataFrame:
+    """One row: the confusion counts, accuracy, macro F1 and F0.5, and the loss of a table of y_true, y_pred and score."""
+    one = evaluate.confusion(pred)
+    parts = (evaluate.macro_scores(pred).withColumnRenamed("macro_f", "macro_f1"), evaluate.macro_scores(pred, 0.5).withColumnRenamed("macro_f", "macro_f05"), evaluate.log_loss(pred))
+    for p in parts:
+        one = one.crossJoin(F.broadcast(p))  # one row each
+    return one
+
+
+def windows_or_zero(cells: DataFrame, anchors: DataFrame, n: int, size: int) -> DataFrame:
+    """Dense windows (patch_id, values); one that crosses the map's end is all zeros, as is one without cells."""
+    inside = anchors.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + size <= n) & (F.col("y") + size <= n))
+    dense = scoring.densify(windows.cut_windows(cells, inside, size), size)
+    return anchors.select("patch_id").join(dense, "patch_id", "left").withColumn("values", F.coalesce("values", F.array_repeat(F.lit(0.0), size * size)))

@@ -1,0 +1,125 @@
+"""The registered queries of the jobs."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from .. import queries as Q
+from ..fixtures import cells, chromsizes, pixels, view
+from ..operators import scoring, windows
+from ..queries import query
+from . import jobs
+
+SLICE = f"""select w as "window", o.chrom_idx, case when o.chrom_idx = 0 then x else (x * 10000 - o.start) // 10000 end::bigint as local_bin, score from (
+select w, start + 4 as x, round(1 / (1 + exp(-2 * (m / 16 - s / 64) / nullif(hi - lo, 0))), 6) as score from (
+select w, start, sum(v) as s, coalesce(sum(v) filter (where dx between 2 and 5 and dy between 2 and 5), 0) as m, least(min(v), case when count(*) < 64 then 0 else 1e9 end) as lo, greatest(max(v), case when count(*) < 64 then 0 else -1e9 end) as hi from (
+with gc as (select sample, least(g1, g2) as g1, greatest(g1, g2) as g2, sum(count) as c from {Q.GENOME_CELLS} group by 1, 2, 3),
+p as (select g1, g2, log10(t.c) - log10(k.c) + 1e-6 as v from (select * from gc where sample = 'test') t join (select * from gc where sample = 'clean') k using (g1, g2) where g2 - g1 < 8),
+d as (select i as w, least(i * 4, {Q.N_GENOME} - 8) as start, g1, g2, v from p, range(0, (select {Q.N_GENOME} // 4)) z(i) where least(i * 4, {Q.N_GENOME} - 8) <= g1 and g2 < least(i * 4, {Q.N_GENOME} - 8) + 8)
+select w, start, g1 - start as dx, g2 - start as dy, v from d union all select w, start, g2 - start, g1 - start, v from d where g1 <> g2)
+group by w, start)) join fx_offsets o on x * 10000 <= o.stop and (x * 10000 > o.start or o.chrom_idx = 0) where score > 0.5"""
+
+
+@query(SLICE)
+def job2_scan_diagonal(spark, sf):
+    found = jobs.scan_diagonal(pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8, 4)
+    return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
+
+
+def _corner_classes(stack):
+    """Five numbers for a patch: its mean, and the means of its four corners."""
+    h = stack.shape[1] // 2
+    parts = [stack] + [stack[:, a : a + h, b : b + h] for a in (0, h) for b in (0, h)]
+    return np.stack([p.mean(axis=(1, 2)) for p in parts], axis=1)
+
+
+@query()
+def job1_detect(spark, sf):
+    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000, 5000)}
+    return jobs.detect_svs(maps_, chromsizes(spark, sf), scoring.contrast, _corner_classes, size=8, class_size=8, cutoff=0.55)
+
+
+@query()
+def job3_training_set(spark, sf):
+    c = Q.fx_calls(spark, sf).where("label <> 'negative'")
+    return jobs.build_training_set(c, pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8)
+
+
+JOB4 = f"""select tp::bigint as tp, fn::bigint as fn, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / nullif(p + r, 0), 6) as f1 from (
+select *, tp / nullif(2 * n, 0) as p, tp / nullif(tp + fn, 0) as r from (select tp, n, 2 * m - tp as fn from (
+select coalesce(sum((x.v is not null)::int + (y.v is not null)::int), 0) as tp, count(*) as n from (
+  select bp_2 // 5000 as b1, bp_1 // 5000 as b2 from (select bp_1, bp_2, count(*) as k from fx_results where greatest(bp_1, bp_2) < (select stop from fx_offsets where chrom_idx = 2) and bp_2 - bp_1 > 10000 group by 1, 2) where k = 1) q
+  left join (select distinct bp_2 + unnest(range(-2, 3)) as v from (select distinct bp_2 from {Q.ANSWERS})) x on x.v = b1
+  left join (select distinct bp_1 + unnest(range(-2, 3)) as v from (select distinct bp_1 from {Q.ANSWERS})) y on y.v = b2)
+cross join (select count(*) as m from {Q.ANSWERS})))"""
+
+
+@query(JOB4)
+def job4_evaluate(spark, sf):
+    r = view(spark, sf, "fx_results").select("result_id", F.col("bp_2").alias("bp_1"), F.col("bp_1").alias("bp_2"))
+    out = jobs.evaluate_calls(r, Q.fx_calls(spark, sf).where("call_id % 2 = 0"), chromsizes(spark, sf), 5000, tol=2)
+    return out.select("tp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query()
+def job5_filter_real(spark, sf):
+    return jobs.filter_real_svs(Q.fx_calls(spark, sf), pixels(spark, sf, 5000), 5000, 8, (2, 6), 0.05, 0.05)
+
+
+@query(Q.WN3)
+def job6_merge_vcf(spark, sf):
+    return jobs.merge_vcf_svs(view(spark, sf, "fx_vcf"), 5000, 4500, 600)
+
+
+@query(f"select chrom1 as chr, {Q.LARGEST} as label, pos1 as start, pos2 as \"end\" from fx_wide where chrom1 = chrom2")
+def job7_convert_wide(spark, sf):
+    from ..operators.calls import convert_wide_calls
+
+    return convert_wide_calls(Q.wide(spark, sf))
+
+
+@query(Q.CO7)
+def job8_results_to_chrom(spark, sf):
+    return jobs.results_to_chrom(view(spark, sf, "fx_results"), chromsizes(spark, sf)).select("result_id", "chrom_x", "coord_x", "chrom_y", "coord_y")
+
+
+@query()
+def job9_two_step(spark, sf):
+    return jobs.two_step_scan(pixels(spark, sf, 50000), chromsizes(spark, sf), 50000, 8, 3, scoring.contrast, step=8)
+
+
+@query()
+def job10_expected_curve(spark, sf):
+    return jobs.expected_curve(view(spark, sf, "fx_expected"), ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3)
+
+
+CROPS = f"""select result_id, bin1 - x as dx, bin2 - y as dy, round(log2(value + 1), 6) as value from (select result_id, x - 4 as x, y - 4 as y from ({Q.CO10})) p
+join {Q.TEST_CELLS.format(res=5000)} c on c.chrom1_idx = 1 and c.chrom2_idx = 1 and bin1 >= x and bin1 < x + 8 and bin2 >= y and bin2 < y + 8"""
+
+
+@query(CROPS)
+def job11_crops(spark, sf):
+    out = jobs.crops_for_calls(view(spark, sf, "fx_results"), pixels(spark, sf, 5000), chromsizes(spark, sf), 1, 5000, 8)
+    return out.withColumn("value", F.round("value", 6))
+
+
+CONFUSION = Q.SQL["ag12_confusion"].rpartition("\nselect")[2]
+LOSS = Q.SQL["ag15_log_loss"].rpartition("\nselect round(avg(-case")[2]
+JOB12 = f"""select c.*, f.macro_f1, f.macro_f05, l.loss from (select{CONFUSION}) c, (select round(avg(2 * hit / (r + s)), 6) as macro_f1, round(avg(1.25 * hit / (0.25 * r + s)), 6) as macro_f05
+from (select k, count(*) filter (where y_true = k) as r, count(*) filter (where y_pred = k) as s, count(*) filter (where y_true = k and y_pred = k) as hit from fx_predictions, (values (0), (1)) v(k) group by k)) f, (select round(avg(-case{LOSS}) l"""
+
+
+@query(JOB12)
+def job12_score_model(spark, sf):
+    out = jobs.score_model(view(spark, sf, "fx_predictions").select("y_true", "y_pred", "score"))
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "macro_f1", "macro_f05", "loss")})
+
+
+PA3 = f"""select patch_id, case when inside then a else list_transform(range(0, 64), lambda i: 0.0) end as values from (select z.patch_id, x >= 0 and y >= 0 and x + 8 <= 12 and y + 8 <= 12 and a is not null as inside, a from (select * from {Q.WINDOWS} where chrom1_idx = 3 and chrom2_idx = 3) z left join {Q.DENSE} d on d.patch_id = z.patch_id)"""
+
+
+@query(PA3)
+def pa3_windows_or_zero(spark, sf):
+    w = Q.detections(spark, sf).where("chrom1_idx = 3 and chrom2_idx = 3").withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
+    return jobs.windows_or_zero(cells(spark, sf, 10000), windows.centre_to_corner(w, 8), 12, 8)
