@@ -70,24 +70,22 @@ def smooth_expected(curve: DataFrame, keys: list[str], head: int = 48, near: int
 
 
 def coarsegrain(balanced: np.ndarray, counts: np.ndarray, cutoff: int = 3, levels: int = 8) -> np.ndarray:
-    """Means over growing blocks where raw counts are few: a square block of 2 by 2 cells is pooled while it has fewer than
-    cutoff counts; NaN cells are left out. For one small square patch whose side is halved level by level."""
+    """A small patch in which each cell of fewer raw counts than cutoff takes the mean of the smallest block around it, of
+    2, 4, 8 ... cells a side, that has enough. NaN cells are left out of means and stay NaN."""
     out = np.array(balanced, "f8")
-    value, n, good = np.nan_to_num(out), np.where(np.isnan(out), 0, counts).astype("f8"), (~np.isnan(out)).astype("f8")
-    block = 1
+    good = ~np.isnan(out)
+    value, n, m = np.nan_to_num(out), np.where(good, counts, 0).astype("f8"), good.astype("f8")
+    poor, block = good & (n < cutoff), 1
     for _ in range(levels):
-        if min(value.shape) < 2:
+        if not poor.any():
             break
-        h, w = (s // 2 * 2 for s in value.shape)
-        pool = lambda a: a[:h, :w].reshape(h // 2, 2, w // 2, 2).sum(axis=(1, 3))  # noqa: B023, E731
-        few = n[:h, :w].reshape(h // 2, 2, w // 2, 2).min(axis=(1, 3)) < cutoff
-        value, n, good = pool(value), pool(n), pool(good)
+        h, w = (s + s % 2 for s in value.shape)
+        pads = [(0, h - value.shape[0]), (0, w - value.shape[1])]
+        value, n, m = (np.pad(a, pads).reshape(h // 2, 2, w // 2, 2).sum(axis=(1, 3)) for a in (value, n, m))
         block *= 2
-        mean = np.where(good > 0, value / np.maximum(good, 1), np.nan)
-        big, mask = (np.repeat(np.repeat(a, block, 0), block, 1) for a in (mean, few))
-        view = out[: big.shape[0], : big.shape[1]]
-        fill = mask[: view.shape[0], : view.shape[1]] & ~np.isnan(view)
-        view[fill] = big[: view.shape[0], : view.shape[1]][fill]
-        if not few.any():
+        wide = [np.kron(a, np.ones((block, block)))[: out.shape[0], : out.shape[1]] for a in (value / np.maximum(m, 1), n)]
+        out[poor] = wide[0][poor]
+        poor &= wide[1] < cutoff
+        if value.size == 1:
             break
     return out

@@ -79,7 +79,7 @@ def sub_windows(windows: DataFrame, n: int, size: int, step: int, factor: int =
 
 def refine_grid(det: DataFrame, patch_size: int, patch_res: int, size: int, res: int) -> DataFrame:
     """Distinct candidates (chrom1_idx, chrom2_idx, x, y) on a finer map around detections on a coarser one."""
-    step, coef = patch_size // ((patch_size * patch_res) // (size * res)), patch_res // res
+    step, coef = max(1, patch_size // ((patch_size * patch_res) // (size * res))), patch_res // res
     near = lambda c: F.explode(F.sequence(F.lit(0), F.lit(patch_size - 1), F.lit(step))).alias(c)
     grid = det.select("chrom1_idx", "chrom2_idx", "x", "y", near("i")).select("*", near("j"))
     at = lambda c, i: (F.col(c) - patch_size // 2 + F.col(i)) * coef
