@@ -143,21 +143,22 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
     as well; spans of different rules may overlap. A column of the new name is replaced.
     """
     indexed = [r for r in rules if trigram_query(r.pattern)]
+    rows = df.drop("secret_spans")
     if indexed:
-        kinds = candidates(df, tuple(indexed), key, text)
-        df = df.drop("secret_spans").join(kinds.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("doc")), "left")
+        kinds = candidates(df, tuple(indexed), key, text).toDF("\1doc", "\1kinds")
+        rows = rows.join(kinds.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("\1doc")), "left")
     else:
-        df = df.drop("secret_spans").withColumns({"doc": F.lit(None), "kinds": F.lit(None).cast("array<string>")})
+        rows = rows.withColumns({"\1doc": F.lit(None), "\1kinds": F.lit(None).cast("array<string>")})
 
     def of(x: Column) -> Column:
         nothing = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
         lists = []
         for place, r in enumerate(rules):
-            wanted = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) if r in indexed else F.lit(True)
+            wanted = F.coalesce(F.array_contains("\1kinds", r.kind), F.lit(False)) if r in indexed else F.lit(True)
             lists.append(F.when(wanted, spans_of(x, r, place)).otherwise(nothing))
         return F.sort_array(F.concat(*lists))
 
-    return df.withColumn("secret_spans", of(F.coalesce(F.col(text), F.lit("")))).drop("doc", "kinds")
+    return rows.withColumn("secret_spans", of(F.coalesce(F.col(text), F.lit("")))).drop("\1doc", "\1kinds")
 
 
 def count_of(spans: Column, kind: str) -> Column:
