@@ -124,8 +124,8 @@ def sql(rules: tuple[Rule, ...] = RULES) -> str:
 with t as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
-g as (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2),
-k as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as k from g),
+g as (select doc_id, unnest(ws) as a, unnest(ws[2:]) as b, unnest(ws[3:]) as c, unnest(range(1, len(ws) + 1)) as i from w where len(ws) > 2),
+k as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as k from g where c is not null),
 r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from k where k > 1) group by doc_id),
 m as (select w.doc_id, len(ws)::bigint as n_words, length(list_aggregate(list_concat([''], ws), 'string_agg', ''))::bigint as word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls) as n_lines,
