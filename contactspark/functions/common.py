@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most rows that a side may have to be broadcast without a look at its bytes.
@@ -18,3 +21,8 @@ def floor_div(a: Column, b: int | Column) -> Column:
     """a // b rounded down, for b > 0, also where a is negative."""
     b = b if isinstance(b, Column) else F.lit(b)
     return ((a - F.pmod(a, b)) / b).cast("long")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a temporary one where that is unset (tests)."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='maps-')}/{name}-{uuid.uuid4().hex}"

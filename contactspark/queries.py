@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .fixtures import cells, chromsizes, duckdb_sql, pixels, view
 from .functions import coords, values
-from .functions.common import floor_div
+from .functions.common import floor_div, scratch
 from .operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
+from .sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +51,78 @@ def src3_coarsen(spark, sf):
     return maps.coarsen(pixels(spark, sf, 1000), 5)
 
 
+@query("select chrom1_idx, bin1, chrom2_idx, bin2, count from fx_pixels_10000 where sample = 'test'")
+def src1_read_contact_map(spark, sf):
+    """The map is written as tables of two resolutions first."""
+    path = scratch(spark, "map")
+    both = [pixels(spark, sf, res).withColumn("resolution", F.lit(res)) for res in (10000, 50000)]
+    both[0].unionByName(both[1]).select("sample", "resolution", *maps.CELL, "count").write.partitionBy("resolution").parquet(f"{path}/pixels")
+    chromsizes(spark, sf).write.parquet(f"{path}/chromsizes")
+    view(spark, sf, "fx_bins").select(F.lit(10000).alias("resolution"), "chrom_idx", "local_bin", "weight").write.parquet(f"{path}/bins")
+    return readers.read_contact_map(spark, path, 10000, "test")["pixels"].select(*maps.CELL, "count")
+
+
+@query("select chr, label, start, end_ as \"end\" from fx_calls")
+def src4_read_sv_calls(spark, sf):
+    path = scratch(spark, "calls")
+    writers.write_calls(fx_calls(spark, sf), path, sep=";")
+    return readers.read_sv_calls(spark, path, ";")
+
+
+@query("select chrom1, pos1, chrom2, pos2, pp, pm, mp, mm from fx_wide")
+def src5_read_wide_calls(spark, sf):
+    path = scratch(spark, "wide")
+    writers.write_calls(wide(spark, sf), path, ("chrom1", "pos1", "chrom2", "pos2", "`++`", "`+-`", "`-+`", "`--`"), "\t")
+    return readers.read_wide_calls(spark, path).select("chrom1", "pos1", "chrom2", "pos2", F.col("++").alias("pp"), F.col("+-").alias("pm"), F.col("-+").alias("mp"), F.col("--").alias("mm"))
+
+
+@query("select chrom, pos, alt_len from fx_vcf")
+def src6_read_vcf(spark, sf):
+    path = scratch(spark, "vcf")
+    lines = view(spark, sf, "fx_vcf").select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), F.lit("A"), F.expr("repeat('T', cast(alt_len as int))")).alias("value"))
+    lines.union(spark.range(1).select(F.lit("##fileformat=VCF\n#CHROM\tPOS\tID\tREF\tALT"))).write.text(path)
+    return readers.read_vcf(spark, path).select("chrom", "pos", "alt_len")
+
+
+@query("select dist, n_valid, balanced_sum from fx_expected")
+def src7_read_expected(spark, sf):
+    path = scratch(spark, "expected")
+    writers.write_calls(view(spark, sf, "fx_expected"), path, ("dist", "n_valid", "balanced_sum"), "\t")
+    return readers.read_expected(spark, path)
+
+
+@query("select 'p' || p_partkey as chrom, (p_size * 4)::bigint as length from part")
+def src8_read_fasta_lengths(spark, sf):
+    path = scratch(spark, "fasta")
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    p.select(F.concat(F.lit(">p"), F.col("p_partkey").cast("string"), F.lit(" x\n"), F.expr("repeat('AC\\nGT\\n', p_size)"))).write.text(path)
+    return readers.read_fasta_lengths(spark, path)
+
+
+@query("select distinct chrom1_idx, bin1 as x from fx_pixels_50000 where sample = 'test'")
+def snk1_stage(spark, sf):
+    path = scratch(spark, "stages")
+    writers.write_stage(pixels(spark, sf, 50000).where("sample = 'test'").select("chrom1_idx", F.col("bin1").alias("x")).distinct(), path, "one")
+    return writers.read_stage(spark, path, "one")
+
+
+@query("select bp_1, bp_2, label from fx_results")
+def snk2_results(spark, sf):
+    path = scratch(spark, "results")
+    writers.write_results(view(spark, sf, "fx_results"), path)
+    return spark.read.csv(path, schema="bp_1 long, bp_2 long, label string", header=True)
+
+
+@query("select chrom_x as chr, coord_x as start, coord_y as \"end\" from ({co7})")
+def snk3_calls(spark, sf):
+    from .plans.jobs import results_to_chrom
+
+    path = scratch(spark, "exports")
+    found = results_to_chrom(view(spark, sf, "fx_results"), chromsizes(spark, sf))
+    writers.write_calls(found.select(F.col("chrom_x").alias("chr"), F.col("coord_x").alias("start"), F.col("coord_y").alias("end")), path, ("chr", "start", "end"))
+    return spark.read.csv(path, schema="chr string, start long, end long", header=True)
+
+
 # --- coordinates -----------------------------------------------------------------------------------
 
 
@@ -95,6 +168,9 @@ CO7 = """select result_id, o.chrom as chrom_x, (bp_1 - o.start)::bigint as coord
 join fx_offsets o on bp_1 >= o.start and bp_1 < o.stop join fx_offsets p on bp_2 >= p.start and bp_2 < p.stop"""
 
 
+SQL["snk3_calls"] = SQL["snk3_calls"].replace("{co7}", CO7)
+
+
 @query(CO7)
 def co7_bp_to_chrom_exclusive(spark, sf):
     r = view(spark, sf, "fx_results")
