@@ -49,10 +49,6 @@ class WordBpe:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.end: str = spec["model"]["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.ranks = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -61,6 +57,16 @@ class WordBpe:
         self.last_ids = [self.vocab[c + self.end] for c in alphabet]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.most = CACHE_ENTRIES if merge == "library" else CACHE_ENTRIES * 2 // 3  # the decoder's worker needs room, too
+
+    @cached_property
+    def ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and outcome of each pair of ids that merges."""
+        out = {}
+        for rank, pair in enumerate(json.loads(self.file_text)["model"]["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            out[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+        return out
 
     @cached_property
     def strings(self) -> list[str]:
@@ -122,7 +128,7 @@ class WordBpe:
         split = [(c, self.pieces_of(c)) for c in chunks]
         known = self.pieces
         found = self.ids_of_pieces(list({p for _, ps in split for p in ps if p not in known}))
-        if len(known) < CACHE_ENTRIES // 2:
+        if len(known) < self.most // 2:
             known.update(found)
             found = known
         look = lambda p: found[p] if p in found else known[p]
@@ -135,7 +141,7 @@ class WordBpe:
         new = set().union(*cut) - known.keys()
         if new:
             found = self.ids_of_chunks(new)
-            if len(known) >= CACHE_ENTRIES:
+            if len(known) >= self.most:
                 return [b"".join([known[c] if c in known else found[c] for c in cs]) for cs in cut]
             known.update(found)
         return [b"".join(map(known.__getitem__, cs)) for cs in cut]
