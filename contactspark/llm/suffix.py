@@ -34,6 +34,8 @@ SPAN = 100
 ANCHOR = 32
 #: Classes of one bucket from which on its strings are dealt out one by one.
 CROWDED = 4096
+#: Crowded buckets that are broadcast at most (a long and a Boolean each); more are joined by shuffle.
+MOST_BROADCAST = 500_000
 #: Anchors that a map task gathers before it settles and sends them; bytes of context compared at once.
 GATHER, COMPARE = 400_000, 1_500_000
 
@@ -211,8 +213,10 @@ def compare_contexts(batches: Iterator[pa.RecordBatch], span: int = SPAN) -> Ite
 
 def contexts(docs: DataFrame, firsts: DataFrame, text: str, span: int) -> DataFrame:
     """(h, one, context, doc, lo) of the classes' firsts; those of crowded buckets string by string."""
-    crowded = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
-    marked = firsts.join(crowded.select("h", F.lit(True).alias("one")), "h", "left")
+    sizes = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+    crowded = stored(sizes.select("h", F.lit(True).alias("one")), "crowded")
+    few_enough = crowded.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # else a bucket's rows would meet in one task
+    marked = firsts.join(F.broadcast(crowded) if few_enough else crowded, "h", "left")
     lists = marked.groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi", F.coalesce("one", F.lit(False)).alias("one"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
