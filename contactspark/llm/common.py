@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words, as a character list and as a regular expression.
@@ -53,3 +53,12 @@ def words(text: Column) -> Column:
     """The maximal runs of anything but ASCII white space, as an array; null and blank text give an empty one."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_REGEX))
+
+
+def hashed_sample(df: DataFrame, group: str, key: str, rows: int, salts: int = 64) -> DataFrame:
+    """At most `rows` rows of each group, those of the smallest hashes of the key. Groups are cut down by salted parts
+    first, so that what meets in one task is at most salts * rows, however many rows or tasks there are."""
+    h = F.xxhash64(key)
+    for parts in ([F.col(group), F.pmod(h, F.lit(salts))], [F.col(group)]):
+        df = df.withColumn("\1n", F.row_number().over(Window.partitionBy(*parts).orderBy(h, key))).where(F.col("\1n") <= rows).drop("\1n")
+    return df

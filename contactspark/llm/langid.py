@@ -14,11 +14,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import few
+from .common import hashed_sample
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -93,8 +94,7 @@ def fit(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
     top = [r[0] for r in good.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()]
     if not top:
         return Model([], np.zeros(0), np.zeros((1 << BUCKET_BITS, 0), "f4"))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    picked = good.where(F.col(lang).isin(top)).select(key, lang).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    picked = hashed_sample(good.where(F.col(lang).isin(top)).select(key, lang), lang, key, rows)
     sample = good.select(key, lang, text).join(F.broadcast(picked.select(key).distinct()), key, "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

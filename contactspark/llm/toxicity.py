@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import few
-from .common import stored
+from .common import hashed_sample, stored
 
 EXAMPLES_PER_LABEL = 2000
 VOCABULARY = 4000
@@ -163,8 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     so they may go through the driver; document frequencies are counted over all rows of docs.
     """
     good = labels.where(usable & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most and " + key + " is not null").select(key, "label")
-    order = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
-    picked = good.withColumn("n", F.row_number().over(order)).where(F.col("n") <= EXAMPLES_PER_LABEL).select(key, "label")
+    picked = hashed_sample(good, "label", key, EXAMPLES_PER_LABEL)
     sample = stored(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(picked), key).dropDuplicates([key]), "toxic-examples")
     totals = {r["label"]: r["count"] for r in good.groupBy("label").count().collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
