@@ -86,7 +86,7 @@ def job8_results_to_chrom(spark, sf):
 
 @query()
 def job9_two_step(spark, sf):
-    return jobs.two_step_scan(pixels(spark, sf, 50000), chromsizes(spark, sf), 50000, 8, 3, scoring.contrast, step=8)
+    return jobs.two_step_scan(pixels(spark, sf, 50000), chromsizes(spark, sf), 50000, 8, 3, scoring.contrast)
 
 
 @query()
