@@ -6,6 +6,7 @@ are made at the end. `stored` writes a stage's detections and reads them back, w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -56,6 +57,12 @@ def scan_diagonal(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int
     return coords.genome_to_chrom(scored.withColumn("x", F.col("start") + size // 2), chromsizes, "x", res).select("window", "chrom_idx", "local_bin", "score")
 
 
+def scan_resolutions(pixels: dict[int, DataFrame], chromsizes: DataFrame, size: int = 48, centre: int = 4) -> DataFrame:
+    """scan_diagonal of each resolution's map, a quarter of a window at a time: resolution, window, chrom_idx, local_bin, score."""
+    scans = [scan_diagonal(p, chromsizes, res, size, size // 4, centre).select(F.lit(res).alias("resolution"), "*") for res, p in pixels.items()]
+    return functools.reduce(DataFrame.unionByName, scans)
+
+
 def log_cells(pixels: DataFrame, base: float) -> DataFrame:
     """The test sample's cells in both triangles, value the logarithm of the count."""
     test = maps.symmetric(pixels.where("sample = 'test'"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import queries as Q
 from ..fixtures import cells, chromsizes, pixels, view
-from ..operators import scoring, windows
+from ..operators import maps, scoring, windows
 from ..queries import query
 from . import jobs
 
@@ -27,6 +27,23 @@ def job2_scan_diagonal(spark, sf):
     return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
 
 
+PIXELS = "(select sample, ca as chrom1_idx, pa // {res} as bin1, cb as chrom2_idx, pb // {res} as bin2, count(*) as count from fx_sides group by all)"
+SCANS = (50000, 25000, 10000)
+
+
+def _scan(res: int) -> str:
+    """SLICE for another resolution, a quarter of a window at a time."""
+    quarter = SLICE.replace("i * 4", "i * 2").replace("// 4)", "// 2)").replace("fx_pixels_10000", PIXELS.format(res="{res}"))
+    return quarter.replace("10000", str(res)).replace("{res}", str(res))
+
+
+@query(" union all ".join(f"select {res} as resolution, * from ({_scan(res)})" for res in SCANS))
+def job2_scan_resolutions(spark, sf):
+    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000)} | {25000: maps.coarsen(pixels(spark, sf, 5000), 5)}
+    found = jobs.scan_resolutions({res: maps_[res] for res in SCANS}, chromsizes(spark, sf), 8)
+    return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
+
+
 def _corner_classes(stack):
     """Five numbers for a patch: its mean, and the means of its four corners."""
     h = stack.shape[1] // 2

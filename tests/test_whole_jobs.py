@@ -1,8 +1,36 @@
 """Queries that do the whole job: all positions, resolutions, chromosomes and components."""
 
+import os
+
+import duckdb
+import pytest
+from conftest import SF
+from test_oracle import cell
+
+import __spark_entry__
+from contactspark import queries as map_queries
 from contactspark.plans import queries as plan_queries
 
 
+@pytest.mark.parametrize("name", "job2_scan_resolutions".split())
+def test_whole_query_matches_sql(spark, name):
+    df = map_queries.QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    cursor = con.execute(map_queries.SQL[name])
+    columns = [d[0] for d in cursor.description]
+    want = sorted(tuple(map(cell, r)) for r in cursor.fetchall())
+    assert sorted(columns) == sorted(df.columns) and want
+    assert sorted(tuple(cell(r[c]) for c in columns) for r in df.collect()) == want
+
+
+def test_flagship_scans_all_resolutions_by_quarters(spark):
+    found = __spark_entry__.entry(spark).collect()
+    assert {r["resolution"] for r in found} == {50000, 25000, 10000}
+    assert len({r["local_bin"] % 4 for r in found if r["resolution"] == 10000 and r["chrom_idx"] == 0}) > 1
+
+
 def test_two_step_scan_finds_breakpoints_between_strides(spark, monkeypatch):
     """Breakpoints at bins 16 and 32, which only windows at other than every eighth position have in their centre block."""
     spots = [(15, 15), (15, 16), (16, 16), (31, 31), (31, 32), (32, 32), (15, 31), (15, 32), (16, 31), (16, 32)]
