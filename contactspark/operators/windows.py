@@ -99,6 +99,13 @@ def filter_inside(df: DataFrame, chromsizes: DataFrame, size: int, res: int) ->
     return joined.where((F.col("x") >= pad) & (F.col("y") >= pad) & (F.col("x") + pad <= F.col("_n1")) & (F.col("y") + pad <= F.col("_n2"))).drop("_n1", "_n2")
 
 
+def filter_corners_inside(df: DataFrame, chromsizes: DataFrame, size: int, res: int, upper: bool = False) -> DataFrame:
+    """Windows whose corner is x, y that lie inside both chromosomes; upper: only those with x <= y."""
+    inside = filter_inside(df.withColumns({"x": F.col("x") + size // 2, "y": F.col("y") + size // 2}), chromsizes, size, res)
+    found = centre_to_corner(inside, size).select(df.columns)
+    return found.where("x <= y") if upper else found
+
+
 def filter_margin(df: DataFrame, size: int, k: int = 1) -> DataFrame:
     return df.where((F.col("x") * k > size // 2) & (F.col("y") * k > size // 2))
 

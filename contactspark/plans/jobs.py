@@ -231,3 +231,10 @@ def windows_or_zero(cells: DataFrame, anchors: DataFrame, n: int, size: int) ->
     inside = anchors.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + size <= n) & (F.col("y") + size <= n))
     dense = scoring.densify(windows.cut_windows(cells, inside, size), size)
     return anchors.select("patch_id").join(dense, "patch_id", "left").withColumn("values", F.coalesce("values", F.array_repeat(F.lit(0.0), size * size)))
+
+
+def windows_of_maps_or_zero(cells: DataFrame, anchors: DataFrame, chromsizes: DataFrame, res: int, size: int) -> DataFrame:
+    """windows_or_zero on the maps of all pairs of chromosomes, each as long as its chromosomes."""
+    inside = windows.filter_corners_inside(anchors, chromsizes, size, res)
+    dense = scoring.densify(windows.cut_windows(cells, inside, size), size)
+    return anchors.select("patch_id").join(dense, "patch_id", "left").withColumn("values", F.coalesce("values", F.array_repeat(F.lit(0.0), size * size)))

@@ -140,3 +140,20 @@ PA3 = f"""select patch_id, case when inside then a else list_transform(range(0,
 def pa3_windows_or_zero(spark, sf):
     w = Q.detections(spark, sf).where("chrom1_idx = 3 and chrom2_idx = 3").withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
     return jobs.windows_or_zero(cells(spark, sf, 10000), windows.centre_to_corner(w, 8), 12, 8)
+
+
+INSIDE = "x >= 0 and y >= 0 and x + 8 <= a.length // {res} and y + 8 <= b.length // {res}"
+BOTH_SIZES = "join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx"
+PA3_MAPS = f"""select z.patch_id, case when {INSIDE.format(res=10000)} and d.a is not null then d.a else list_transform(range(0, 64), lambda i: 0.0) end as values
+from {Q.WINDOWS} z {BOTH_SIZES} left join {Q.DENSE} d on d.patch_id = z.patch_id"""
+
+
+@query(PA3_MAPS)
+def pa3_windows_of_maps_or_zero(spark, sf):
+    w = Q.detections(spark, sf).withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
+    return jobs.windows_of_maps_or_zero(cells(spark, sf, 10000), windows.centre_to_corner(w, 8), chromsizes(spark, sf), 10000, 8)
+
+
+@query(f"select d.* from {Q.DETECTIONS} d {BOTH_SIZES} where x <= y and {INSIDE.format(res=50000)}")
+def fi9_upper_of_maps(spark, sf):
+    return windows.filter_corners_inside(Q.detections(spark, sf), chromsizes(spark, sf), 8, 50000, upper=True)

@@ -5,14 +5,17 @@ import os
 import duckdb
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_oracle import cell
 
 import __spark_entry__
 from contactspark import queries as map_queries
+from contactspark.operators import windows
+from contactspark.plans import jobs
 from contactspark.plans import queries as plan_queries
 
 
-@pytest.mark.parametrize("name", "job2_scan_resolutions".split())
+@pytest.mark.parametrize("name", "job2_scan_resolutions pa3_windows_of_maps_or_zero fi9_upper_of_maps".split())
 def test_whole_query_matches_sql(spark, name):
     df = map_queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
@@ -40,3 +43,14 @@ def test_two_step_scan_finds_breakpoints_between_strides(spark, monkeypatch):
     monkeypatch.setattr(plan_queries, "chromsizes", lambda *_: sizes)
     found = plan_queries.job9_two_step(None, None).collect()
     assert any(abs(r["x"] - 32) <= 1 and abs(r["y"] - 16) <= 1 for r in found)
+
+
+def test_maps_end_with_their_chromosomes(spark):
+    sizes = spark.createDataFrame([(0, "a", 200 * 50_000), (3, "d", 20 * 50_000)], "chrom_idx int, chrom string, length long")
+    at = [(0, 0, 150, 160), (0, 0, 150, 193), (0, 3, 5, 12), (0, 3, 5, 13), (3, 3, -1, 2), (3, 3, 9, 8)]
+    w = spark.createDataFrame(at, "chrom1_idx int, chrom2_idx int, x long, y long").withColumn("patch_id", F.concat_ws("-", "chrom1_idx", "chrom2_idx", "x", "y"))
+    kept = windows.filter_corners_inside(w, sizes, 8, 50_000, upper=True).collect()
+    assert sorted(r["patch_id"] for r in kept) == ["0-0-150-160", "0-3-5-12"]
+    cells = spark.createDataFrame([(a, x + 3, b, y + 3, 5.0) for a, b, x, y in at], "chrom1_idx int, bin1 long, chrom2_idx int, bin2 long, value double")
+    out = jobs.windows_of_maps_or_zero(cells, w, sizes, 50_000, 8).collect()
+    assert len(out) == len(at) and sorted(r["patch_id"] for r in out if any(r["values"])) == ["0-0-150-160", "0-3-5-12", "3-3-9-8"]
