@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows. The terms of a text are its words (runs of letters,
-lower case) and their first letters, so that a stem is met in all its forms; the vocabulary is what
-the labels of the examples depend on most, with document frequencies counted over all documents. Examples
-stand in blocks; for each term the index keeps its postings and the highest weight in each block. A
+lower case) and their first letters, so that a stem is met in all its forms; the vocabulary is
+every term of the examples, with document frequencies counted over all documents; a term weighs the more the more the
+labels depend on it, but none weighs nothing. Examples
+stand in blocks; for each term the index keeps its postings and the highest weight in each block that has it. A
 text's weights times these maxima bound its similarity to a block, so that after the most promising
 blocks only those whose bound reaches the k-th best similarity are scored: the k nearest are exact.
 Their votes, weighted by similarity, are calibrated on the examples themselves, each scored without itself.
@@ -26,9 +27,8 @@ from .bpe import few
 from .common import hashed_sample, stored
 
 EXAMPLES_PER_LABEL = 2000
-VOCABULARY = 4000
-#: Least log-likelihood ratio of a term and the label (chi-square with one degree of freedom).
-LEAST_RATIO = 24.0
+#: Log-likelihood ratio of a term and the label (chi-square with one degree of freedom) from which on the term has its full weight, and the least share of it that any has.
+FULL_RATIO, LEAST_SHARE = 24.0, 0.01
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 4
@@ -53,28 +53,32 @@ class Terms:
         self.ids = {t: i for i, t in enumerate(vocabulary)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def count(self, text: str | None) -> Counter:
-        known, ids, out = self.known, self.ids, Counter()
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the text's terms, rising, and how often each occurs."""
+        known, ids, out = self.known, self.ids, []
         if len(known) > CACHE_ENTRIES:
             known.clear()
         for chunk in (text or "").split():
             found = known.get(chunk)
             if found is None:
                 known[chunk] = found = tuple(ids[t] for t in terms_of(chunk) if t in ids)
-            if found:
-                out.update(found)
-        return out
+            out += found
+        return np.unique(np.array(out, "i8"), return_counts=True)
 
 
-def weights(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term ids and their weights, of length one."""
-    t = np.fromiter(counts.keys(), "i8", len(counts))
-    w = (1 + np.log(np.fromiter(counts.values(), "f8", len(counts)))) * idf[t]
+    w = (1 + np.log(n)) * idf[t]
     return t, w / max(np.sqrt((w * w).sum()), 1e-12)
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for each start, one after the other."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
-    """Postings by term and block, with the highest weight of each term in each block."""
+    """Postings by term and block, with the highest weight of each term in each block where it occurs."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         """vectors: term ids and weights of each example; an example's number is its place here."""
@@ -85,33 +89,40 @@ class BlockMaxIndex:
         term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, "i8")])
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
         by = np.lexsort((place, term))
-        self.place, self.weight = place[by], weight[by]
-        cell = term[by] * n + self.place // BLOCK
-        self.edges = np.searchsorted(cell, np.arange(n_terms * n + 1))
-        self.most = np.zeros((n_terms, n))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
+        self.place, self.weight = place[by].astype("i4"), weight[by]
+        cell = term[by] * n + place[by] // BLOCK
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+        self.edges, self.block = np.r_[first, len(cell)], (cell[first] % n).astype("i4")
+        self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * n)  # the cells of term t are those from cells[t] to cells[t + 1]
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.blocks = n
 
-    def scored(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Similarities to the examples of some blocks, by place."""
-        cells = (t[:, None] * self.blocks + blocks).ravel()
+    def scored(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Similarities to the examples of some cells, w the text's weight of each cell's term, by place."""
         a, size = self.edges[cells], self.edges[cells + 1] - self.edges[cells]
-        at = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        return np.bincount(self.place[at], np.repeat(np.repeat(w, len(blocks)), size) * self.weight[at], len(self.order))
+        at = spans(a, size)
+        return np.bincount(self.place[at], np.repeat(w, size) * self.weight[at], len(self.order))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and similarities of the k most similar examples with a term in common; ties by number."""
         if not len(t):
             return np.zeros(0, "i8"), np.zeros(0)
-        bound = w @ self.most[t]
-        ranked = np.argsort(-bound, kind="stable")
-        first, rest = ranked[:FIRST_BLOCKS], ranked[FIRST_BLOCKS:]
-        sims = self.scored(t, w, first)
+        size = self.cells[t + 1] - self.cells[t]
+        cells, w = spans(self.cells[t], size), np.repeat(w, size)
+        block = self.block[cells]
+        bound = np.bincount(block, w * self.most[cells], self.blocks)
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        pick = first[block]
+        sims = self.scored(cells[pick], w[pick])
         kth = np.partition(sims, -k - 1)[-k - 1] if len(sims) > k else 0.0  # one more, for the one left out
-        rest = rest[bound[rest] + 1e-9 >= max(kth, 1e-9)]
-        if len(rest):
-            sims = sims + self.scored(t, w, rest)
+        rest = ~first & (bound + 1e-9 >= max(kth, 1e-9))
+        if rest.any():
+            pick = rest[block]
+            sims = sims + self.scored(cells[pick], w[pick])
         hit = np.flatnonzero(sims > 0)
+        if len(hit) > k + 1:
+            hit = hit[sims[hit] >= np.partition(sims[hit], -k - 1)[-k - 1] - 1e-9]
         number = self.order[hit]
         if leave_out >= 0:
             hit, number = hit[number != leave_out], number[number != leave_out]
@@ -133,10 +144,10 @@ def increasing_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndar
 class Model:
     """The index with the labels of its examples and the calibration of the votes."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, keys: list, counts: list[Counter], labels: np.ndarray, share: float):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, keys: list, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float):
         """share: of label 1 among all labelled rows that may be learned from."""
         self.vocabulary, self.idf, self.keys, self.labels, self.share = vocabulary, idf, keys, labels, share
-        vectors = [weights(c, idf) for c in counts]
+        vectors = [weights(*c, idf) for c in counts]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         near = [self.index.nearest(t, w, NEIGHBOURS, leave_out=i) for i, (t, w) in enumerate(vectors)]
         own = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum())) * max(1, len(labels))
@@ -148,9 +159,9 @@ class Model:
     def vote(self, number: np.ndarray, similarity: np.ndarray) -> float:
         return float((similarity * self.labels[number]).sum() / similarity.sum()) if len(number) else 0.0
 
-    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, t: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The calibrated score, between the fitted steps by line, and the nearest examples."""
-        number, similarity = self.index.nearest(*weights(counts, self.idf), NEIGHBOURS)
+        number, similarity = self.index.nearest(*weights(t, n, self.idf), NEIGHBOURS)
         if not len(number):
             return self.lone_score, number, similarity
         return float(np.interp(self.vote(number, similarity), self.x, self.y)), number, similarity
@@ -159,8 +170,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from at most EXAMPLES_PER_LABEL usable rows of labels for each label, picked by a hash of the key.
 
-    Keys with a null or without a text, or with both labels, teach nothing. Vocabulary and examples are bounded,
-    so they may go through the driver; document frequencies are counted over all rows of docs.
+    Keys with a null or without a text, or with both labels, teach nothing. Examples are bounded, and so is
+    their vocabulary, so both may go through the driver; document frequencies are counted over all rows of docs.
     """
     good = labels.where(usable & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most and " + key + " is not null").select(key, "label")
     picked = hashed_sample(good, "label", key, EXAMPLES_PER_LABEL)
@@ -186,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
 
     both = F.col("a") + F.col("b")
     ratio = 2 * (part(F.col("a"), n1, both) + part(F.col("b"), n0, both) + part(n1 - F.col("a"), n1, n - both) + part(n0 - F.col("b"), n0, n - both))
-    telling = seen.where(both >= 3).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    vocabulary = [r["term"] for r in telling.orderBy(F.desc("ratio"), "term").limit(VOCABULARY).collect()]
+    found = seen.select("term", F.least(F.lit(1.0), F.greatest(F.lit(LEAST_SHARE), ratio / FULL_RATIO)).alias("tells")).toArrow().sort_by("term")
+    vocabulary, tells = found["term"].to_pylist(), found["tells"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,30 +206,30 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
         for whole in batches:
             for b in few(whole, text):
                 for t in b[text].to_pylist():
-                    found.update(counter.count(t).keys())
+                    found.update(counter.count(t)[0].tolist())
                 rows += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([rows, *found.values()], pa.int64())], names=["term", "n"])
 
     df = {r["term"]: r["n"] for r in docs.select(text).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1e-3 for i in range(len(vocabulary))])
+    idf = tells * np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1e-3 for i in range(len(vocabulary))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Terms(shared.value)
         for b in batches:
             found = [counter.count(t) for t in b[text].to_pylist()]
-            lists = [pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            lists = [pa.array([c[0] for c in found], pa.list_(pa.int32())), pa.array([c[1] for c in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b[key], b["label"], *lists], names=[key, "label", "t", "n"])
 
     schema = T.StructType([sample.schema[key], sample.schema["label"], T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
-    rows = sorted(sample.mapInArrow(vectors, schema).collect(), key=lambda r: r[key])
-    counts = [Counter(dict(sorted(zip(r["t"], r["n"], strict=True)))) for r in rows]
-    return Model(vocabulary, idf, [r[key] for r in rows], counts, np.array([r["label"] for r in rows], "i8"), share)
+    rows = sample.mapInArrow(vectors, schema).toArrow().sort_by(key)
+    counts = [(t.values.to_numpy().astype("i8"), n.values.to_numpy()) for t, n in zip(rows["t"], rows["n"], strict=True)]
+    return Model(vocabulary, idf, rows[key].to_pylist(), counts, rows["label"].to_numpy().astype("i8"), share)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", evidence: int = 3) -> DataFrame:
     """docs with score (0 to 1), predicted (1 from 0.5 on) and evidence: the nearest examples' keys, similarities and labels.
 
-    Null and empty texts, and texts without a vocabulary term, get the share of label 1 among examples that
+    Null and empty texts, and texts without a term of any example, get the share of label 1 among examples that
     have no neighbour either; without examples every score is 0. Columns of the new names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
@@ -232,7 +243,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
         for whole in batches:
             kind = pa.list_(pa.struct([(key, whole.schema.field(key).type), ("similarity", pa.float64()), ("label", pa.int32())]))
             for b in few(whole, text):
-                found = [m.score(counter.count(t)) for t in b[text].to_pylist()]
+                found = [m.score(*counter.count(t)) for t in b[text].to_pylist()]
                 score = np.array([x[0] for x in found])
                 proof = [[{key: m.keys[i], "similarity": float(s), "label": int(m.labels[i])} for i, s in zip(n[:evidence].tolist(), sims[:evidence].tolist(), strict=True)] for _, n, sims in found]
                 yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(score), pa.array((score >= 0.5).astype("i4")), pa.array(proof, kind)], names=[*keep, "score", "predicted", "evidence"])

@@ -364,6 +364,19 @@ def test_toxicity_edges(spark, awkward):
     assert {r["score"] for r in toxicity.score_documents(awkward, none).collect()} == {0.0}
 
 
+def test_copy_of_an_example_is_its_neighbour(spark):
+    """No term is in enough examples to tell their labels apart for sure, but a copy has cosine 1."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    texts = {i: " ".join(word() for _ in range(30)) for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (100, texts[3]), (101, texts[4])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.score_documents(docs, model).collect()}
+    for k, i in ((100, 3), (101, 4)):
+        assert got[k][0]["doc_id"] == i and got[k][0]["similarity"] == pytest.approx(1) and got[k][0]["label"] == i % 2
+
+
 # --- pipeline
 
 
