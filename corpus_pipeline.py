@@ -26,15 +26,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).where("kept").select(COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row, a number of each row's own that rises with doc_id, nulls last: doc_id itself if no row shares or lacks one."""
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if shared.isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]  # with the text, rows of one id or none spread out
+    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    first = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first.hint("shuffle_hash"), F.expr("doc_id <=> first"), "left_semi").select(COLUMNS)
+    """One document of each group of near-duplicates, the one of the smallest id, whether ids repeat or are null."""
+    rows = numbered(docs.select(COLUMNS))
+    first = simhash.near_duplicates(rows, "row").where("row = component_id").select(F.col("row").alias("first"))
+    return rows.join(first.hint("shuffle_hash"), F.expr("row = first"), "left_semi").select(COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; bytes of a character cut in half go, and so do documents without a word left."""
-    cut = suffix.remove_repeats(docs.select(COLUMNS))
+    cut = suffix.remove_repeats(numbered(docs.select(COLUMNS)), "row")
     whole = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
     cut = with_text(cut, whole)
     return cut.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))

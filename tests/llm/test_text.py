@@ -395,3 +395,18 @@ def test_pipeline_against_brute_force(spark, documents):
     assert all(not brute_spans(r["text"]) and r["n_chars"] == len(r["text"]) for r in clean.collect()) and clean.count() == cut.count()
     pieces = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == set(want)
+
+
+def test_pipeline_on_repeated_and_null_ids(spark):
+    rng = random.Random(10)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, c), (None, a), (None, d), (None, d), (None, e)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.near_dedup(spark, docs.repartition(3), SF).collect()
+    assert sorted((r["doc_id"] or 99, r["text"]) for r in one) == sorted([(1, a), (2, b), (2, c), (99, d), (99, e)])
+    line = text()
+    rows = [(1, line + "1" + a), (1, line + "2" + b), (None, line + "3" + c), (None, line + "4" + d), (2, e)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], docs.schema)
+    out = [r["text"] for r in corpus_pipeline.repeat_removal(spark, docs.repartition(3), SF).collect()]
+    assert sum(line in t for t in out) == 1 and sum(map(len, out)) == sum(len(t) for _, t in rows) - 3 * len(line)
