@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import floor_div
 
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
 
 def near_any(results: DataFrame, answers: DataFrame, left: str, right: str, tol: int, flag: str, key: str = "result_id") -> DataFrame:
     """results with a Boolean: does any answer's `right` lie within tol of `left`? By buckets of tol + 1, of which three are probed."""
@@ -62,6 +68,33 @@ def feature_correlation(features: DataFrame, key: str = "row_id", values: str =
     return wide.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs))).alias("r")).select("r.*")
 
 
+def full_feature_correlation(features: DataFrame, values: str = "values") -> DataFrame:
+    """Pearson correlation of all components: i, j, corr for i <= j over the rows that have both; null where one does not vary.
+
+    Each task sends its sums and cross products, so what is shuffled follows the square of the vectors' length alone.
+    """
+    means = {r["i"]: r["m"] for r in features.select(F.posexplode(values).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()}
+    size = max(means, default=-1) + 1
+    shift = np.array([means.get(i) or 0.0 for i in range(size)])  # keeps the sums small
+    i, j = np.triu_indices(size)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, size, size))
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                x = np.full((min(4096, b.num_rows - at), size), np.nan)
+                for k, v in enumerate(b.slice(at, 4096)[values].to_pylist()):
+                    x[k, : len(v or ())] = np.array(v or (), "f8")
+                here = ~np.isnan(x)
+                x, m = np.where(here, x - shift, 0.0), here.astype("f8")
+                total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(t[i, j]) for t in total)], names=["i", "j", *SUMS])
+
+    parts = features.select(F.col(values).cast("array<double>").alias(values)).mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS))
+    t = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in SUMS))
+    return t.select("i", "j", F.expr("try_divide(n * xy - x * y, sqrt(greatest(n * xx - x * x, 0D) * greatest(n * yy - y * y, 0D)))").alias("corr"))
+
+
 def sample_counts(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Calls and distinct labels of each sample."""
     return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("label").alias("n_labels"))

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -10,12 +11,12 @@ from test_oracle import cell
 
 import __spark_entry__
 from contactspark import queries as map_queries
-from contactspark.operators import windows
+from contactspark.operators import evaluate, windows
 from contactspark.plans import jobs
 from contactspark.plans import queries as plan_queries
 
 
-@pytest.mark.parametrize("name", "job2_scan_resolutions pa3_windows_of_maps_or_zero fi9_upper_of_maps".split())
+@pytest.mark.parametrize("name", "job2_scan_resolutions pa3_windows_of_maps_or_zero fi9_upper_of_maps ag17_ensemble_average_full ag18_feature_correlation_full".split())
 def test_whole_query_matches_sql(spark, name):
     df = map_queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
@@ -54,3 +55,12 @@ def test_maps_end_with_their_chromosomes(spark):
     cells = spark.createDataFrame([(a, x + 3, b, y + 3, 5.0) for a, b, x, y in at], "chrom1_idx int, bin1 long, chrom2_idx int, bin2 long, value double")
     out = jobs.windows_of_maps_or_zero(cells, w, sizes, 50_000, 8).collect()
     assert len(out) == len(at) and sorted(r["patch_id"] for r in out if any(r["values"])) == ["0-0-150-160", "0-3-5-12", "3-3-9-8"]
+
+
+def test_correlation_of_all_components(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 12)) + 1000
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "values array<double>").repartition(3)
+    got = {(r["i"], r["j"]): r["corr"] for r in evaluate.full_feature_correlation(df).collect()}
+    want = np.corrcoef(x.T)
+    assert len(got) == 78 and all(v == pytest.approx(want[k]) for k, v in got.items())
