@@ -132,7 +132,10 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
         return F.struct(end.alias("at"), F.when(F.length(x["judged"]) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     found = F.aggregate(each, F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans")), step)["spans"]
-    quick = rule.pattern if rule.group or not rule.pattern.endswith("+") else rule.pattern[:-1] + f"{{{max(1, rule.least - len(rule.pattern[: rule.pattern.rindex('[')]))},}}"
+    quick = rule.pattern
+    if not rule.group and quick.endswith("]+"):  # what counts has so many characters at least in its last run, whatever the width of the rest
+        widest = parser.parse(quick[: quick.rindex("[")]).getwidth()[1]
+        quick = f"{quick[:-1]}{{{max(1, rule.least - widest)},}}"
     return F.when(F.rlike(text, F.lit(quick)), found).otherwise(nothing)
 
 

@@ -320,6 +320,14 @@ def test_secret_spans(spark, awkward):
     assert secrets.scan(awkward.limit(0)).count() == 0
 
 
+def test_secrets_with_a_short_last_part(spark):
+    text = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcd"
+    texts = [text, "ghp_" + "z" * 36, "ghp_" + "z" * 35]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [tuple(x) for x in r["secret_spans"]] for r in rows} == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert [len(brute_spans(t)) for t in texts] == [1, 1, 0]
+
+
 def test_trigram_queries_hold_for_matches():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert q["hex"] == [] and q["access"] == [frozenset({"aki", "kia"})]
