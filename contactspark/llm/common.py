@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words, as a character list and as a regular expression.
@@ -19,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a new one, but only for local runs such as tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found
@@ -37,13 +41,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths written by stored() inside the open scratch() blocks.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what stored() has written inside, but for paths that are taken off the list."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        remove(spark, _written.pop())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of whichever store Spark can reach."""
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as parquet and read again: columnar, so smaller than a checkpoint."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _written[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str, row: str) -> DataFrame:
+    """df with `row`, a number of each row's own that rises with the key, nulls last: the key itself if no row shares or lacks one.
+
+    Otherwise rows are sorted by key, then by a hash of all they hold, in ranges; rows alike in all are numbered as they are
+    met, so that a group of copies needs no single task.
+    """
+    shared = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").cast("long") > 1).select(key).unionAll(df.select(key).where(F.col(key).isNull()))
+    if shared.isEmpty():
+        return df.withColumn(row, F.col(key).cast("long"))
+    order = [F.asc_nulls_last(key), F.xxhash64(*df.columns), F.col(row)]
+    placed = df.withColumn(row, F.monotonically_increasing_id())
+    return stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, whatever the optimizer does with the projection around it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -55,10 +97,14 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_REGEX))
 
 
-def hashed_sample(df: DataFrame, group: str, key: str, rows: int, salts: int = 64) -> DataFrame:
-    """At most `rows` rows of each group, those of the smallest hashes of the key. Groups are cut down by salted parts
-    first, so that what meets in one task is at most salts * rows, however many rows or tasks there are."""
-    h = F.xxhash64(key)
-    for parts in ([F.col(group), F.pmod(h, F.lit(salts))], [F.col(group)]):
-        df = df.withColumn("\1n", F.row_number().over(Window.partitionBy(*parts).orderBy(h, key))).where(F.col("\1n") <= rows).drop("\1n")
-    return df
+def hashed_sample(df: DataFrame, group: str, keys: list[str], rows: int, counts: dict) -> DataFrame:
+    """About `rows` rows of each group, or all if it has no more: those whose hash of `keys` lies in the group's share.
+
+    counts: the number of rows by group. Each row is judged by itself, so a large group meets in no task. The number
+    picked varies by the root of `rows`; a null group, or one that isn't counted, gives no rows.
+    """
+    if not counts:
+        return df.limit(0)
+    share = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, rows / max(1, n)))))
+    part = F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    return df.where(part < F.try_element_at(share, F.col(group)))

@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The model is fitted on a bounded sample of labelled rows, the same number at most for each language,
-picked by a hash of the key. Its log-probability matrix (buckets by languages) is broadcast. Texts
-are scored in batches: the n-grams of a batch are the column indices of a sparse matrix of counts
-whose rows are the texts, and its product with the matrix is a gather and a segmented sum.
+The model is fitted on a bounded sample of labelled rows, about the same number at most for each language,
+picked by a hash. Its log-probability matrix (buckets by languages) is broadcast. Texts are scored in
+batches: the n-grams of a batch are the column indices of a sparse matrix of counts whose rows are
+the texts, and its product with the matrix is a gather and a segmented sum. Long texts are walked in
+pieces, which carry their last characters on, so that memory follows the piece and not the text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from .common import hashed_sample
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 800
-MOST_LANGUAGES = 200
+#: The matrix takes 256 KB a language and is broadcast, so fit() refuses tables of more languages than this.
+MOST_LANGUAGES = 2000
+#: Characters of a text from which on it is walked in pieces of so many.
+PIECE = 1_000_000
 UNKNOWN = "und"
 
 
@@ -34,40 +38,53 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, text after text, and where each text's begin (one more than texts).
+def normal(text: str, after_blank: np.ndarray | bool = True) -> np.ndarray:
+    """Code points in lower case; a run of anything but letters is one space, and none after a space or at the start."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(letter_table()[codes], codes, 32).astype("u8")
+    blank = codes == 32
+    return codes[~(blank & np.r_[after_blank, blank[:-1]][: len(blank)])]
 
-    Texts are lower case; runs of anything but letters count as one space. An n-gram never crosses texts.
-    """
-    codes = np.frombuffer(("\0" + "\0".join((t or "").lower().replace("\0", " ") for t in texts) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
-    edge = codes == 0
-    codes = np.where(edge, 0, np.where(letter_table()[codes], codes, 32)).astype("u8")
-    blank = codes <= 32
-    keep = edge | ~(blank & np.r_[False, blank[:-1]])  # one space of a run, none at a text's start
-    codes, edge = codes[keep], edge[keep]
-    parts, starts = [], np.zeros(len(texts) + 1, "i8")
-    at = np.flatnonzero(edge)
-    h, whole = codes * np.uint64(0x9E3779B97F4A7C15), ~edge
-    orders = []
+
+def buckets(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each order and the buckets of the n-grams of that order, by where they start."""
+    h = codes * np.uint64(0x9E3779B97F4A7C15)
     for n in range(1, max(ORDERS) + 1):
         if n > 1:
             h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[n - 1 :]
-            whole = whole[:-1] & ~edge[n - 1 :]
         if n in ORDERS:
-            mixed = (h + np.uint64(n)) * np.uint64(0x94D049BB133111EB)
-            orders.append(((mixed >> np.uint64(64 - BUCKET_BITS)).astype("i4"), whole))
-    counts = []
-    for b, ok in orders:
-        total = np.r_[0, np.cumsum(ok)]
-        counts.append(np.diff(total[np.minimum(at, len(ok))]))
-        parts.append(b[ok])
-    if len(orders) == 1:
-        flat = parts[0]
-    else:  # by text, then by order
-        owner = np.concatenate([np.repeat(np.arange(len(texts)), c) for c in counts])
-        flat = np.concatenate(parts)[np.argsort(owner, kind="stable")]
-    starts[1:] = np.cumsum(np.sum(counts, axis=0))
-    return flat, starts
+            yield n, (((h + np.uint64(n)) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - BUCKET_BITS)).astype("i4")
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams, text after text, and where each text's begin (one more than texts). An n-gram never crosses texts."""
+    each = [normal(t or "") for t in texts]
+    size = np.array([len(c) for c in each], "i8")
+    codes = np.concatenate([*each, np.zeros(0, "u8")])
+    owner = np.repeat(np.arange(len(texts)), size)
+    parts, owners = [], []
+    for n, found in buckets(codes):
+        whole = owner[: len(found)] == owner[n - 1 :]
+        parts.append(found[whole])
+        owners.append(owner[: len(found)][whole])
+    owners = np.concatenate(owners)
+    flat = np.concatenate(parts)[np.argsort(owners, kind="stable")]
+    return flat, np.r_[0, np.cumsum(np.bincount(owners, minlength=len(texts)))]
+
+
+def counts_of(text: str) -> np.ndarray:
+    """How often each bucket occurs in one text, piece by piece."""
+    out, carried = np.zeros(1 << BUCKET_BITS, "i8"), np.zeros(0, "u8")
+    at = 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        while end < len(text) and end > at + PIECE // 2 and text[end - 1].isalpha():
+            end -= 1  # cut after a word, as the case of some letters depends on what follows
+        codes = np.r_[carried, normal(text[at:end], not len(carried) or carried[-1] == 32)]
+        for n, found in buckets(codes):
+            out += np.bincount(found[max(0, len(carried) - n + 1) :], minlength=len(out))
+        carried, at = codes[-max(ORDERS) + 1 :] if max(ORDERS) > 1 else codes[:0], end
+    return out
 
 
 @dataclass(frozen=True)
@@ -79,7 +96,12 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Posterior probabilities, texts by languages."""
         out = np.zeros((len(texts), len(self.languages)))
-        codes, starts = grams(texts)
+        long = [i for i, t in enumerate(texts) if t and len(t) > PIECE]
+        for i in long:
+            counts = counts_of(texts[i])
+            some = np.flatnonzero(counts)
+            out[i] = counts[some].astype("f8") @ self.log_prob[some].astype("f8")
+        codes, starts = grams([None if t and len(t) > PIECE else t for t in texts])
         filled = np.flatnonzero(np.diff(starts))
         if len(filled):
             out[filled] = np.add.reduceat(self.log_prob[codes], starts[filled], axis=0, dtype="f8")
@@ -88,29 +110,37 @@ class Model:
         return out / out.sum(axis=1, keepdims=True)
 
 
-def fit(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """A model from at most `rows` usable rows of each of the MOST_LANGUAGES most frequent languages."""
-    good = df.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
-    top = [r[0] for r in good.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()]
-    if not top:
-        return Model([], np.zeros(0), np.zeros((1 << BUCKET_BITS, 0), "f4"))
-    picked = hashed_sample(good.where(F.col(lang).isin(top)).select(key, lang), lang, key, rows)
-    sample = good.select(key, lang, text).join(F.broadcast(picked.select(key).distinct()), key, "left_semi")
+def fit(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model from about `rows` usable rows of each language. More than most_languages are an error, as none is left out.
+
+    Null texts and null languages teach nothing. Languages count alike, however many rows they have. Rows are picked by a hash of
+    key and text, so repeated rows are all in or all out.
+    """
+    good = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), usable.alias("usable")).where("usable and lang is not null and text is not null")
+    sizes = {r["lang"]: r["count"] for r in good.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"over {most_languages} languages; raise most_languages if executors hold a matrix of more")
+    sample = hashed_sample(good, "lang", ["key", "text"], rows, sizes).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in few(whole, text):
-                langs = b[lang].to_pylist()
-                for one in set(langs):
-                    found, _ = grams([t for t, x in zip(b[text].to_pylist(), langs, strict=True) if x == one])
-                    buckets, n = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(n), pa.string()), pa.array(buckets, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
-
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(counts["lang"]))
+            for b in few(whole, "text"):
+                texts, langs = b["text"].to_pylist(), b["lang"].to_pylist()
+                for one in sorted(set(langs)):
+                    mine = [t for t, x in zip(texts, langs, strict=True) if x == one]
+                    n = np.bincount(grams([t for t in mine if len(t) <= PIECE])[0], minlength=1 << BUCKET_BITS)
+                    for t in mine:
+                        if len(t) > PIECE:
+                            n += counts_of(t)
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "bucket", "n"])
+
+    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(counts["lang"].unique().to_pylist()))
     table = np.full((1 << BUCKET_BITS, len(languages)), 0.5)
-    column = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy("i8") if len(counts) else np.zeros(0, "i8")
-    table[counts["bucket"].to_numpy("i8"), column] += counts["n"].to_numpy("f8")
+    place = {x: i for i, x in enumerate(languages)}
+    column = np.array([place[x] for x in counts["lang"].to_pylist()], "i8")
+    table[counts["bucket"].to_numpy(), column] += counts["n"].to_numpy()
     log_prob = np.log(table / table.sum(axis=0)).astype("f4")
     return Model(languages, np.zeros(len(languages)), log_prob)
 
