@@ -1,10 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows. The terms of a text are its words (runs of letters,
-lower case) and their first letters, so that a stem is met in all its forms; the vocabulary is
-every term of the examples, with document frequencies counted over all documents; a term weighs the more the more the
-labels depend on it, but none weighs nothing. Examples
-stand in blocks; for each term the index keeps its postings and the highest weight in each block that has it. A
+Examples are a bounded sample of labelled rows. The terms of a text are its words (runs of letters, lower
+case); the vocabulary is every word of the examples, with document frequencies counted over all documents. A term
+weighs the more the more the labels depend on it, but none weighs nothing. Examples stand in blocks, like ones
+together; for each term the index keeps its postings and the highest weight in each block that has it. A
 text's weights times these maxima bound its similarity to a block, so that after the most promising
 blocks only those whose bound reaches the k-th best similarity are scored: the k nearest are exact.
 Their votes, weighted by similarity, are calibrated on the examples themselves, each scored without itself.
@@ -12,6 +11,7 @@ Their votes, weighted by similarity, are calibrated on the examples themselves,
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,44 +27,78 @@ from pyspark.sql import types as T
 from .bpe import few
 from .common import hashed_sample, stored
 
+#: About so many examples of each label are learned from; this bounds the vocabulary, the index and what is broadcast.
 EXAMPLES_PER_LABEL = 2000
 #: Log-likelihood ratio of a term and the label (chi-square with one degree of freedom) from which on the term has its full weight, and the least share of it that any has.
-FULL_RATIO, LEAST_SHARE = 24.0, 0.01
+FULL_RATIO, LEAST_SHARE = 24.0, 0.1
 NEIGHBOURS = 15
-BLOCK = 64
-FIRST_BLOCKS = 4
-STEMS = (3, 4, 5, 6)
+BLOCK = 128
+FIRST_BLOCKS = 2
 CACHE_ENTRIES = 400_000
+#: A term that at least this share of the examples has keeps a weight for every one of them, as a row of a matrix.
+DENSE_SHARE = 1 / 16
+#: Texts that are multiplied with that matrix together.
+TOGETHER = 128
 LETTERS = re.compile(r"[^\W\d_]+")
+PUNCTUATION = ".,;:!?'\"()[]"
 
 
-def terms_of(word: str) -> list[str]:
-    """Terms of one white-space-delimited chunk: each word as such, and its beginnings, marked by a hyphen."""
-    out = []
-    for w in LETTERS.findall(word.lower()):
-        out.append(w)
-        out += [f"{w[:n]}-" for n in STEMS if n <= len(w)]
-    return out
+def terms_of(chunk: str) -> list[str]:
+    """The words of one white-space-delimited chunk."""
+    return LETTERS.findall(chunk.lower())
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for each start, one after the other."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
 
 
 class Terms:
-    """Counts of vocabulary terms in texts; keeps the terms of chunks it has met (bounded)."""
+    """Counts of vocabulary terms in texts; keeps the terms of odd chunks it has met (bounded)."""
 
     def __init__(self, vocabulary: list[str]):
         self.ids = {t: i for i, t in enumerate(vocabulary)}
+        self.words = pa.array(vocabulary, pa.string())
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the text's terms, rising, and how often each occurs."""
-        known, ids, out = self.known, self.ids, []
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        for chunk in (text or "").split():
-            found = known.get(chunk)
-            if found is None:
-                known[chunk] = found = tuple(ids[t] for t in terms_of(chunk) if t in ids)
-            out += found
-        return np.unique(np.array(out, "i8"), return_counts=True)
+    def look(self, chunk: str) -> tuple[int, ...]:
+        found = self.known.get(chunk)
+        if found is None:
+            ids = self.ids
+            found = tuple(ids[t] for t in terms_of(chunk) if t in ids)
+            if len(self.known) < CACHE_ENTRIES:
+                self.known[chunk] = found
+        return found
+
+    def of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many terms each chunk has, and their ids, one after the other. Single words are looked up together, other chunks one by one."""
+        word = pc.utf8_lower(pc.ascii_trim(chunks, characters=PUNCTUATION))
+        odd = ~pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False) | pc.match_substring_regex(chunks, "[\u0130\u03a3]").to_numpy(zero_copy_only=False)  # two letters whose case isn't simple
+        place = pc.fill_null(pc.index_in(word, value_set=self.words), -1).to_numpy()
+        one = ~odd & (place >= 0)
+        size, other = one.astype("i8"), np.flatnonzero(odd)
+        found = list(map(self.look, chunks.take(pa.array(other)).to_pylist()))
+        size[other] = np.fromiter(map(len, found), "i8", len(found))
+        begin = np.cumsum(size) - size
+        flat = np.empty(size.sum(), "i8")
+        flat[begin[one]] = place[one]
+        flat[spans(begin[other], size[other])] = np.fromiter(itertools.chain.from_iterable(found), "i8")
+        return size, flat
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges (one more than texts), and between them the ids of each text's terms, rising, and how often each occurs.
+
+        A batch is cut at white space and its distinct chunks are looked up once each; the rest is arithmetic on arrays.
+        """
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        chunks = lists.flatten().dictionary_encode()
+        code = chunks.indices.to_numpy()
+        size, flat = self.of_chunks(chunks.dictionary)
+        doc = np.repeat(np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), size[code])
+        term = flat[spans((np.cumsum(size) - size)[code], size[code])]
+        wide = max(1, len(self.ids))
+        cell, n = np.unique(doc * wide + term, return_counts=True)
+        return np.searchsorted(cell, np.arange(len(texts) + 1) * wide), cell % wide, n
 
 
 def weights(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +107,30 @@ def weights(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     return t, w / max(np.sqrt((w * w).sum()), 1e-12)
 
 
-def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... (size of them) for each start, one after the other."""
-    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-
-
 class BlockMaxIndex:
-    """Postings by term and block, with the highest weight of each term in each block where it occurs."""
+    """Postings by term and block, with the highest weight of each term in each block where it occurs.
+
+    The postings of the most frequent terms are rows of a matrix with a weight for every example; their part of a similarity is
+    known for all examples before blocks are bounded.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         """vectors: term ids and weights of each example; an example's number is its place here."""
+        having = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, "i8")]), minlength=n_terms)
+        commonest = [t[np.argmax(having[t])] if len(t) else n_terms for t, _ in vectors]  # tells languages apart
         heaviest = [t[np.argmax(w)] if len(t) else n_terms for t, w in vectors]
-        self.order = np.lexsort((np.arange(len(vectors)), heaviest)) if vectors else np.zeros(0, "i8")  # like examples share a block
+        self.order = np.lexsort((np.arange(len(vectors)), heaviest, commonest)) if vectors else np.zeros(0, "i8")  # like examples share a block
         n = max(1, -(-len(vectors) // BLOCK))
         place = np.repeat(np.arange(len(vectors)), [len(vectors[i][0]) for i in self.order])
         term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, "i8")])
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        frequent = np.flatnonzero(having > max(1.0, DENSE_SHARE * len(vectors)))
+        self.row = np.full(n_terms, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        thick = self.row[term] >= 0
+        self.dense = np.zeros((len(frequent), len(vectors)))
+        self.dense[self.row[term[thick]], place[thick]] = weight[thick]
+        place, term, weight = place[~thick], term[~thick], weight[~thick]
         by = np.lexsort((place, term))
         self.place, self.weight = place[by].astype("i4"), weight[by]
         cell = term[by] * n + place[by] // BLOCK
@@ -97,37 +140,51 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.blocks = n
 
-    def scored(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Similarities to the examples of some cells, w the text's weight of each cell's term, by place."""
+    def scored(self, text: np.ndarray, cells: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
+        """What some cells add to the similarities, texts by places; w: the weight of each cell's term in the text that asks for it."""
         a, size = self.edges[cells], self.edges[cells + 1] - self.edges[cells]
-        at = spans(a, size)
-        return np.bincount(self.place[at], np.repeat(w, size) * self.weight[at], len(self.order))
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities of the k most similar examples with a term in common; ties by number."""
-        if not len(t):
-            return np.zeros(0, "i8"), np.zeros(0)
+        at, n = spans(a, size), len(self.order)
+        return np.bincount(np.repeat(text * n, size) + self.place[at], np.repeat(w, size) * self.weight[at], texts * n).reshape(texts, n)
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector of term ids and weights the numbers and similarities of the k most similar examples with a term in common; ties by number."""
+        for i in range(0, len(vectors), TOGETHER):
+            yield from self.nearest(vectors[i : i + TOGETHER], k, leave_out[i : i + TOGETHER] if leave_out else None)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As above for a few texts at once."""
+        texts, n = len(vectors), len(self.order)
+        if not n:
+            yield from [(np.zeros(0, "i8"), np.zeros(0))] * texts
+            return
+        text = np.repeat(np.arange(texts), [len(t) for t, _ in vectors])
+        t, w = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        row = self.row[t]
+        asked = np.zeros((texts, len(self.dense)))
+        asked[text[row >= 0], row[row >= 0]] = w[row >= 0]
+        sims = asked @ self.dense
+        text, t, w = text[row < 0], t[row < 0], w[row < 0]
         size = self.cells[t + 1] - self.cells[t]
-        cells, w = spans(self.cells[t], size), np.repeat(w, size)
-        block = self.block[cells]
-        bound = np.bincount(block, w * self.most[cells], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        pick = first[block]
-        sims = self.scored(cells[pick], w[pick])
-        kth = np.partition(sims, -k - 1)[-k - 1] if len(sims) > k else 0.0  # one more, for the one left out
-        rest = ~first & (bound + 1e-9 >= max(kth, 1e-9))
-        if rest.any():
-            pick = rest[block]
-            sims = sims + self.scored(cells[pick], w[pick])
-        hit = np.flatnonzero(sims > 0)
-        if len(hit) > k + 1:
-            hit = hit[sims[hit] >= np.partition(sims[hit], -k - 1)[-k - 1] - 1e-9]
-        number = self.order[hit]
-        if leave_out >= 0:
-            hit, number = hit[number != leave_out], number[number != leave_out]
-        best = np.lexsort((number, -np.round(sims[hit], 12)))[:k]
-        return number[best], sims[hit[best]]
+        cells, text, w = spans(self.cells[t], size), np.repeat(text, size), np.repeat(w, size)
+        block = text * self.blocks + self.block[cells]
+        bound = np.maximum.reduceat(sims, np.arange(0, n, BLOCK), axis=1) + np.bincount(block, w * self.most[cells], texts * self.blocks).reshape(texts, -1)
+        first = np.zeros_like(bound, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        pick = first.reshape(-1)[block]
+        sims += self.scored(text[pick], cells[pick], w[pick], texts)
+        short = min(k + 1, n)  # one more, for the one left out
+        kth = np.partition(sims, n - short, axis=1)[:, n - short] if n > k else np.zeros(texts)  # of sums that may lack something
+        rest = ~first & (bound + 1e-9 >= np.maximum(kth, 1e-9)[:, None])
+        pick = rest.reshape(-1)[block]
+        sims += self.scored(text[pick], cells[pick], w[pick], texts)
+        kth = np.partition(sims, n - short, axis=1)[:, n - short]
+        at, place = np.nonzero((sims > 1e-12) & (sims >= kth[:, None] - 1e-9))
+        for j, (a, z) in enumerate(itertools.pairwise(np.searchsorted(at, np.arange(texts + 1)).tolist())):
+            number, found = self.order[place[a:z]], sims[j, place[a:z]]
+            if leave_out:
+                number, found = number[number != leave_out[j]], found[number != leave_out[j]]
+            best = np.lexsort((number, -np.round(found, 9)))[:k]
+            yield number[best], found[best]
 
 
 def increasing_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,51 +201,55 @@ def increasing_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndar
 class Model:
     """The index with the labels of its examples and the calibration of the votes."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, keys: list, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float):
-        """share: of label 1 among all labelled rows that may be learned from."""
-        self.vocabulary, self.idf, self.keys, self.labels, self.share = vocabulary, idf, keys, labels, share
-        vectors = [weights(*c, idf) for c in counts]
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
-        near = [self.index.nearest(t, w, NEIGHBOURS, leave_out=i) for i, (t, w) in enumerate(vectors)]
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, keys: list, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        self.vocabulary, self.idf, self.keys, self.labels = vocabulary, idf, keys, labels
+        self.index = BlockMaxIndex([weights(*c, idf) for c in counts], len(vocabulary))
+        self.x, self.y, self.lone_score = np.zeros(1), np.zeros(1), 0.0
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, share: float) -> None:
+        """Fits the chance of label 1 to the votes of the examples (NaN without a neighbour). share: of label 1 among all labelled rows."""
         own = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum())) * max(1, len(labels))
-        lone = np.array([not len(n[0]) for n in near], bool)
+        lone = np.isnan(votes)
         self.lone_score = float((own * labels * lone).sum() + 0.5 * share) / float((own * lone).sum() + 0.5) if len(labels) else 0.0
-        votes = np.array([self.vote(*n) for n in near])
         self.x, self.y = increasing_fit(votes[~lone], labels[~lone], own[~lone]) if (~lone).any() else (np.zeros(1), np.array([share]))
 
     def vote(self, number: np.ndarray, similarity: np.ndarray) -> float:
-        return float((similarity * self.labels[number]).sum() / similarity.sum()) if len(number) else 0.0
+        return float((similarity * self.labels[number]).sum() / similarity.sum()) if len(number) else math.nan
 
-    def score(self, t: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The calibrated score, between the fitted steps by line, and the nearest examples."""
-        number, similarity = self.index.nearest(*weights(t, n, self.idf), NEIGHBOURS)
-        if not len(number):
-            return self.lone_score, number, similarity
-        return float(np.interp(self.vote(number, similarity), self.x, self.y)), number, similarity
+    def nearest(self, edges: np.ndarray, t: np.ndarray, n: np.ndarray, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples and their similarities, for texts as Terms.count gives them."""
+        return self.index.all_nearest([weights(t[a:z], n[a:z], self.idf) for a, z in zip(edges[:-1], edges[1:], strict=True)], NEIGHBOURS, leave_out)
+
+    def score(self, number: np.ndarray, similarity: np.ndarray) -> float:
+        """The calibrated score, between the fitted steps by line."""
+        return float(np.interp(self.vote(number, similarity), self.x, self.y)) if len(number) else self.lone_score
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most EXAMPLES_PER_LABEL usable rows of labels for each label, picked by a hash of the key.
+    """A model from about EXAMPLES_PER_LABEL usable rows of labels for each label, picked by a hash of the key.
 
-    Keys with a null or without a text, or with both labels, teach nothing. Examples are bounded, and so is
-    their vocabulary, so both may go through the driver; document frequencies are counted over all rows of docs.
+    Keys with a null or without a text, or with both labels, teach nothing; of several texts of one key the first in
+    order does. Examples are bounded, and so is their vocabulary, so both may go through the driver; document frequencies are
+    counted over all rows of docs.
     """
-    good = labels.where(usable & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most and " + key + " is not null").select(key, "label")
-    picked = hashed_sample(good, "label", key, EXAMPLES_PER_LABEL)
-    sample = stored(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(picked), key).dropDuplicates([key]), "toxic-examples")
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null")
+    good = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("key", "label")
     totals = {r["label"]: r["count"] for r in good.groupBy("label").count().collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    picked = hashed_sample(good, "label", ["key"], EXAMPLES_PER_LABEL, totals)
+    sample = stored(docs.where("text is not null").join(F.broadcast(picked), "key").groupBy("key", "label").agg(F.min("text").alias("text")), "toxic-examples")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
         for b in batches:
-            found = Counter()
-            for t, y in zip(b[text].to_pylist(), b["label"].to_pylist(), strict=True):
+            for t, y in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
                 found.update((x, y) for x in {x for w in set(t.split()) for x in terms_of(w)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "label", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "label", "n"])
 
     seen = sample.mapInArrow(terms, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     n = max(1, n0 + n1)
 
     def part(seen: Column, size: int, of: Column) -> Column:
@@ -199,37 +260,54 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     ratio = 2 * (part(F.col("a"), n1, both) + part(F.col("b"), n0, both) + part(n1 - F.col("a"), n1, n - both) + part(n0 - F.col("b"), n0, n - both))
     found = seen.select("term", F.least(F.lit(1.0), F.greatest(F.lit(LEAST_SHARE), ratio / FULL_RATIO)).alias("tells")).toArrow().sort_by("term")
     vocabulary, tells = found["term"].to_pylist(), found["tells"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, found, rows = Terms(shared.value), Counter(), 0
+        counter, found, rows = Terms(shared.value), np.zeros(len(shared.value), "i8"), 0
         for whole in batches:
-            for b in few(whole, text):
-                for t in b[text].to_pylist():
-                    found.update(counter.count(t)[0].tolist())
+            for b in few(whole, "text"):
+                found += np.bincount(counter.count(b["text"])[1], minlength=len(found))
                 rows += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([rows, *found.values()], pa.int64())], names=["term", "n"])
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int32()), pa.array(np.r_[rows, found[some]], pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select(text).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = tells * np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1e-3 for i in range(len(vocabulary))])
+    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()  # the number of documents, term -1, stands last
+    idf = tells * (np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Terms(shared.value)
         for b in batches:
-            found = [counter.count(t) for t in b[text].to_pylist()]
-            lists = [pa.array([c[0] for c in found], pa.list_(pa.int32())), pa.array([c[1] for c in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b[key], b["label"], *lists], names=[key, "label", "t", "n"])
+            edges, t, n = counter.count(b["text"])
+            lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, kind)) for x, kind in ((t, pa.int32()), (n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b["key"], b["label"], *lists], names=["key", "label", "t", "n"])
+
+    schema = T.StructType([sample.schema["key"], sample.schema["label"], T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    found = sample.mapInArrow(vectors, schema).toArrow().sort_by("key")
+    counts = [(t.values.to_numpy().astype("i8"), n.values.to_numpy()) for t, n in zip(found["t"], found["n"], strict=True)]
+    model = Model(vocabulary, idf, found["key"].to_pylist(), counts, found["label"].to_numpy().astype("i8"))
+    raw = sc.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = raw.value
+        number, counter = {k: i for i, k in enumerate(m.keys)}, Terms(m.vocabulary)
+        for b in batches:
+            edges, t, n = counter.count(b["text"])
+            out = [m.vote(*near) for near in m.nearest(edges, t, n, [number[k] for k in b["key"].to_pylist()])]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), b["label"]], names=["vote", "label"])
 
-    schema = T.StructType([sample.schema[key], sample.schema["label"], T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
-    rows = sample.mapInArrow(vectors, schema).toArrow().sort_by(key)
-    counts = [(t.values.to_numpy().astype("i8"), n.values.to_numpy()) for t, n in zip(rows["t"], rows["n"], strict=True)]
-    return Model(vocabulary, idf, rows[key].to_pylist(), counts, rows["label"].to_numpy().astype("i8"), share)
+    spread = sample.repartition(max(1, sc.defaultParallelism), "key")  # scoring takes longer than reading
+    own = spread.mapInArrow(votes, "vote double, label int").toArrow().sort_by([("vote", "ascending"), ("label", "ascending")])
+    model.calibrate(own["vote"].to_numpy(), own["label"].to_numpy().astype("i8"), share)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", evidence: int = 3) -> DataFrame:
     """docs with score (0 to 1), predicted (1 from 0.5 on) and evidence: the nearest examples' keys, similarities and labels.
 
-    Null and empty texts, and texts without a term of any example, get the share of label 1 among examples that
+    Null and empty texts, and texts without a word of any example, get the share of label 1 among examples that
     have no neighbour either; without examples every score is 0. Columns of the new names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
@@ -243,9 +321,9 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
         for whole in batches:
             kind = pa.list_(pa.struct([(key, whole.schema.field(key).type), ("similarity", pa.float64()), ("label", pa.int32())]))
             for b in few(whole, text):
-                found = [m.score(*counter.count(t)) for t in b[text].to_pylist()]
-                score = np.array([x[0] for x in found])
-                proof = [[{key: m.keys[i], "similarity": float(s), "label": int(m.labels[i])} for i, s in zip(n[:evidence].tolist(), sims[:evidence].tolist(), strict=True)] for _, n, sims in found]
+                found = list(m.nearest(*counter.count(b[text])))
+                score = np.array([m.score(*near) for near in found])
+                proof = [[{key: m.keys[i], "similarity": float(s), "label": int(m.labels[i])} for i, s in zip(n[:evidence].tolist(), sims[:evidence].tolist(), strict=True)] for n, sims in found]
                 yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(score), pa.array((score >= 0.5).astype("i4")), pa.array(proof, kind)], names=[*keep, "score", "predicted", "evidence"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
