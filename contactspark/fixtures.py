@@ -48,7 +48,7 @@ from (select o_orderkey as call_id, o_custkey, c, b * 1000 as start,
              case o_orderpriority when '1-URGENT' then '++' when '2-HIGH' then '+-' when '3-MEDIUM' then '-+' when '4-NOT SPECIFIED' then '--' else 'negative' end as label
       from (select *, {PLACE.format(r="r", q="q", c="c", b="b")} from (select *, o_orderkey // 10 as q, o_orderkey % 10 as r from orders) x) y) z
 join fx_chromsizes s on s.chrom_idx = c""",
-    "fx_results": "select call_id as result_id, f.start + o.start + (o_custkey % 13 - 6) * 1000 as bp_1, f.end_ + o.start + (o_custkey % 13 - 6) * 1000 as bp_2, label from fx_calls f join fx_offsets o on o.chrom_idx = f.chrom_idx where call_id % 3 = 0",
+    "fx_results": "select call_id as result_id, f.start + o.start + (o_custkey % 13 - 6) * 1000 as bp_1, f.end_ + o.start + (o_custkey % 13 - 6) * 1000 as bp_2, label from fx_calls f join fx_offsets o on o.chrom_idx = f.chrom_idx",
     "fx_vcf": "select event_type as chrom, user_id * 7000 + event_id % 900 as pos, cast(length(props) + event_id % 97 as bigint) as alt_len from events",
     "fx_wide": """
 select l_orderkey * 10 + l_linenumber as id, 'c' || (l_orderkey % 3) as chrom1, l_partkey * 100 as pos1, 'c' || (l_suppkey % 3) as chrom2, l_suppkey * 1000 as pos2,

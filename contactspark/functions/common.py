@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most rows that a side may have to be broadcast without a look at its bytes.
-BROADCAST_ROWS = 100_000
+#: The most rows and bytes of a side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, so that Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES; else as it is, so that Spark shuffles it.
+
+    The rows that show this (one over the bound at most) are kept, so a small side is worked out only once.
+    """
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows > rows or found.nbytes > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 def floor_div(a: Column, b: int | Column) -> Column:
@@ -24,5 +30,8 @@ def floor_div(a: Column, b: int | Column) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a temporary one where that is unset (tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='maps-')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a temporary one for local runs, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='maps-')}/{name}-{uuid.uuid4().hex}"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def expected_by_distance(expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,3 +93,25 @@ def coarsegrain(balanced: np.ndarray, counts: np.ndarray, cutoff: int = 3, level
         if value.size == 1:
             break
     return out
+
+
+def adaptive_coarsegrain(patches: DataFrame, size: int, cutoff: int = 3, levels: int = 8, values: str = "values", counts: str = "counts", out: str = "coarse") -> DataFrame:
+    """patches (arrays of size * size balanced values and raw counts, by row) with `out`: each patch coarse-grained as by coarsegrain().
+
+    Null values are masked: left out of means, and null in the result. A null patch, or one without counts, gives null.
+    """
+    keep = [c for c in patches.columns if c != out]
+    schema = patches.select(keep).schema.add(out, T.ArrayType(T.DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for v, n in zip(b[values].to_pylist(), b[counts].to_pylist(), strict=True):
+                if v is None or n is None:
+                    found.append(None)
+                    continue
+                whole = coarsegrain(np.array(v, "f8").reshape(size, size), np.array([x or 0 for x in n], "f8").reshape(size, size), cutoff, levels)
+                found.append([None if np.isnan(x) else x for x in whole.reshape(-1).tolist()])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(found, pa.list_(pa.float64()))], names=[*keep, out])
+
+    return patches.select(keep).mapInArrow(run, schema)

@@ -26,6 +26,13 @@ def check_resolutions(pixels: DataFrame, required: list[int]) -> None:
         raise ValueError(f"resolutions missing: {missing}")
 
 
+def available_resolutions(pixels: DataFrame, required: list[int]) -> DataFrame:
+    """(resolution, available) for each required resolution."""
+    wanted = pixels.sparkSession.createDataFrame([(r,) for r in required], "resolution int")
+    found = pixels.select(F.col("resolution").cast("int").alias("resolution")).distinct().withColumn("found", F.lit(True))
+    return wanted.join(found, "resolution", "left").select("resolution", F.coalesce("found", F.lit(False)).alias("available"))
+
+
 def symmetric(cells: DataFrame) -> DataFrame:
     """Both triangles: each cell off the diagonal also with its sides exchanged."""
     off = cells.where("chrom1_idx <> chrom2_idx or bin1 <> bin2")

@@ -16,9 +16,18 @@ GAUSS3 = (0.27406862, 0.45186276, 0.27406862)
 
 
 def densify(cells: DataFrame, size: int, keys: tuple[str, ...] = ("patch_id",)) -> DataFrame:
-    """keys + values: the window's cells by row, missing ones 0. A window has size * size cells, so groups are bounded."""
-    packed = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("dx") * size + F.col("dy")).cast("int").alias("k"), F.col("value").cast("double")))).alias("m"))
-    return packed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
+    """keys + values: the window's cells by row, missing ones 0. A window has size * size cells, so groups are bounded.
+
+    Cells are sorted by place and the gaps between them filled, so the work follows the number of places. Of several cells at one
+    place the largest counts; a cell without a value counts as missing.
+    """
+    place = (F.col("dx") * size + F.col("dy")).cast("int")
+    packed = cells.where("value is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), F.col("value").cast("double").alias("v")))).alias("m"))
+    packed = packed.withColumn("m", F.filter("m", lambda x, i: F.coalesce(F.get("m", i + 1)["k"] != x["k"], F.lit(True))))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    filled = F.transform("m", lambda x, i: F.concat(zeros(x["k"] - 1 - F.coalesce(F.get("m", i - 1)["k"], F.lit(-1))), F.array(x["v"])))
+    tail = zeros(size * size - 1 - F.get("m", F.size("m") - 1)["k"])
+    return packed.select(*keys, F.concat(F.flatten(filled), tail).alias("values"))
 
 
 def blur3(patches: np.ndarray) -> np.ndarray:
@@ -100,7 +109,7 @@ def ensemble_average(scores: DataFrame, keys: tuple[str, ...] = ("patch_id",), v
 
 
 class ConvScorer:
-    """Forward pass of an ensemble of convolution blocks on stacks of patches, from an .npz of weights.
+    """Forward pass of an ensemble of convolution blocks on stacks of patches.
 
     Each block is a list of layers: ("conv", weight, bias) 3 by 3 with padding 1, ("norm", scale, shift), ("relu",),
     ("pool",) 2 by 2 maxima. The blocks' outputs are flattened and joined, then go through dense layers with ReLU
@@ -110,6 +119,26 @@ class ConvScorer:
     def __init__(self, blocks: list[list[tuple]], dense: list[tuple[np.ndarray, np.ndarray]]):
         self.blocks, self.dense = blocks, dense
 
+    def save(self, path: str) -> None:
+        """The weights as an .npz: arrays named block/layer/kind/which and dense/layer/which."""
+        out = {f"{b}/{i}/{kind}/{j}": np.asarray(w) for b, block in enumerate(self.blocks) for i, (kind, *ws) in enumerate(block) for j, w in enumerate(ws or [np.zeros(0)])}
+        np.savez(path, **out, **{f"dense/{i}/{j}": w for i, layer in enumerate(self.dense) for j, w in enumerate(layer)})
+
+    @classmethod
+    def load(cls, path: str) -> ConvScorer:
+        """A scorer from a file that save() wrote. It is read on the driver and goes to the tasks with the job, so weights are a few MB."""
+        blocks: dict[int, dict[int, tuple]] = {}
+        dense: dict[int, dict[int, np.ndarray]] = {}
+        with np.load(path) as data:
+            for name in data.files:
+                where, *rest = name.split("/")
+                if where == "dense":
+                    dense.setdefault(int(rest[0]), {})[int(rest[1])] = data[name]
+                else:
+                    layers = blocks.setdefault(int(where), {})
+                    layers[int(rest[0])] = (*layers.get(int(rest[0]), (rest[1],)), *([data[name]] if data[name].size else []))
+        return cls([[block[i] for i in sorted(block)] for _, block in sorted(blocks.items())], [(layer[0], layer[1]) for _, layer in sorted(dense.items())])
+
     @staticmethod
     def layer(x: np.ndarray, kind: str, *w: np.ndarray) -> np.ndarray:
         if kind == "conv":

@@ -6,6 +6,8 @@ at most; so the join deals out by tile and never compares all with all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,13 +92,18 @@ def distinct_coords(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["chrom1_idx", "chrom2_idx", "x", "y"])
 
 
+def mark_inside(df: DataFrame, chromsizes: DataFrame, size: int, res: int, flag: str = "inside") -> DataFrame:
+    """df with a flag of whether the window of `size` around the point lies inside both chromosomes; unknown chromosomes hold none."""
+    pad, n = size // 2, F.expr(f"length div {res}")
+    lengths = bounded(chromsizes.select(F.col("chrom_idx").alias("chrom1_idx"), n.alias("_n1")))
+    joined = df.join(lengths, "chrom1_idx", "left").join(lengths.toDF("chrom2_idx", "_n2"), "chrom2_idx", "left")
+    inside = (F.col("x") >= pad) & (F.col("y") >= pad) & (F.col("x") + pad <= F.col("_n1")) & (F.col("y") + pad <= F.col("_n2"))
+    return joined.select(*df.columns, F.coalesce(inside, F.lit(False)).alias(flag))
+
+
 def filter_inside(df: DataFrame, chromsizes: DataFrame, size: int, res: int) -> DataFrame:
     """Points whose window of `size` around them lies inside both chromosomes."""
-    pad, n = size // 2, F.expr(f"length div {res}")
-    n1 = bounded(chromsizes.select(F.col("chrom_idx").alias("chrom1_idx"), n.alias("_n1")))
-    n2 = bounded(chromsizes.select(F.col("chrom_idx").alias("chrom2_idx"), n.alias("_n2")))
-    joined = df.join(n1, "chrom1_idx").join(n2, "chrom2_idx")
-    return joined.where((F.col("x") >= pad) & (F.col("y") >= pad) & (F.col("x") + pad <= F.col("_n1")) & (F.col("y") + pad <= F.col("_n2"))).drop("_n1", "_n2")
+    return mark_inside(df, chromsizes, size, res, "_inside").where("_inside").drop("_inside")
 
 
 def filter_corners_inside(df: DataFrame, chromsizes: DataFrame, size: int, res: int, upper: bool = False) -> DataFrame:
@@ -114,17 +121,20 @@ def filter_upper_in_bounds(df: DataFrame, n: int, size: int) -> DataFrame:
     return df.where((F.col("x") <= F.col("y")) & (F.col("y") + size <= n) & (F.col("x") >= 0))
 
 
-def cross_anchors(anchors: DataFrame, size: int, ordered_by_chrom: bool = False) -> DataFrame:
+def cross_anchors(anchors: DataFrame, size: int, ordered_by_chrom: bool = False, block: int = 2000) -> DataFrame:
     """Pairs of anchors (chrom_idx, x): all but those with x < y, or near each other on one chromosome.
 
-    The number of pairs is what is asked for here and follows the square of the thinned anchors; one side is broadcast
-    if it is short. ordered_by_chrom: order pairs between chromosomes by chromosome instead of by local bin.
+    The number of pairs is what is asked for here and follows the square of the thinned anchors. Both sides are dealt out in blocks
+    of about `block` anchors and joined on the pair of blocks, so a task holds one pair's anchors. ordered_by_chrom: order pairs between
+    chromosomes by chromosome instead of by local bin.
     """
-    a = anchors.select(F.col("chrom_idx").alias("chrom1_idx"), "x")
-    b = anchors.select(F.col("chrom_idx").alias("chrom2_idx"), F.col("x").alias("y"))
+    n = max(math.isqrt(anchors.sparkSession.sparkContext.defaultParallelism), -(-anchors.count() // block))
+    dealt = anchors.select("chrom_idx", "x", F.pmod(F.xxhash64("chrom_idx", "x"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    a = dealt.select(F.col("chrom_idx").alias("chrom1_idx"), "x", F.col("own").alias("_i"), F.col("other").alias("_j"))
+    b = dealt.select(F.col("chrom_idx").alias("chrom2_idx"), F.col("x").alias("y"), F.col("other").alias("_i"), F.col("own").alias("_j"))
     cis = F.expr("chrom1_idx = chrom2_idx")
     order = (cis & (F.col("x") >= F.col("y"))) | (F.col("chrom1_idx") > F.col("chrom2_idx")) if ordered_by_chrom else F.col("x") >= F.col("y")
-    return a.join(bounded(b), order & ~(cis & (F.abs(F.col("x") - F.col("y")) < size)))
+    return a.join(b, ["_i", "_j"]).where(order & ~(cis & (F.abs(F.col("x") - F.col("y")) < size))).drop("_i", "_j")
 
 
 def centre_to_corner(df: DataFrame, size: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coords, values
-from ..functions.common import bounded, floor_div
+from ..functions.common import bounded, floor_div, scratch
 from ..operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
 from ..sources.writers import read_stage, write_stage
 
@@ -41,25 +41,44 @@ def genome_cells(pixels: DataFrame, chromsizes: DataFrame, res: int) -> DataFram
     return c.groupBy("sample", F.least("genome_x", "genome_y").alias("g1"), F.greatest("genome_x", "genome_y").alias("g2")).agg(F.sum("count").alias("count"))
 
 
-def scan_diagonal(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int = 48, step: int = 24, centre: int = 4) -> DataFrame:
-    """Windows along the diagonal of the whole genome, scored by the contrast of the two samples' log-ratio:
+def scored_windows(cut: DataFrame, n: int, size: int, step: int, scorer: Scorer) -> DataFrame:
+    """(window, start, score) of each window on the diagonal, scaled by itself and scored densely; windows without cells are patches of zeros."""
+    keys = ("window", "start")
+    dense = scoring.densify(cut, size, keys)
+    lo, hi = F.array_min("values"), F.array_max("values")
+    dense = dense.withColumns({"lo": lo, "hi": hi}).withColumn("values", F.transform("values", lambda v: F.coalesce(2 * F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")) - 1, F.lit(0.0))))
+    found = scoring.score_patches(dense.select(*keys, "values"), scorer, size).select(*keys, "score")
+    every = cut.sparkSession.range(max(0, n // step) if n >= size else 0).select(F.col("id").alias("window"), F.least(F.col("id") * step, F.lit(n - size)).alias("start"))
+    return every.join(found, list(keys), "left").select(*keys, F.coalesce("score", F.lit(of_zeros(scorer, size))).alias("score"))
+
+
+def of_zeros(scorer: Scorer, size: int) -> float:
+    """The score of a patch of zeros, as windows without cells have it."""
+    return float(np.asarray(scorer(np.zeros((1, size, size)))).reshape(-1)[0])
+
+
+def scan_diagonal(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int = 48, step: int = 24, centre: int = 4, scorer: Scorer | None = None, ratio: str = "masked") -> DataFrame:
+    """Windows along the diagonal of the whole genome, scored on the two samples' log-ratio, each scaled by itself:
     window, chrom_idx, local_bin (of the window's centre) and score above a half.
 
+    scorer takes dense patches; without one the plain contrast is worked out from the stored cells. ratio: masked or pseudo.
     Cells farther from the diagonal than a window go before the samples are joined.
     """
     near = genome_cells(pixels, chromsizes, res).where(F.col("g2") - F.col("g1") < size)
     side = lambda s, c: near.where(F.col("sample") == s).select("g1", "g2", F.col("count").alias(c))
-    both = side("test", "a").join(side("clean", "b"), ["g1", "g2"]).withColumn("value", values.log_ratio_masked(F.col("a"), F.col("b")))
+    both = side("test", "a").join(side("clean", "b"), ["g1", "g2"], "inner" if ratio == "masked" else "full")
+    both = both.withColumn("value", (values.log_ratio_masked if ratio == "masked" else values.log_ratio_pseudo)(F.col("a"), F.col("b")))
     n = sampling.genome_length(chromsizes) // res
     cut = windows.diagonal_windows(both, n, size, step, "g1", "g2").select("window", "start", (F.col("g1") - F.col("start")).alias("dx"), (F.col("g2") - F.col("start")).alias("dy"), "value")
     cut = cut.union(cut.where("dx <> dy").select("window", "start", "dy", "dx", "value"))
-    scored = scoring.contrast_of_windows(cut, size, centre, ("window", "start")).where(values.threshold(F.col("score")))
+    scored = scored_windows(cut, n, size, step, scorer) if scorer else scoring.contrast_of_windows(cut, size, centre, ("window", "start"))
+    scored = scored.where(values.threshold(F.col("score")))
     return coords.genome_to_chrom(scored.withColumn("x", F.col("start") + size // 2), chromsizes, "x", res).select("window", "chrom_idx", "local_bin", "score")
 
 
-def scan_resolutions(pixels: dict[int, DataFrame], chromsizes: DataFrame, size: int = 48, centre: int = 4) -> DataFrame:
+def scan_resolutions(pixels: dict[int, DataFrame], chromsizes: DataFrame, size: int = 48, centre: int = 4, scorer: Scorer | None = None, ratio: str = "masked") -> DataFrame:
     """scan_diagonal of each resolution's map, a quarter of a window at a time: resolution, window, chrom_idx, local_bin, score."""
-    scans = [scan_diagonal(p, chromsizes, res, size, size // 4, centre).select(F.lit(res).alias("resolution"), "*") for res, p in pixels.items()]
+    scans = [scan_diagonal(p, chromsizes, res, size, size // 4, centre, scorer, ratio).select(F.lit(res).alias("resolution"), "*") for res, p in pixels.items()]
     return functools.reduce(DataFrame.unionByName, scans)
 
 
@@ -69,23 +88,48 @@ def log_cells(pixels: DataFrame, base: float) -> DataFrame:
     return test.withColumn("value", values.log_value(F.col("count"), base))
 
 
-def ratio_cells(pixels: DataFrame, chromsizes: DataFrame, res: int) -> DataFrame:
-    """Log-ratios of the samples scaled over each pair of chromosomes, both triangles, value."""
+def ratio_cells(pixels: DataFrame, chromsizes: DataFrame, res: int) -> tuple[DataFrame, DataFrame]:
+    """Log-ratios of the samples (both triangles, value), and the extremes (lo, hi) over each pair of chromosomes, in both orders."""
     n = bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n")))
     v = maps.pair_samples(pixels).withColumn("value", values.log_ratio_masked(F.col("a"), F.col("b")))
+    return maps.symmetric(v.select(*maps.CELL, "value")), pair_ends(v, n)
+
+
+def pair_ends(v: DataFrame, n: DataFrame) -> DataFrame:
+    """chrom1_idx, chrom2_idx, lo, hi of a table of upper triangles; each pair of chromosomes has n1 * n2 cells. In both orders."""
+    sized = v
     for k in ("1", "2"):
-        v = v.join(n.select(F.col("chrom_idx").alias(f"chrom{k}_idx"), F.col("n").alias(f"n{k}")), f"chrom{k}_idx")
-    scaled = normalize.minmax_scale(v.withColumn("cells", F.col("n1") * F.col("n2")), ["chrom1_idx", "chrom2_idx"], "cells")
-    return maps.symmetric(scaled.where("scaled is not null").select(*maps.CELL, F.col("scaled").alias("value")))
+        sized = sized.join(n.select(F.col("chrom_idx").alias(f"chrom{k}_idx"), F.col("n").alias(f"n{k}")), f"chrom{k}_idx")
+    ends = bounded(normalize.block_ends(sized.withColumn("cells", F.col("n1") * F.col("n2")), ["chrom1_idx", "chrom2_idx"], "cells"))
+    return ends.union(ends.where("chrom1_idx <> chrom2_idx").select("chrom2_idx", "chrom1_idx", "lo", "hi"))
 
 
-def score_points(cells: DataFrame, points: DataFrame, size: int, scorer: Scorer, blur: bool = True) -> DataFrame:
-    """points with the score of the window around each; points whose window has no cell are left out."""
-    corner = windows.centre_to_corner(points.select(*POINT).distinct(), size)
-    dense = scoring.densify(windows.cut_windows(cells, corner, size, keep=tuple(POINT)), size, tuple(POINT))
+def scaled(patches: DataFrame, ends: DataFrame) -> DataFrame:
+    """patches (chrom1_idx, chrom2_idx, values) with the values scaled to -1..1 by their pair's extremes; 0 in constant pairs."""
+    up = lambda v: F.coalesce(2 * F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")) - 1, F.lit(0.0))
+    return patches.join(bounded(ends), ["chrom1_idx", "chrom2_idx"], "left").withColumn("values", F.transform("values", up)).select(patches.columns)
+
+
+def score_points(cells: DataFrame, points: DataFrame, size: int, scorer: Scorer, blur: bool = True, ends: DataFrame | None = None, inside: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """The distinct points with the score of the window around each.
+
+    ends: extremes by pair of chromosomes, by which patches are scaled before they are scored. A window without cells counts as a patch of
+    zeros, scaled as the others; inside (chromsizes, res): one that crosses a map's end is a patch of unscaled zeros. No cells of theirs are
+    made up: what they score is worked out once.
+    """
+    points = points.select(*POINT).distinct()
+    points = windows.mark_inside(points, *inside[:1], size, inside[1]) if inside else points.withColumn("inside", F.lit(True))
     fn = (lambda s: scorer(scoring.blur3(s))) if blur else scorer
-    found = scoring.score_patches(dense, fn, size).drop("values")
-    return found.withColumns({"x": F.col("x") + size // 2, "y": F.col("y") + size // 2})
+    dense = scoring.densify(windows.cut_windows(cells, windows.centre_to_corner(points.where("inside"), size), size, keep=tuple(POINT)), size, tuple(POINT))
+    found = scoring.score_patches(scaled(dense, ends) if ends is not None else dense, fn, size).drop("values")
+    found = found.withColumns({"x": F.col("x") + size // 2, "y": F.col("y") + size // 2})
+    out, zero = points.join(found, POINT, "left"), F.lit(of_zeros(fn, size))
+    if ends is None:
+        return out.select(*POINT, F.coalesce("score", zero).alias("score"))
+    pairs = ends.select("chrom1_idx", "chrom2_idx", F.array_repeat(F.lit(0.0), size * size).alias("values"))
+    blank = scoring.score_patches(scaled(pairs, ends), fn, size).select("chrom1_idx", "chrom2_idx", F.col("score").alias("blank"))
+    out = out.join(bounded(blank), ["chrom1_idx", "chrom2_idx"], "left")
+    return out.select(*POINT, F.coalesce("score", F.when(F.col("inside"), F.col("blank")), zero).alias("score"))
 
 
 def detect_svs(
@@ -100,10 +144,12 @@ def detect_svs(
     """
     coarse, middle, small = resolutions
     ratio = coarse // middle
-    anchors = scan_diagonal(pixels[middle], chromsizes, middle, size, size // 2).select("chrom_idx", F.col("local_bin").alias("x"))
+    stage_path = stage_path or scratch(chromsizes.sparkSession, "detect")  # stages serve more than once
+    anchors = scan_diagonal(pixels[middle], chromsizes, middle, size, size // 2, scorer=scorer).select("chrom_idx", F.col("local_bin").alias("x"))
     anchors = stored(cluster.thin_anchors(anchors, size, ["chrom_idx"]), stage_path, "anchors")
     pairs = windows.cross_anchors(anchors, size).withColumns({"x": floor_div(F.col("x"), ratio), "y": floor_div(F.col("y"), ratio)}).distinct()
-    found = score_points(ratio_cells(pixels[coarse], chromsizes, coarse), pairs, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    ratios, ends = ratio_cells(pixels[coarse], chromsizes, coarse)
+    found = score_points(ratios, pairs, size, scorer, ends=ends, inside=(chromsizes, coarse)).where(values.threshold(F.col("score"))).select(*POINT)
     found = stored(found, stage_path, "pairs")
 
     fine_cells = log_cells(pixels[small], 10)
@@ -126,6 +172,9 @@ def detect_svs(
     held = windows.box_cells(raw, boxes).join(boxes.select("box_id", "x0", "y0"), "box_id")
     best = cluster.patch_argmax(held.select("box_id", (F.col("bin1") - F.col("x0")).alias("dx"), (F.col("bin2") - F.col("y0")).alias("dy"), "value"), ["box_id"])
     det = best.join(boxes.select("box_id", "x0", "y0"), "box_id").select("box_id.chrom1_idx", "box_id.chrom2_idx", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y")).distinct()
+    if refined.isEmpty():  # then the coarse detections are classified as they are
+        up = coarse // small
+        det = found.withColumns({"x": F.col("x") * up, "y": F.col("y") * up})
     det = stored(det.withColumn("det_id", F.xxhash64(*POINT)), stage_path, "best")
 
     at = det.select("det_id", "chrom1_idx", "chrom2_idx", floor_div(F.col("x"), half).alias("x"), floor_div(F.col("y"), half).alias("y"))
@@ -144,24 +193,86 @@ def detect_svs(
     return attach_labels(det, classes).select("bp_1", "bp_2", "label")
 
 
-def build_training_set(calls_: DataFrame, pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal", norm: str = "masked") -> DataFrame:
-    """Patches around calls and as many negatives: call_id, is_sv, which, label_idx, values. Windows are clamped to the map.
+NORMS = ("masked", "pseudo", "balanced", "raw_log", "log10_only", "exp/obs", "expected")
+
+
+def training_cells(pixels: DataFrame, chromsizes: DataFrame, res: int, norm: str = "masked", bins: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The upper triangle's cells with a normalised value, and the extremes to scale patches by, if this kind is scaled.
 
-    norm: masked or raw_log, the log-ratio of the samples, scaled over each pair of chromosomes or as it is.
+    masked, pseudo and balanced are log-ratios of test and clean, scaled over each pair of chromosomes; balanced takes the weights of bins.
+    raw_log is the log-ratio as it is, log10_only the test sample's logarithm, exp/obs its diagonal's mean over the count, expected the
+    logarithm of the count over its diagonal's mean. The last two hold cells within chromosomes only. Other names are an error.
     """
+    if norm not in NORMS:
+        raise ValueError(f"norm is {norm}, not one of {', '.join(NORMS)}")
+    test = pixels.where("sample = 'test'")
+    if norm == "log10_only":
+        return test.select(*maps.CELL, values.log_value(F.col("count"), 10).alias("value")), None
+    if norm == "raw_log":
+        return calls.call_log_ratios(maps.pair_samples(pixels)).select(*maps.CELL, "value"), None
+    if norm in ("exp/obs", "expected"):
+        n = chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n"))
+        met = normalize.observed_expected(test, normalize.diagonal_expected(test, n))
+        if norm == "exp/obs":
+            return met.select(*maps.CELL, F.coalesce("ratio", F.lit(0.0)).alias("value")), None
+        eps = bounded(met.groupBy("chrom1_idx").agg(F.min("expected").alias("eps")))
+        logs = normalize.normalise_by_expected(met.join(eps, "chrom1_idx").withColumn("value", F.col("count").cast("double")), norm="expected")
+        return logs.select(*maps.CELL, F.col("normalised").alias("value")), None
+    if norm == "balanced":
+        if bins is None:
+            raise ValueError("norm is balanced, so bins with weights are needed")
+        weighed = maps.apply_balance(pixels, bins)
+        side = lambda s, c: weighed.where(F.col("sample") == s).select(*maps.CELL, F.col("value").alias(c), F.col("value").isNull().alias(f"{c}_masked"))
+        pairs = side("test", "a").join(side("clean", "b"), maps.CELL, "full")
+        masked = lambda c: F.coalesce(f"{c}_masked", F.lit(False))
+        v = pairs.withColumn("value", values.log_ratio_balanced(F.col("a"), masked("a"), F.col("b"), masked("b")))
+    elif norm == "pseudo":
+        v = maps.pair_samples(pixels, how="full").withColumn("value", values.log_ratio_pseudo(F.col("a"), F.col("b")))
+    else:
+        v = maps.pair_samples(pixels).withColumn("value", values.log_ratio_masked(F.col("a"), F.col("b")))
+    v = v.select(*maps.CELL, "value")
+    return v, pair_ends(v, bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n"))))
+
+
+def training_windows(calls_: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal") -> DataFrame:
+    """Window centres (chrom1_idx, chrom2_idx, x, y) of calls and as many negatives: call_id, is_sv, which, label_idx. Clamped to the map."""
     pad = size // 2
     named = calls_.select("call_id", "chrom_idx", "start", "end", "label")
     both = sampling.union_samples(named, sampling.negatives_per_call(calls_, chromsizes, size, res))
     n = bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n")))
     centres = windows.endpoint_windows(both, kind).withColumns({"x": floor_div(F.col("x"), res), "y": floor_div(F.col("y"), res)})
     centres = sampling.jitter(centres, pad // 2).join(n, "chrom_idx").withColumn("p", windows.clamp_to_map(F.col("x"), F.col("y"), pad, F.col("n")))
-    keys = ("call_id", "is_sv", "which", "label_idx")
-    w = centres.select("call_id", "is_sv", "which", values.label_to_index(F.col("label")).alias("label_idx"), F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "p.x", "p.y")
-    if norm == "raw_log":
-        cells = maps.symmetric(calls.call_log_ratios(maps.pair_samples(pixels)).select(*maps.CELL, "value"))
-    else:
-        cells = ratio_cells(pixels, chromsizes, res)
-    return scoring.densify(windows.cut_windows(cells, windows.centre_to_corner(w, size), size, keep=keys), size, keys)
+    return centres.select("call_id", "is_sv", "which", values.label_to_index(F.col("label")).alias("label_idx"), F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "p.x", "p.y")
+
+
+def build_training_set(
+    calls_: DataFrame, pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal", norm: str = "masked", bins: DataFrame | None = None, blur: bool = False
+) -> DataFrame:
+    """Patches around calls and as many negatives: call_id, is_sv, which, label_idx, values. Windows are clamped to the map; one without cells is
+    a patch of zeros. norm, bins: see training_cells."""
+    cells, ends = training_cells(pixels, chromsizes, res, norm, bins)
+    keys = ("call_id", "is_sv", "which")
+    w = training_windows(calls_, chromsizes, res, size, kind)
+    dense = scoring.densify(windows.cut_windows(maps.symmetric(cells), windows.centre_to_corner(w, size), size, keep=keys), size, keys)
+    zeros = F.array_repeat(F.lit(0.0), size * size)
+    patches = w.select(*keys, "label_idx", "chrom1_idx", "chrom2_idx").join(dense, list(keys), "left").withColumn("values", F.coalesce("values", zeros))
+    patches = (scaled(patches, ends) if ends is not None else patches).select(*keys, "label_idx", "values")
+    return scoring.gaussian_blur3(patches, size).drop("values").withColumnRenamed("blurred", "values") if blur else patches
+
+
+def write_training_sets(manifest: DataFrame, pixels: DataFrame, truth: DataFrame, chromsizes: DataFrame, res: int, size: int, path: str, most: int = 1000, **how) -> None:
+    """Training sets of all rows of a manifest (sample_id, clean_id, truth_id, split) as parquet, partitioned by split and sample_id.
+
+    pixels hold all samples, truth all calls, by truth_id. A manifest is a list of experiments, so it is read by the driver; more than
+    `most` rows are an error. how: as for build_training_set.
+    """
+    rows = manifest.select("sample_id", "clean_id", "truth_id", "split").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a manifest of over {most} rows")
+    for m in rows:
+        sides = [pixels.where(F.col("sample") == s).withColumn("sample", F.lit(name)) for s, name in ((m["sample_id"], "test"), (m["clean_id"], "clean"))]
+        one = build_training_set(truth.where(F.col("truth_id") == m["truth_id"]), sides[0].unionByName(sides[1]), chromsizes, res, size, **how)
+        one.select(F.lit(m["split"]).alias("split"), F.lit(m["sample_id"]).alias("sample_id"), "*").write.mode("append").partitionBy("split", "sample_id").parquet(path)
 
 
 def evaluate_calls(results: DataFrame, answers: DataFrame, chromsizes: DataFrame, res: int, tol: int, least: int = 10_000, crossed: bool = True) -> DataFrame:
@@ -194,6 +305,7 @@ def results_to_chrom(results: DataFrame, chromsizes: DataFrame) -> DataFrame:
 
 def two_step_scan(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, dist: int, scorer: Scorer, step: int = 1, stage_path: str | None = None) -> DataFrame:
     """Every diagonal position of each chromosome, then the pairs of those found, then near ones merged: chrom1_idx, chrom2_idx, x, y, members."""
+    stage_path = stage_path or scratch(pixels.sparkSession, "two-step")
     cells = log_cells(pixels, 10)
     spots = chromsizes.where(F.expr(f"length div {res} >= {size}")).withColumn("x", F.explode(F.expr(f"sequence({size // 2}L, length div {res} - {size // 2}, {step}L)")))
     spots = spots.select(F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "x", F.col("x").alias("y"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import queries as Q
 from ..fixtures import cells, chromsizes, pixels, view
+from ..functions.common import scratch
 from ..operators import maps, scoring, windows
 from ..queries import query
 from . import jobs
@@ -44,23 +48,82 @@ def job2_scan_resolutions(spark, sf):
     return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
 
 
-def _corner_classes(stack):
-    """Five numbers for a patch: its mean, and the means of its four corners."""
-    h = stack.shape[1] // 2
-    parts = [stack] + [stack[:, a : a + h, b : b + h] for a in (0, h) for b in (0, h)]
-    return np.stack([p.mean(axis=(1, 2)) for p in parts], axis=1)
-
-
 @query()
-def job1_detect(spark, sf):
-    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000, 5000)}
-    return jobs.detect_svs(maps_, chromsizes(spark, sf), scoring.contrast, _corner_classes, size=8, class_size=8, cutoff=0.55)
+def job2_scan_scored(spark, sf):
+    """Every window, by a scorer that takes dense patches of 48 bins, on the log-ratio with pseudocounts."""
+    found = jobs.scan_resolutions({res: pixels(spark, sf, res) for res in (50000, 10000)}, chromsizes(spark, sf), 48, scorer=scoring.contrast, ratio="pseudo")
+    return found.withColumn("score", F.round("score", 6))
+
+
+CALLS3 = f"""(select call_id, chrom_idx, start, end_ as e, case label when '--' then 1 when '-+' then 2 when '+-' then 3 when '++' then 4 end as label_idx, true as is_sv from fx_calls where label <> 'negative'
+union all select call_id, chrom_idx, start, "end", 0, false from ({Q.SA1.replace("from fx_calls) c", "from fx_calls where label <> 'negative') c")}) g)"""
+#: Window corners of calls and negatives on a 10-kb map, moved by up to one bin each way and clamped.
+AT3 = f"""(select call_id, is_sv, which, label_idx, chrom_idx, least(x + shift, n - 5) - 4 as x, least(y + shift, n - 5) - 4 as y from (
+select *, greatest(0, 4 - least(x, y)) as shift from (select call_id, is_sv, which, label_idx, c.chrom_idx, length // 10000 + 1 as n,
+p // 10000 - 1 + {Q.LCG.format(k=1, s=3)} % 3 as x, p // 10000 - 1 + {Q.LCG.format(k=2, s=3)} % 3 as y
+from (select call_id, is_sv, label_idx, chrom_idx, unnest([0, 1]) as which, unnest([start, e]) as p from {CALLS3} b) c join fx_chromsizes z on z.chrom_idx = c.chrom_idx)))"""
+#: Kinds of values as SQL over a pair of cells a (test) and b (clean), and how the two sides are joined.
+RATIOS = {"masked": ("log10(a) - log10(b) + 1e-6", ""), "pseudo": ("log10(coalesce(a, 0) + 1e-6) - log10(coalesce(b, 0) + 1e-6)", "full")}
+
+
+def _job3(norm: str) -> str:
+    """SQL for the training set: windows, their cells scaled over the chromosome, as arrays."""
+    ratio, how = RATIOS[norm]
+    side = "(select chrom1_idx, bin1, chrom2_idx, bin2, count as {c} from fx_pixels_10000 where sample = '{s}')"
+    v = f"(select *, {ratio} as v from {side.format(c='a', s='test')} t {how} join {side.format(c='b', s='clean')} k using (chrom1_idx, bin1, chrom2_idx, bin2))"
+    return f"""select * from (with v as (select * from {v} where chrom1_idx = chrom2_idx),
+ends as (select chrom1_idx as chrom_idx, case when count(*) < n * n then least(min(v), 0) else min(v) end as lo, case when count(*) < n * n then greatest(max(v), 0) else max(v) end as hi
+  from v join (select chrom_idx as z, length // 10000 + 1 as n from fx_chromsizes) on z = chrom1_idx group by chrom1_idx, n),
+c as (select chrom1_idx as chrom_idx, bin1, bin2, v from v union all select chrom1_idx, bin2, bin1, v from v where bin1 <> bin2),
+spot as (select * from {AT3}),
+m as (select call_id, is_sv, which, list((bin1 - x) * 8 + bin2 - y) as ks, list(v) as vs from spot join c using (chrom_idx) where bin1 >= x and bin1 < x + 8 and bin2 >= y and bin2 < y + 8 group by all)
+select call_id, is_sv, which::int as which, label_idx::int as label_idx, list_transform(range(0, 64), lambda k: round(coalesce(2 * (coalesce(vs[list_position(ks, k)], 0) - lo) / nullif(hi - lo, 0) - 1, 0), 6)) as values
+from spot left join m using (call_id, is_sv, which) left join ends using (chrom_idx))"""
+
+
+def _rounded(df):
+    return df.withColumn("values", F.transform("values", lambda v: F.round(v, 6)))
+
+
+@query(_job3("masked"))
+def job3_training_set(spark, sf):
+    c = Q.fx_calls(spark, sf).where("label <> 'negative'")
+    return _rounded(jobs.build_training_set(c, pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8))
 
 
-@query()
-def job3_training_set(spark, sf):
+@query(_job3("pseudo"))
+def job3_training_pseudo(spark, sf):
     c = Q.fx_calls(spark, sf).where("label <> 'negative'")
-    return jobs.build_training_set(c, pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8)
+    return _rounded(jobs.build_training_set(c, pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8, norm="pseudo"))
+
+
+NORMED = {
+    "raw_log": "select chrom1_idx, bin1, chrom2_idx, bin2, log10(a) - log10(b) as v from (select * exclude (sample, count), count as a from fx_pixels_10000 where sample = 'test') join (select * exclude (sample, count), count as b from fx_pixels_10000 where sample = 'clean') using (chrom1_idx, bin1, chrom2_idx, bin2)",
+    "log10_only": "select chrom1_idx, bin1, chrom2_idx, bin2, log10(count) as v from fx_pixels_10000 where sample = 'test'",
+    "exp/obs": f"select chrom1_idx, bin1, chrom2_idx, bin2, expected / count as v from fx_pixels_10000 p join {Q.EXPECTED} e on e.sample = p.sample and e.chrom_idx = chrom1_idx and e.d = bin2 - bin1 where chrom1_idx = chrom2_idx and p.sample = 'test'",
+    "expected": f"select chrom1_idx, bin1, chrom2_idx, bin2, ln(count + 1e-6 + eps) - ln(expected + eps) as v from (select *, min(expected) over (partition by chrom1_idx) as eps from fx_pixels_10000 p join {Q.EXPECTED} e on e.sample = p.sample and e.chrom_idx = chrom1_idx and e.d = bin2 - bin1 where chrom1_idx = chrom2_idx and p.sample = 'test')",
+    "balanced": """select chrom1_idx, bin1, chrom2_idx, bin2, log10(a + 1e-6) - log10(b + 1e-6) as v from (select chrom1_idx, bin1, chrom2_idx, bin2,
+coalesce(sum(case when sample = 'test' and w is null then 0 when sample = 'test' then w + 1e-6 end), 1e-6) as a, coalesce(sum(case when sample = 'clean' and w is null then 0 when sample = 'clean' then w + 1e-6 end), 1e-6) as b
+from (select p.*, count * x.weight * y.weight as w from fx_pixels_10000 p join fx_bins x on x.chrom_idx = chrom1_idx and x.local_bin = bin1 join fx_bins y on y.chrom_idx = chrom2_idx and y.local_bin = bin2) group by all)""",
+}
+
+
+@query(" union all ".join(f"select '{n}' as norm, chrom1_idx, bin1, chrom2_idx, bin2, round(v, 6) as value from ({sql}) t{k}" for k, (n, sql) in enumerate(NORMED.items())))
+def job3_norms(spark, sf):
+    """The cells of the other ways to normalise."""
+    p, sizes = pixels(spark, sf, 10000), chromsizes(spark, sf)
+    parts = [jobs.training_cells(p, sizes, 10000, n, view(spark, sf, "fx_bins"))[0].select(F.lit(n).alias("norm"), *maps.CELL, F.round("value", 6).alias("value")) for n in NORMED]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""select split, sample_id, count(*)::bigint as n, sum(label_idx)::bigint as labels from (select 'train' as split, 'test' as sample_id, * from {AT3} union all select 'test', 'clean', * from {AT3}) group by split, sample_id""")
+def job3_manifest(spark, sf):
+    """Both samples against each other, written by split and sample and read again."""
+    m = spark.createDataFrame([("test", "clean", "all", "train"), ("clean", "test", "all", "test")], "sample_id string, clean_id string, truth_id string, split string")
+    truth = Q.fx_calls(spark, sf).where("label <> 'negative'").withColumn("truth_id", F.lit("all"))
+    path = scratch(spark, "training")
+    jobs.write_training_sets(m, pixels(spark, sf, 10000), truth, chromsizes(spark, sf), 10000, 8, path)
+    return spark.read.parquet(path).groupBy("split", "sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label_idx").alias("labels"))
 
 
 JOB4 = f"""select tp::bigint as tp, fn::bigint as fn, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / nullif(p + r, 0), 6) as f1 from (
@@ -75,11 +138,20 @@ cross join (select count(*) as m from {Q.ANSWERS})))"""
 @query(JOB4)
 def job4_evaluate(spark, sf):
     r = view(spark, sf, "fx_results").select("result_id", F.col("bp_2").alias("bp_1"), F.col("bp_1").alias("bp_2"))
-    out = jobs.evaluate_calls(r, Q.fx_calls(spark, sf).where("call_id % 2 = 0"), chromsizes(spark, sf), 5000, tol=2)
+    out = jobs.evaluate_calls(r, Q.fx_calls(spark, sf).where("label <> 'negative'"), chromsizes(spark, sf), 5000, tol=2)
     return out.select("tp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+JOB5 = """select call_id, chrom, start, end_ as "end", w / 64 as whole, m / 16 as centre from (
+select call_id, chrom, start, end_, count(*) filter (where a <> b) as w, count(*) filter (where a <> b and dx between 2 and 5 and dy between 2 and 5) as m from (
+select call_id, chrom, start, end_, bin1 - sb + 4 as dx, bin2 - eb + 4 as dy, coalesce(sum(count) filter (where sample = 'test'), 0) as a, coalesce(sum(count) filter (where sample = 'clean'), 0) as b
+from (select call_id, regexp_replace(hap, '_hap[12]$', '') as chrom, chrom_idx, start, end_, start // 5000 as sb, end_ // 5000 as eb from fx_calls where abs(start // 5000 - end_ // 5000) >= 5) c
+join (select sample, chrom1_idx, bin1, chrom2_idx, bin2, count from fx_pixels_5000 union all select sample, chrom2_idx, bin2, chrom1_idx, bin1, count from fx_pixels_5000 where chrom1_idx <> chrom2_idx or bin1 <> bin2) p
+on chrom1_idx = chrom_idx and chrom2_idx = chrom_idx and bin1 >= sb - 4 and bin1 < sb + 4 and bin2 >= eb - 4 and bin2 < eb + 4
+group by all) group by all) where w / 64 >= 0.05 and m / 16 >= 0.05"""
+
+
+@query(JOB5)
 def job5_filter_real(spark, sf):
     return jobs.filter_real_svs(Q.fx_calls(spark, sf), pixels(spark, sf, 5000), 5000, 8, (2, 6), 0.05, 0.05)
 
@@ -101,11 +173,90 @@ def job8_results_to_chrom(spark, sf):
     return jobs.results_to_chrom(view(spark, sf, "fx_results"), chromsizes(spark, sf)).select("result_id", "chrom_x", "coord_x", "chrom_y", "coord_y")
 
 
-@query()
+def _contrast_weights(size: int = 8, centre: int = 4) -> str:
+    """The contrast of a blurred patch before it is squashed is linear in its cells: SQL for the sum of values times weights."""
+    rows = scoring.blur3(np.eye(size)[:, :, None] * np.ones((1, 1, size)))[:, :, 0]  # row i: what cell i gives to each place of its axis
+    a = (size - centre) // 2
+    mid, all_ = (", ".join(f"{x:.12f}" for x in w) for w in (rows[:, a : a + centre].sum(axis=1) / centre, rows.sum(axis=1) / size))
+    return f"sum(value * ([{mid}][dx + 1] * [{mid}][dy + 1] - [{all_}][dx + 1] * [{all_}][dy + 1]))"
+
+
+LOGS = "(select chrom1_idx, bin1, chrom2_idx, bin2, log10(value) as value from " + Q.TEST_CELLS + " t)"
+#: Windows around {points} whose contrast is above a half.
+SCORED = "(select chrom1_idx, chrom2_idx, x, y from (select p.chrom1_idx, p.chrom2_idx, x, y, bin1 - x + 4 as dx, bin2 - y + 4 as dy, value from {points} p join {cells} c on c.chrom1_idx = p.chrom1_idx and c.chrom2_idx = p.chrom2_idx and bin1 >= x - 4 and bin1 < x + 4 and bin2 >= y - 4 and bin2 < y + 4) group by all having " + _contrast_weights() + " > {least})"
+SPOTS = SCORED.format(points="(select chrom_idx as chrom1_idx, chrom_idx as chrom2_idx, unnest(range(4, length // 50000 - 3)) as x, x as y from fx_chromsizes where length // 50000 >= 8)", cells=LOGS.format(res=50000), least="1e-12")
+JOB9 = f"""select * from (with spots as (select chrom1_idx as c, x as p from {SPOTS}),
+found as (select * from {SCORED.format(points="(select a.c as chrom1_idx, b.c as chrom2_idx, a.p as x, b.p as y from spots a join spots b on a.p >= b.p and not (a.c = b.c and abs(a.p - b.p) < 8))", cells=LOGS.format(res=50000), least="1e-12")})
+select chrom1_idx, chrom2_idx, (sum(x) // count(*))::bigint as x, (sum(y) // count(*))::bigint as y, count(*) as members from {Q.CHAIN.format(apart='g >= 9').replace(Q.DETECTIONS, "found")} group by chrom1_idx, chrom2_idx, chain)"""
+
+
+@query(JOB9)
 def job9_two_step(spark, sf):
     return jobs.two_step_scan(pixels(spark, sf, 50000), chromsizes(spark, sf), 50000, 8, 3, scoring.contrast)
 
 
+def _corner_classes(stack):
+    """Five numbers for a patch: its mean, and the means of its four corners, so rounded that equal ones are equal."""
+    h = stack.shape[1] // 2
+    parts = [stack] + [stack[:, a : a + h, b : b + h] for a in (0, h) for b in (0, h)]
+    return np.round(np.stack([p.mean(axis=(1, 2)) for p in parts], axis=1), 9)
+
+
+def _corner_sql() -> str:
+    """The same for a blurred patch of eight bins, as sums over its cells: a list of five."""
+    rows = scoring.blur3(np.eye(8)[:, :, None] * np.ones((1, 1, 8)))[:, :, 0]
+    every, low, high = ("[" + ", ".join(f"{x:.12f}" for x in w.mean(axis=1)) + "]" for w in (rows, rows[:, :4], rows[:, 4:]))
+    pairs = ((every, every), (low, low), (low, high), (high, low), (high, high))
+    return "[" + ", ".join(f"round(sum(value * {a}[dx + 1] * {b}[dy + 1]), 9)" for a, b in pairs) + "]"
+
+
+def _boxes(points: str) -> str:
+    """Chains of points as boxes, for windows of eight bins."""
+    ends = {c: (f"arg_min({c}, [x + y, x, y])", f"arg_max({c}, [x + y, x, y])") for c in "xy"}
+    sides = ", ".join(f"least({a}, {z}) - 4 as {c}0, abs({z} - {a}) + 8 as {w}" for (c, (a, z)), w in zip(ends.items(), ("width", "height"), strict=True))
+    return f"(select chrom1_idx, chrom2_idx, chain, {sides} from {Q.CHAIN.format(apart='g > 128').replace(Q.DETECTIONS, points)} group by chrom1_idx, chrom2_idx, chain)"
+
+
+def _grid(points: str, moves: str, factor: int) -> str:
+    """Candidates on a finer map around points, those whose window lies inside the 5-kb map."""
+    near = f"(select distinct chrom1_idx, chrom2_idx, (x - 4 + i) * {factor} as x, (y - 4 + j) * {factor} as y from {points}, unnest({moves}) a(i), unnest({moves}) b(j))"
+    return f"(select g.* from {near} g join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx where x >= 4 and y >= 4 and x + 4 <= a.length // 5000 and y + 4 <= b.length // 5000)"
+
+
+RATIO_CELLS = "(select chrom1_idx, bin1, chrom2_idx, bin2, v as value from r50 union all select chrom2_idx, bin2, chrom1_idx, bin1, v from r50 where chrom1_idx <> chrom2_idx or bin1 <> bin2)"
+JOB1 = f"""select * from (with recursive gc as (select sample, least(g1, g2) as g1, greatest(g1, g2) as g2, sum(count) as c from {Q.GENOME_CELLS} group by 1, 2, 3),
+near as (select g1, g2, log10(t.c) - log10(k.c) + 1e-6 as v from (select * from gc where sample = 'test') t join (select * from gc where sample = 'clean') k using (g1, g2) where g2 - g1 < 8),
+w as (select least(i * 4, {Q.N_GENOME} - 8) as start, g1, g2, v from near, range(0, (select {Q.N_GENOME} // 4)) z(i) where least(i * 4, {Q.N_GENOME} - 8) <= g1 and g2 < least(i * 4, {Q.N_GENOME} - 8) + 8),
+hit as (select distinct start + 4 as p from (select start, g1 - start as dx, g2 - start as dy, v from w union all select start, g2 - start, g1 - start, v from w where g1 <> g2)
+  group by start having coalesce(sum(v) filter (where dx between 2 and 5 and dy between 2 and 5), 0) / 16 - sum(v) / 64 > 1e-12),
+spots as (select distinct o.chrom_idx, case when o.chrom_idx = 0 then p else (p * 10000 - o.start) // 10000 end::bigint as x from hit join fx_offsets o on p * 10000 <= o.stop and (p * 10000 > o.start or o.chrom_idx = 0)),
+thin as (select chrom_idx, min(x) as x from spots group by chrom_idx union all select t.chrom_idx, (select min(p.x) from spots p where p.chrom_idx = t.chrom_idx and p.x - 4 > t.x) from thin t where t.x is not null),
+anchors as (select * from thin where x is not null),
+pairs as (select distinct a.chrom_idx as chrom1_idx, b.chrom_idx as chrom2_idx, a.x // 5 as x, b.x // 5 as y from anchors a join anchors b on a.x >= b.x and not (a.chrom_idx = b.chrom_idx and abs(a.x - b.x) < 8)),
+r50 as (select chrom1_idx, bin1, chrom2_idx, bin2, log10(a) - log10(b) + 1e-6 as v from (select * exclude (sample, count), count as a from fx_pixels_50000 where sample = 'test') join (select * exclude (sample, count), count as b from fx_pixels_50000 where sample = 'clean') using (chrom1_idx, bin1, chrom2_idx, bin2)),
+inside as (select p.* from pairs p join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx where x >= 4 and y >= 4 and x + 4 <= a.length // 50000 and y + 4 <= b.length // 50000),
+coarse as (select * from {SCORED.format(points="inside", cells=RATIO_CELLS, least="1e-12")}),
+c5 as (select * from {LOGS.format(res=5000)}),
+c10 as (select * from {LOGS.format(res=10000)}),
+refined as (select * from {SCORED.format(points=_grid("coarse", "range(0, 8)", 10), cells="c5", least="1e-12")}),
+points as (select distinct chrom1_idx, chrom2_idx, x // 2 as x, y // 2 as y from refined),
+spread as (select distinct chrom1_idx, chrom2_idx, x, unnest(range(y0 + 4, y0 + height - 3)) as y from (select *, unnest(range(x0 + 4, x0 + width - 3)) as x from {_boxes("points")})),
+sure as (select * from {SCORED.format(points="spread", cells="c10", least="ln(0.55 / 0.45)")}),
+final as (select * from {SCORED.format(points=_grid("sure", "[0, 4]", 2), cells="c5", least="1e-12")}),
+best as (select chrom1_idx, chrom2_idx, chain, arg_min([bin1, bin2], [-value, bin1, bin2]) as p from (select b.*, bin1, bin2, value from {_boxes("final")} b join {Q.TEST_CELLS.format(res=5000)} c on c.chrom1_idx = b.chrom1_idx and c.chrom2_idx = b.chrom2_idx and bin1 >= x0 and bin1 < x0 + width and bin2 >= y0 and bin2 < y0 + height) group by 1, 2, 3),
+det as (select distinct chrom1_idx, chrom2_idx, p[1] as x, p[2] as y from best union select chrom1_idx, chrom2_idx, x * 10, y * 10 from coarse where not exists (select 1 from refined)),
+scores as (select chrom1_idx, chrom2_idx, x, y, {_corner_sql()} as s from (select d.*, bin1 - x // 2 + 4 as dx, bin2 - y // 2 + 4 as dy, log2(value) as value from det d join {Q.TEST_CELLS.format(res=10000)} c on c.chrom1_idx = d.chrom1_idx and c.chrom2_idx = d.chrom2_idx and x // 2 > 4 and y // 2 > 4
+  and bin1 >= x // 2 - 4 and bin1 < x // 2 + 4 and bin2 >= y // 2 - 4 and bin2 < y // 2 + 4) group by 1, 2, 3, 4)
+select (x * 5000 + a.start)::bigint as bp_1, (y * 5000 + b.start)::bigint as bp_2, ['negative', '--', '-+', '+-', '++'][list_position(s, list_max(s))] as label
+from det left join scores using (chrom1_idx, chrom2_idx, x, y) join fx_offsets a on a.chrom_idx = chrom1_idx join fx_offsets b on b.chrom_idx = chrom2_idx)"""
+
+
+@query(JOB1)
+def job1_detect(spark, sf):
+    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000, 5000)}
+    return jobs.detect_svs(maps_, chromsizes(spark, sf), scoring.contrast, _corner_classes, size=8, class_size=8, cutoff=0.55)
+
+
 @query()
 def job10_expected_curve(spark, sf):
     return jobs.expected_curve(view(spark, sf, "fx_expected"), ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3)

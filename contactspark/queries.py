@@ -276,15 +276,15 @@ def patches(spark, sf):
     return e.select(F.col("vec_id").alias("patch_id"), F.col("embedding").cast("array<double>").alias("values"), "label")
 
 
-@query("select vec_id as patch_id, (list_position(embedding[1:5], list_max(embedding[1:5])) - 1)::int as class_idx, ['negative', '--', '-+', '+-', '++'][list_position(embedding[1:5], list_max(embedding[1:5]))] as label from embeddings")
+@query("select vec_id as patch_id, (list_position(embedding, list_max(embedding)) - 1)::int as class_idx, ['negative', '--', '-+', '+-', '++'][list_position(embedding, list_max(embedding))] as label from embeddings")
 def sc10_class_argmax(spark, sf):
-    i = values.class_argmax(F.slice("values", 1, 5))
+    i = values.class_argmax(F.col("values"))
     return patches(spark, sf).select("patch_id", i.alias("class_idx"), values.index_to_label(i).alias("label"))
 
 
-@query("select patch_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) as p from (select vec_id as patch_id, list_transform(embedding[1:5]::double[], lambda x: exp(x)) as e from embeddings)")
+@query("select patch_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) as p from (select vec_id as patch_id, list_transform(embedding::double[], lambda x: exp(x)) as e from embeddings)")
 def sc11_softmax(spark, sf):
-    return patches(spark, sf).select("patch_id", F.transform(values.softmax(F.slice("values", 1, 5)), lambda x: F.round(x, 6)).alias("p"))
+    return patches(spark, sf).select("patch_id", F.transform(values.softmax(F.col("values")), lambda x: F.round(x, 6)).alias("p"))
 
 
 @query("select call_id, regexp_replace(hap, '_hap[12]$', '') as chrom from fx_calls")
@@ -389,13 +389,13 @@ def jn4_cut_windows(spark, sf):
 
 def bins5(spark, sf):
     r = view(spark, sf, "fx_results").withColumns({"bp_1": F.expr("bp_1 div 5000"), "bp_2": F.expr("bp_2 div 5000")})
-    a = sampling.call_bins(fx_calls(spark, sf).where("call_id % 2 = 0"), chromsizes(spark, sf), 5000).select(F.col("x").alias("bp_1"), F.col("y").alias("bp_2"))
+    a = sampling.call_bins(fx_calls(spark, sf).where("label <> 'negative'"), chromsizes(spark, sf), 5000).select(F.col("x").alias("bp_1"), F.col("y").alias("bp_2"))
     return r, a
 
 
 MATCHED = """(select result_id, exists (select 1 from a where abs(a.bp_1 - r.bp_1) <= 1) as found_x, exists (select 1 from a where abs(a.bp_2 - r.bp_2) <= 1) as found_y from r)"""
 BINS5 = "(select result_id, bp_1 // 5000 as bp_1, bp_2 // 5000 as bp_2 from fx_results)"
-ANSWERS = "(select ((c.start + o.start) // 5000)::bigint as bp_1, ((c.end_ + o.start) // 5000)::bigint as bp_2 from fx_calls c join fx_offsets o on o.chrom_idx = c.chrom_idx where call_id % 2 = 0)"
+ANSWERS = "(select ((c.start + o.start) // 5000)::bigint as bp_1, ((c.end_ + o.start) // 5000)::bigint as bp_2 from fx_calls c join fx_offsets o on o.chrom_idx = c.chrom_idx where label <> 'negative')"
 WITH_MATCHED = f"select {{what}} from (with r as {BINS5}, a as (select * from {ANSWERS}), ax as (select distinct bp_1 from a), ay as (select distinct bp_2 from a), x as (select distinct result_id from r join (select bp_1 + unnest([-1, 0, 1]) as v from ax) z on v = r.bp_1), y as (select distinct result_id from r join (select bp_2 + unnest([-1, 0, 1]) as v from ay) z on v = r.bp_2) select r.result_id, x.result_id is not null as found_x, y.result_id is not null as found_y from r left join x on x.result_id = r.result_id left join y on y.result_id = r.result_id) m"
 
 
@@ -428,12 +428,12 @@ def jn10_anti_existing(spark, sf):
     return sampling.anti_existing(new, detections(spark, sf), ["chrom1_idx", "chrom2_idx", "x", "y"])
 
 
-@query("select id, case when x is null then null else '++' end as label from (select l_orderkey * 10 + l_linenumber as id, case when l_linenumber % 2 = 0 then 1 end as x from lineitem)")
+@query("select id, case when x is not null then '++' end as label from (select l_orderkey * 10 + l_linenumber as id from lineitem) left join (select distinct l_orderkey * 10 + l_linenumber as x from lineitem where l_returnflag <> 'N') on x = id")
 def jn6_attach_labels(spark, sf):
     from .plans.jobs import attach_labels
 
     det = view(spark, sf, "fx_points").select("id")
-    classes = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber % 2 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("++").alias("label")).distinct()
+    classes = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag <> 'N'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("++").alias("label")).distinct()
     return attach_labels(det, classes, "id")
 
 
@@ -831,13 +831,13 @@ def ud1_score_patches(spark, sf):
     return scoring.score_patches(patches(spark, sf), scoring.contrast, SIZE).select("patch_id", F.round("score", 6).alias("score"))
 
 
-@query("select vec_id as patch_id, (list_position(e, list_max(e)) - 1)::int as class_idx from (select vec_id, list_transform(range(0, 5), lambda k: list_sum(embedding[k * 8 + 1:k * 8 + 8]::double[])) as e from embeddings)")
+@query("select vec_id as patch_id, (list_position(e, list_max(e)) - 1)::int as class_idx from (select vec_id, list_transform(range(0, 8), lambda k: list_sum(embedding[k * 8 + 1:k * 8 + 8]::double[])) as e from embeddings)")
 def ud2_classify_patches(spark, sf):
     return scoring.classify_patches(patches(spark, sf), _row_sums, SIZE).select("patch_id", "class_idx")
 
 
 def _row_sums(stack):
-    return stack[:, :5].sum(axis=2)
+    return stack.sum(axis=2)
 
 
 CONTRAST = f"""select patch_id, round(1 / (1 + exp(-2 * (m / 16 - s / 64) / nullif(hi - lo, 0))), 6) as score from (select patch_id, sum(value) as s, coalesce(sum(value) filter (where dx between 2 and 5 and dy between 2 and 5), 0) as m,
@@ -849,4 +849,68 @@ def ud4_contrast_scorer(spark, sf):
     return scoring.contrast_of_windows(cut(spark, sf), SIZE, 4, ("patch_id",)).withColumn("score", F.round("score", 6))
 
 
+# --- more of joins, order, sets and patches ---------------------------------------------------------
+
+
+@query(f"select id, o.chrom_idx, x * 1000 - o.start as pos from fx_points join fx_offsets o on x * 1000 >= o.start and x * 1000 < o.stop")
+def jn2_point_in_interval(spark, sf):
+    p = view(spark, sf, "fx_points").select("id", (F.col("x") * 1000).alias("bp"))
+    return coords.bp_to_chrom_exclusive(p, chromsizes(spark, sf), {"bp": ("chrom", "pos")}).join(chromsizes(spark, sf), "chrom").select("id", "chrom_idx", "pos")
+
+
+@query(f"select chrom1_idx, chrom2_idx, x, y, row_number() over (order by chrom1_idx, chrom2_idx, x, y) - 1 as place from {DETECTIONS}")
+def wn8_order_detections(spark, sf):
+    return cluster.order_detections(detections(spark, sf).distinct())
+
+
+@query("select r as resolution, r in (10000, 5000) as available from (values (50000), (10000), (5000)) t(r) where exists (select 1 from fx_pixels_10000) and exists (select 1 from fx_pixels_5000)")
+def st3_required_resolutions(spark, sf):
+    p = pixels(spark, sf, 10000).withColumn("resolution", F.lit(10000)).unionByName(pixels(spark, sf, 5000).withColumn("resolution", F.lit(5000)))
+    return maps.available_resolutions(p, [50000, 10000, 5000])
+
+
+WIDE_CUT = CUT.replace("from " + WINDOWS, "from " + WINDOWS.replace("x - 4", "x - 24").replace("y - 4", "y - 24")).replace("x + 8", "x + 48").replace("y + 8", "y + 48")
+
+
+@query(f"select patch_id, 2304 as n, sum(value) as total, sum(value * (dx * 48 + dy)) as moment from {WIDE_CUT} group by patch_id")
+def pa4_densify_48(spark, sf):
+    """Windows of the full 48 bins; where the values stand is told by the sum of value times place."""
+    w = detections(spark, sf).distinct().withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
+    dense = scoring.densify(windows.cut_windows(cells(spark, sf, 10000), windows.centre_to_corner(w, 48), 48), 48)
+    add = lambda a, x: a + x
+    total, moment = F.aggregate("values", F.lit(0.0), add), F.aggregate(F.transform("values", lambda v, i: v * i), F.lit(0.0), add)
+    return dense.select("patch_id", F.size("values").alias("n"), total.alias("total"), moment.alias("moment"))
+
+
+def _fixed_weights():
+    """Weights that follow from a formula, for a small ensemble: two blocks of one layer of two channels, and one dense layer."""
+    import numpy as np
+
+    blocks = [[("conv", np.sin(np.arange(18.0) + b).reshape(2, 1, 3, 3), np.array([0.1, -0.1])), ("norm", np.ones(2), np.zeros(2)), ("relu",), ("pool",)] for b in range(2)]
+    return scoring.ConvScorer(blocks, [(np.cos(np.arange(64.0)).reshape(1, 64) / 16, np.array([0.2]))])
+
+
+@query()
+def ud3_conv_scorer(spark, sf):
+    """Weights go to a file and come back from it, as those of a user do."""
+    import os
+    import tempfile
+
+    path = os.path.join(tempfile.mkdtemp(), "weights.npz")
+    _fixed_weights().save(path)
+    return scoring.score_patches(patches(spark, sf), scoring.ConvScorer.load(path), SIZE).select("patch_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def pa15_adaptive_coarsegrain(spark, sf):
+    """Balanced values with the raw counts of the same windows."""
+    w = detections(spark, sf).distinct().withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
+    corner = windows.centre_to_corner(w, SIZE)
+    raw = pixels(spark, sf, 10000).where("sample = 'test'")
+    balanced = maps.apply_balance(raw, view(spark, sf, "fx_bins")).select(*maps.CELL, F.col("value"))
+    dense = lambda c, name: scoring.densify(windows.cut_windows(maps.symmetric(c), corner, SIZE), SIZE).withColumnRenamed("values", name)
+    both = dense(raw.select(*maps.CELL, F.col("count").cast("double").alias("value")), "counts").join(dense(balanced, "values"), "patch_id")
+    return expected.adaptive_coarsegrain(both, SIZE).select("patch_id", F.transform("coarse", lambda x: F.round(x, 6)).alias("coarse"))
+
+
 from .plans import queries as _plans  # noqa: E402, F401  registers the jobs

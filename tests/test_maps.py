@@ -214,3 +214,122 @@ def test_planted_block_is_found(spark, tmp_path):
     sizes = spark.createDataFrame([(0, "a", n * 1000 - 1)], "chrom_idx int, chrom string, length long")
     found = jobs.detect_svs(both, sizes, scoring.contrast, lambda s: np.stack([s.mean(axis=(1, 2))] * 5, axis=1), size=8, class_size=8, resolutions=(4000, 2000, 1000), cutoff=0.6, stage_path=str(tmp_path)).collect()
     assert any(abs(r["bp_1"] - 144_000) <= 8000 and abs(r["bp_2"] - 48_000) <= 8000 for r in found)
+
+
+def test_dense_windows_of_48_bins(spark):
+    """Cells of one place count once, gaps and ends are filled, and the work follows the places."""
+    rng = np.random.default_rng(7)
+    want = np.where(rng.random((3, 48, 48)) < 0.3, rng.integers(1, 9, (3, 48, 48)), 0).astype(float)
+    rows = [(k, i, j, float(want[k, i, j])) for k, i, j in zip(*np.nonzero(want), strict=True)]
+    rows += [(int(k), int(i), int(j), 0.5) for k, i, j, _ in rows[:40]] + [(0, 0, 0, None)]
+    df = spark.createDataFrame([(int(k), int(i), int(j), v) for k, i, j, v in rows], "patch_id int, dx int, dy int, value double")
+    got = {r["patch_id"]: np.array(r["values"]) for r in scoring.densify(df, 48).collect()}
+    assert len(got) == 3 and all((got[k] == want[k].reshape(-1)).all() for k in got)
+
+
+def test_scorer_from_a_file(tmp_path):
+    rng = np.random.default_rng(2)
+    blocks = [[("conv", rng.normal(size=(2, 1, 3, 3)), rng.normal(size=2)), ("norm", rng.normal(size=2), rng.normal(size=2)), ("relu",), ("pool",)] for _ in range(3)]
+    scorer = scoring.ConvScorer(blocks, [(rng.normal(size=(4, 24)), np.zeros(4)), (rng.normal(size=(1, 4)), np.zeros(1))])
+    scorer.save(str(tmp_path / "w.npz"))
+    x = rng.normal(size=(5, 4, 4))
+    assert np.allclose(scoring.ConvScorer.load(str(tmp_path / "w.npz"))(x), scorer(x))
+
+
+def test_order_of_detections(spark):
+    rng = np.random.default_rng(3)
+    rows = [tuple(int(v) for v in r) for r in rng.integers(0, 6, (300, 4))] + [(None, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "chrom1_idx int, chrom2_idx int, x long, y long").repartition(5)
+    got = sorted((r["place"], *[-1 if v is None else v for v in r[:4]]) for r in cluster.order_detections(df).collect())
+    assert [g[0] for g in got] == list(range(301)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert cluster.order_detections(df.limit(0)).count() == 0
+
+
+def test_coarsegrained_patches(spark):
+    rng = np.random.default_rng(4)
+    v, n = rng.random((4, 36)).round(3), rng.integers(0, 5, (4, 36))
+    rows = [(k, [None if i == 5 else float(x) for i, x in enumerate(v[k])], [int(x) for x in n[k]]) for k in range(4)] + [(9, None, None)]
+    df = spark.createDataFrame(rows, "patch_id int, values array<double>, counts array<int>")
+    for r in expected.adaptive_coarsegrain(df, 6).collect():
+        if r["patch_id"] == 9:
+            assert r["coarse"] is None
+            continue
+        a = v[r["patch_id"]].copy()
+        a[5] = np.nan
+        want = expected.coarsegrain(a.reshape(6, 6), n[r["patch_id"]].reshape(6, 6)).reshape(-1)
+        assert np.allclose(np.array([np.nan if x is None else x for x in r["coarse"]]), want, equal_nan=True) and r["coarse"][5] is None
+
+
+def test_anchor_pairs_by_blocks(spark):
+    anchors = [(c, x) for c in range(3) for x in range(0, 60, 5)]
+    df = spark.createDataFrame(anchors, "chrom_idx int, x long")
+    for by_chrom in (False, True):
+        want = set()
+        for c, x in anchors:
+            for d, y in anchors:
+                order = (c == d and x >= y) or c > d if by_chrom else x >= y
+                if order and not (c == d and abs(x - y) < 8):
+                    want.add((c, x, d, y))
+        found = [(r["chrom1_idx"], r["x"], r["chrom2_idx"], r["y"]) for r in windows.cross_anchors(df, 8, by_chrom, block=7).collect()]
+        assert len(found) == len(want) and set(found) == want
+    plan = windows.cross_anchors(df, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_windows_without_cells_are_scored(spark, chromsizes):
+    """An empty window is a patch of scaled zeros, one over the end a patch of plain zeros."""
+    cells = spark.createDataFrame([(0, 10, 0, 10, 3.0), (0, 11, 0, 11, -1.0)], "chrom1_idx int, bin1 long, chrom2_idx int, bin2 long, value double")
+    ends = spark.createDataFrame([(0, 0, -1.0, 3.0)], "chrom1_idx int, chrom2_idx int, lo double, hi double")
+    points = spark.createDataFrame([(0, 0, 10, 10), (0, 0, 20, 20), (0, 0, 1, 1), (0, 0, 10, 10)], "chrom1_idx int, chrom2_idx int, x long, y long")
+    mean = lambda s: s.mean(axis=(1, 2))
+    got = {(r["x"], r["y"]): r["score"] for r in jobs.score_points(cells, points, 4, mean, blur=False, ends=ends, inside=(chromsizes, RES)).collect()}
+    zero = 2 * 1 / 4 - 1
+    assert got == {(10, 10): pytest.approx((1 - 1 + 14 * zero) / 16), (20, 20): pytest.approx(zero), (1, 1): 0.0}
+    plain = {(r["x"], r["y"]): r["score"] for r in jobs.score_points(cells, points, 4, lambda s: mean(s) + 7, blur=False).collect()}
+    assert plain == {(10, 10): pytest.approx(7 + 2 / 16), (20, 20): 7.0, (1, 1): 7.0}
+
+
+def test_diagonal_scan_by_a_scorer(spark):
+    """Each window is scaled by itself, zeros included; those without cells score as zeros."""
+    rng = np.random.default_rng(6)
+    dense = [np.triu(rng.integers(0, 4, (40, 40))) for _ in range(2)]
+    p = pixels(spark, dense[0]).union(pixels(spark, dense[1], "clean")).where("bin1 < 24 and bin2 < 24")
+    sizes = spark.createDataFrame([(0, "a", 40_000)], "chrom_idx int, chrom string, length long")
+    fn = lambda s: 0.6 + s[:, 2, 2] / 10
+    got = {r["window"]: r["score"] for r in jobs.scan_diagonal(p, sizes, RES, 8, 4, scorer=fn).collect()}
+    a, b = (np.where((np.arange(40) < 24)[:, None] & (np.arange(40) < 24), d + np.triu(d, 1).T, 0) for d in dense)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where((a > 0) & (b > 0), np.log10(a) - np.log10(b) + 1e-6, 0.0)
+    for w in range(10):
+        s = min(w * 4, 32)
+        m = ratio[s : s + 8, s : s + 8]
+        scaled = 2 * (m - m.min()) / (m.max() - m.min()) - 1 if m.max() > m.min() else m * 0
+        score = fn(scaled[None])[0]
+        assert (w in got) == (score > 0.5) and (w not in got or got[w] == pytest.approx(score))
+
+
+def test_unknown_normalisation_is_an_error(spark, chromsizes):
+    p = pixels(spark, random_map())
+    with pytest.raises(ValueError):
+        jobs.training_cells(p, chromsizes, RES, "other")
+    with pytest.raises(ValueError):
+        jobs.training_cells(p, chromsizes, RES, "balanced")
+
+
+def test_smoothing_of_a_query_is_local_lines(spark):
+    """Each smoothed value is the weighted line through its nearest points, worked out by lstsq."""
+    x = np.arange(60)
+    y = np.sin(x / 9.0) - x / 20
+    df = spark.createDataFrame([("s", int(d), float(v)) for d, v in zip(x, y, strict=True)], "sample string, dist long, log_avg double")
+    got = {r["dist"]: r["smooth"] for r in expected.smooth_expected(df, ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3).collect()}
+    t = np.log(x + 1.0)[8:]
+    for d in x:
+        if d < 8:
+            assert got[d] == pytest.approx(y[d])
+            continue
+        k = int(np.ceil((0.1 if d < 40 else 0.3) * len(t)))
+        far = np.abs(t - np.log(d + 1.0))
+        near = np.argsort(far, kind="stable")[:k]
+        w = np.sqrt((1 - np.minimum(far[near] / far[near].max(), 1) ** 3) ** 3 + 1e-12)
+        line = np.linalg.lstsq(np.c_[np.ones(k), t[near]] * w[:, None], y[8:][near] * w, rcond=None)[0]
+        assert got[d] == pytest.approx(line[0] + line[1] * np.log(d + 1.0), abs=1e-6)
