@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.common import scratch
+
 CHROMSIZES = """
 select 0 as chrom_idx, 'c0' as chrom, (q + 1) * 4 * 1000 - 137 as length from m union all
 select 1, 'c1', (q + 1) * 3 * 1000 - 274 from m union all
@@ -68,24 +70,45 @@ def duckdb_sql(body: str) -> str:
     return f"with {views}\n{body}"
 
 
+#: Views that many queries start from: written once a session and table folder, so that queries do their own work.
+KEPT = ("fx_sides", *(f"fx_pixels_{res}" for res in (1000, 5000, 10000, 50000)))
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The path of a view in the shared folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _kept:
+        path = scratch(spark, name)
+        _build(spark, sf_dir, name).write.parquet(path)
+        _kept[at] = path
+    return _kept[at]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame. Its common table expressions are only those that it needs."""
-    needed: list[str] = []
+    """A view as a DataFrame."""
+    return spark.read.parquet(kept(spark, sf_dir, name)) if name in KEPT else _build(spark, sf_dir, name)
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view from its SQL. Its common table expressions are only those that it needs."""
+    texts: dict[str, str] = {}
 
     def visit(n: str) -> None:
+        if n in KEPT and n != name:
+            texts[n] = f"select * from parquet.`{kept(spark, sf_dir, n)}`"
+            return
         text = VIEWS[n].replace("{bins}", SPARK_BINS)
         for other in VIEWS:
-            if other != n and other not in needed and re.search(rf"\b{other}\b", text):
+            if other != n and other not in texts and re.search(rf"\b{other}\b", text):
                 visit(other)
-        if n not in needed:
-            needed.append(n)
+        text = text.replace("//", " div ")
+        for table in ("lineitem", "orders", "events", "embeddings"):
+            text = re.sub(rf"\b(from|join) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet`", text)
+        texts[n] = text
 
     visit(name)
-    text = "with " + ", ".join(f"{n} as ({VIEWS[n].replace('{bins}', SPARK_BINS)})" for n in needed) + f" select * from {name}"
-    text = text.replace("//", " div ")
-    for table in ("lineitem", "orders", "events", "embeddings"):
-        text = re.sub(rf"\b(from|join) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet`", text)
-    return spark.sql(text)
+    return spark.sql("with " + ", ".join(f"{n} as ({text})" for n, text in texts.items()) + f" select * from {name}")
 
 
 def chromsizes(spark: SparkSession, sf_dir: str) -> DataFrame:

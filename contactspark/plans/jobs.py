@@ -10,13 +10,14 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords, values
 from ..functions.common import bounded, floor_div, scratch
 from ..operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
-from ..sources.writers import read_stage, write_stage
+from ..sources.readers import read_wide_calls
+from ..sources.writers import read_stage, write_calls, write_stage
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 POINT = ["chrom1_idx", "chrom2_idx", "x", "y"]
@@ -299,6 +300,11 @@ def merge_vcf_svs(vcf: DataFrame, bin_size: int = 5000, gap: int = 50_000, least
     return calls.merge_vcf(calls.vcf_bin_sums(vcf, bin_size), gap, least)
 
 
+def convert_wide_folder(spark: SparkSession, folder: str, out: str) -> None:
+    """Foreign callers' tables of a folder, one file or many, as a list of calls within chromosomes."""
+    write_calls(calls.convert_wide_calls(read_wide_calls(spark, folder)), out)
+
+
 def results_to_chrom(results: DataFrame, chromsizes: DataFrame) -> DataFrame:
     return coords.bp_to_chrom_exclusive(results, chromsizes, {"bp_1": ("chrom_x", "coord_x"), "bp_2": ("chrom_y", "coord_y")})
 

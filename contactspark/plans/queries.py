@@ -13,6 +13,8 @@ from ..fixtures import cells, chromsizes, pixels, view
 from ..functions.common import scratch
 from ..operators import maps, scoring, windows
 from ..queries import query
+from ..sources.readers import read_sv_calls
+from ..sources.writers import write_calls
 from . import jobs
 
 SLICE = f"""select w as "window", o.chrom_idx, case when o.chrom_idx = 0 then x else (x * 10000 - o.start) // 10000 end::bigint as local_bin, score from (
@@ -168,6 +170,15 @@ def job7_convert_wide(spark, sf):
     return convert_wide_calls(Q.wide(spark, sf))
 
 
+@query(f"select chrom1 as chr, {Q.LARGEST} as label, pos1 as start, pos2 as \"end\" from fx_wide where chrom1 = chrom2")
+def job7_convert_folder(spark, sf):
+    """From files to files, and read again."""
+    source, out = scratch(spark, "wide"), scratch(spark, "converted")
+    write_calls(Q.wide(spark, sf), source, ("chrom1", "pos1", "chrom2", "pos2", "`++`", "`+-`", "`-+`", "`--`"), "\t")
+    jobs.convert_wide_folder(spark, source, out)
+    return read_sv_calls(spark, out)
+
+
 @query(Q.CO7)
 def job8_results_to_chrom(spark, sf):
     return jobs.results_to_chrom(view(spark, sf, "fx_results"), chromsizes(spark, sf)).select("result_id", "chrom_x", "coord_x", "chrom_y", "coord_y")

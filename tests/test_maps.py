@@ -333,3 +333,28 @@ def test_smoothing_of_a_query_is_local_lines(spark):
         w = np.sqrt((1 - np.minimum(far[near] / far[near].max(), 1) ** 3) ** 3 + 1e-12)
         line = np.linalg.lstsq(np.c_[np.ones(k), t[near]] * w[:, None], y[8:][near] * w, rcond=None)[0]
         assert got[d] == pytest.approx(line[0] + line[1] * np.log(d + 1.0), abs=1e-6)
+
+
+def test_chains_over_ranges(spark):
+    """Chains and thinned points are those of one pass, though the order is dealt out in ranges."""
+    rng = np.random.default_rng(9)
+    det = sorted({(int(k), int(x), int(y)) for k, x, y in np.c_[rng.integers(0, 3, 400), rng.integers(0, 300, (400, 2))]})
+    df = spark.createDataFrame(det, "k int, x long, y long")
+    boxes = {(b["k"], b["chain"]): b["members"] for b in cluster.chain_groups(df, 4, ["k"]).collect()}
+    want = {}
+    for k in range(3):
+        before, chain = None, 0
+        for x, y in sorted(((x, y) for j, x, y in det if j == k), key=lambda p: (p[0] + p[1], *p)):
+            chain += before is not None and (x - before[0]) ** 2 + (y - before[1]) ** 2 > 32
+            want[k, chain] = want.get((k, chain), 0) + 1
+            before = (x, y)
+    assert boxes == want
+    kept = sorted((r["k"], r["x"]) for r in cluster.thin_anchors(df, 8, ["k"]).collect())
+    greedy = []
+    for k in range(3):
+        last = None
+        for x in sorted({x for j, x, _ in det if j == k}):
+            if last is None or x - 4 > last:
+                greedy.append((k, x))
+                last = x
+    assert kept == greedy
