@@ -1,15 +1,16 @@
 """Near-duplicates by 64-bit SimHash fingerprints that differ in few bits.
 
-A fingerprint is cut into segments and mapped to the vector of the segments' bit counts. Each bit
+A fingerprint is cut into segments of two bits and mapped to the vector of the segments' bit counts. Each bit
 that differs changes one count by one, so the Manhattan distance of two vectors is a lower bound of
 the Hamming distance of the fingerprints. Vectors within two of each other have a grid point within
 one of both; so each fingerprint joins the grid at its own point and those one step away, and equal
-points give the candidates, which are then compared exactly.
+points give the candidates, which are then compared exactly. The counts of a random fingerprint hold 48
+bits, so among a billion of them one in a hundred meets another that is not near.
 
-Grid points that many fingerprints share are not paired up. There a fingerprint joins instead by
-itself and its 64 one-bit neighbours: two fingerprints within two bits have one of these in common,
-and those that have one in common are within two bits. So nothing is lost, at most 65 fingerprints meet
-at one such point, and the work stays in proportion to the number of fingerprints.
+Where very many fingerprints are near each other, they share grid points. Those of a shared point are not paired up: there
+a fingerprint joins by itself and its 64 one-bit neighbours: two fingerprints within two bits have one of
+these in common, and those that have one in common are within two bits. So nothing is lost, at most 65
+fingerprints meet at one such point, and the work stays in proportion to the number of fingerprints.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .bpe import few
 from .common import stored
 from .components import components
 
-SEGMENTS = 16
-BITS = 64 // SEGMENTS
+SEGMENTS = 32
+#: The lower bit of each segment.
+LOWER = 0x5555555555555555
 MAX_BITS = 2
 #: Fingerprints at one grid point from which on they are joined by one-bit neighbours.
 CROWDED = 24
@@ -67,18 +69,19 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def grid_points(fp: Column) -> Column:
-    """The point of the bit counts and those one step away, each packed into a long, three bits a segment."""
-    own = F.lit(0).cast("long")
-    for s in range(SEGMENTS):
-        count = F.bit_count(F.shiftrightunsigned(fp, s * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))).cast("long")
-        own = own + F.shiftleft(count + 1, 3 * s)
-    steps = [0, *(sign << 3 * s if sign > 0 else -(1 << 3 * s) for s in range(SEGMENTS) for sign in (1, -1))]
-    return F.transform(F.array(*(F.lit(x).cast("long") for x in steps)), lambda step: own + step)
+    """The point of the bit counts and those one step away whose counts are 0, 1 or 2, each packed into a long, two bits a segment."""
+    low = F.lit(LOWER)
+    upper, lower = F.shiftrightunsigned(fp, 1).bitwiseAND(low), fp.bitwiseAND(low)
+    own = upper.bitwiseXOR(lower).bitwiseOR(F.shiftleft(upper.bitwiseAND(lower), 1))  # counts the bits of all segments at once
+    turns = [0, *((x << 2 * s) - (1 << 64 if x << 2 * s >> 63 else 0) for s in range(SEGMENTS) for x in (1, 3))]  # from 0 to 1 or 1 to 0, from 1 to 2 or 2 to 1
+    points = F.transform(F.array(*(F.lit(x).cast("long") for x in turns)), lambda turn: own.bitwiseXOR(turn))
+    return F.filter(points, lambda p: p.bitwiseAND(F.shiftrightunsigned(p, 1)).bitwiseAND(low) == 0)  # a count that a turn is not for becomes 3
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that connect all fingerprints within MAX_BITS; fps has distinct fp, and node."""
-    cells = fps.select("fp", "node", F.explode(grid_points(F.col("fp"))).alias("cell"))
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # a short table that is about to grow
+    cells = spread.select("fp", "node", F.explode(grid_points(F.col("fp"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stored(cells.join(sizes, "cell"), "simhash-cells")
     left, right = met.where(F.col("n") <= CROWDED).alias("x"), met.where(F.col("n") <= CROWDED).alias("y")
