@@ -39,8 +39,9 @@ def letter_table() -> np.ndarray:
 
 
 def normal(text: str, after_blank: np.ndarray | bool = True) -> np.ndarray:
-    """Code points in lower case; a run of anything but letters is one space, and none after a space or at the start."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    """Code points in lower case, where both small sigmas are one, so that no letter's case depends on its neighbours; a run of
+    anything but letters is one space, and none after a space or at the start."""
+    codes = np.frombuffer(text.lower().replace("ς", "σ").encode("utf-32-le", "surrogatepass"), "<u4")
     codes = np.where(letter_table()[codes], codes, 32).astype("u8")
     blank = codes == 32
     return codes[~(blank & np.r_[after_blank, blank[:-1]][: len(blank)])]
@@ -78,8 +79,6 @@ def counts_of(text: str) -> np.ndarray:
     at = 0
     while at < len(text):
         end = min(at + PIECE, len(text))
-        while end < len(text) and end > at + PIECE // 2 and text[end - 1].isalpha():
-            end -= 1  # cut after a word, as the case of some letters depends on what follows
         codes = np.r_[carried, normal(text[at:end], not len(carried) or carried[-1] == 32)]
         for n, found in buckets(codes):
             out += np.bincount(found[max(0, len(carried) - n + 1) :], minlength=len(out))

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, let, words
 
-#: Frequent function words of the four languages, as they are written inside a sentence.
-STOP_WORDS = (
-    "the of and to in a is that it for was with on as be by this at are from "
-    "de et le la les des en du un une que est pour dans au qui par sur pas avec "
-    "el los y del se por las con no su es para lo al "
-    "der und die zu den von das mit sich für auf ist im dem ein nicht eine als"
-).split()
+#: Frequent function words by language.
+STOP_WORDS = {
+    "en": "the of and to in a is that it for was with on as be by this at are from",
+    "fr": "de et le la les des en du un une que est pour dans au qui par sur pas avec",
+    "es": "de la el los y en que a del se por las un con no una su es para lo al",
+    "de": "der und die zu den von das mit sich des für auf ist im dem ein nicht eine als in",
+}
+#: What may stand around a word and does not belong to it when it is looked up among the stop words.
+PUNCTUATION = ".,;:!?\"'()[]"
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,10 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(windows, of))
 
 
-def measures(text: Column) -> Column:
-    """A struct of all counts of one text."""
+def measures(text: Column, lang: Column, stop_words: dict[str, str]) -> Column:
+    """A struct of all counts of one text. Stop words are those of all languages, whatever the case; null where the language has no list."""
+    stops = sorted({w for words_ in stop_words.values() for w in words_.split()})
+    listed = lang.isNull() | lang.isin(*stop_words)
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
 
@@ -81,7 +85,7 @@ def measures(text: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.when(listed, F.size(F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(PUNCTUATION))).isin(*stops)))).cast("long").alias("n_stop_words"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
         )
 
@@ -101,14 +105,16 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = None, stop_words: dict[str, str] = STOP_WORDS) -> DataFrame:
     """df with the counts n_words, word_chars, n_stop_words, n_repeat_words, n_lines, n_dup_lines and
     n_symbols and the Booleans base_failed and kept.
 
     Null and empty texts have no words, so they fail the base rule and are not kept. Rows do not
-    affect one another: repeated rows get the same verdict. Columns of the new names are replaced.
+    affect one another: repeated rows get the same verdict. Columns of the new names are replaced. lang names a column of
+    languages: texts of a language without a list of stop words have a null n_stop_words and pass its rule; a null language
+    is taken for one that has a list, as are all texts without such a column.
     """
-    m = measures(F.col(text))
+    m = measures(F.col(text), F.col(lang) if lang else F.lit(None).cast("string"), stop_words)
     new = ("n_words", "word_chars", "n_stop_words", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols", "base_failed", "kept")
     rest = [F.col(f"row.`{c}`") for c in df.columns if c not in new]
     counted = df.select(F.struct(*df.columns).alias("row"), m.alias("m")).select(*rest, "m.w.*", "m.l.*", "m.n_symbols")
@@ -119,10 +125,12 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The same for DuckDB."""
     checks = " and ".join(f"coalesce({r.part} / nullif({r.whole}, 0) between {r.least} and {r.most}, true)" for r in rules)
-    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stops = ", ".join(f"'{w}'" for w in sorted({w for words_ in STOP_WORDS.values() for w in words_.split()}))
+    listed = ", ".join(f"'{x}'" for x in STOP_WORDS)
+    around = PUNCTUATION.replace("'", "''")
     return rf"""
-with t as (select doc_id, coalesce(text, '') as t from documents),
-w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
+with t as (select doc_id, lang, coalesce(text, '') as t from documents),
+w as (select doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
 g as (select doc_id, unnest(ws) as a, unnest(ws[2:]) as b, unnest(ws[3:]) as c, unnest(range(1, len(ws) + 1)) as i from w where len(ws) > 2),
 k as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as k from g where c is not null),
@@ -130,7 +138,7 @@ r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i +
 m as (select w.doc_id, len(ws)::bigint as n_words, length(list_aggregate(list_concat([''], ws), 'string_agg', ''))::bigint as word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls) as n_lines,
         (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
-        len(list_filter(ws, lambda x: x in ({stops}))) as n_stop_words
+        case when lang is null or lang in ({listed}) then len(list_filter(ws, lambda x: lower(trim(x, '{around}')) in ({stops}))) end as n_stop_words
       from w left join r on r.doc_id = w.doc_id),
 b as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {checks} as kept from b

@@ -23,6 +23,9 @@ from .common import let
 #: The most alternatives that a query may have, and characters that a class is spelled out for.
 MOST_ALTERNATIVES = 64
 MOST_SPELLED = 8
+SPANS = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
+#: Matches of one text whose places are worked out together.
+TOGETHER = 256
 
 
 @dataclass(frozen=True)
@@ -123,7 +126,7 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
     each = F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), matches.alias("match"), judged.alias("judged"))
-    nothing = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
+    nothing = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
@@ -131,7 +134,17 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(F.length(x["judged"]) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(each, F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans")), step)["spans"]
+    def steps(items: Column) -> Column:
+        """All steps, some at a time, as each one copies the spans that it appends to."""
+
+        def some(acc: Column, g: Column) -> Column:
+            part = F.aggregate(F.slice(items, g + 1, TOGETHER), F.struct(acc["at"].alias("at"), nothing.alias("spans")), step)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["lists"], p["spans"]).alias("lists")))
+
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPANS}>").alias("lists"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(items) - 1, F.lit(TOGETHER)), zero, some)["lists"])
+
+    found = let(each, steps)
     quick = rule.pattern
     if not rule.group and quick.endswith("]+"):  # what counts has so many characters at least in its last run, whatever the width of the rest
         widest = parser.parse(quick[: quick.rindex("[")]).getwidth()[1]
@@ -154,7 +167,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
         rows = rows.withColumns({"\1doc": F.lit(None), "\1kinds": F.lit(None).cast("array<string>")})
 
     def of(x: Column) -> Column:
-        nothing = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
+        nothing = F.array().cast(SPANS)
         lists = []
         for place, r in enumerate(rules):
             wanted = F.coalesce(F.array_contains("\1kinds", r.kind), F.lit(False)) if r in indexed else F.lit(True)
