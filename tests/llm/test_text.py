@@ -360,7 +360,7 @@ def test_block_max_is_exact():
     for i, (t, w) in enumerate(vectors[:60]):
         sims = dense @ dense[i]
         want = sorted(((-round(s, 12), j) for j, s in enumerate(sims) if s > 0 and j != i))[:15]
-        assert index.nearest(t, w, 15, leave_out=i)[0].tolist() == [j for _, j in want]
+        assert next(index.all_nearest([(t, w)], 15, [i]))[0].tolist() == [j for _, j in want]
 
 
 def test_toxicity_edges(spark, awkward):
