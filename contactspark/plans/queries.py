@@ -50,7 +50,22 @@ def job2_scan_resolutions(spark, sf):
     return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
 
 
-@query()
+def _scored_scan(res: int, size: int = 48) -> str:
+    """Contrasts of all windows of a scan by quarters, on log-ratios with pseudocounts, each scaled by itself."""
+    n, step, mid, places = Q.N_GENOME, size // 4, size // 2, size * size
+    start = f"least(i * {step}, {n} - {size})"
+    out = f"""select w as "window", o.chrom_idx, case when o.chrom_idx = 0 then x else (x * 10000 - o.start) // 10000 end::bigint as local_bin, round(raw, 6) as score from (
+select w, start + {mid} as x, 1 / (1 + exp(-2 * (m / 16 - s / {places}) / nullif(hi - lo, 0))) as raw from (
+select w, start, sum(v) as s, coalesce(sum(v) filter (where dx between {mid - 2} and {mid + 1} and dy between {mid - 2} and {mid + 1}), 0) as m, least(min(v), case when count(*) < {places} then 0 else 1e9 end) as lo, greatest(max(v), case when count(*) < {places} then 0 else -1e9 end) as hi from (
+with gc as (select sample, least(g1, g2) as g1, greatest(g1, g2) as g2, sum(count) as c from {Q.GENOME_CELLS} group by 1, 2, 3),
+p as (select g1, g2, log10(coalesce(t.c, 0) + 1e-6) - log10(coalesce(k.c, 0) + 1e-6) as v from (select * from gc where sample = 'test') t full join (select * from gc where sample = 'clean') k using (g1, g2) where g2 - g1 < {size}),
+d as (select i as w, {start} as start, g1, g2, v from p, range(0, (select {n} // {step})) z(i) where {n} >= {size} and {start} <= g1 and g2 < {start} + {size})
+select w, start, g1 - start as dx, g2 - start as dy, v from d union all select w, start, g2 - start, g1 - start, v from d where g1 <> g2)
+group by w, start)) join fx_offsets o on x * 10000 <= o.stop and (x * 10000 > o.start or o.chrom_idx = 0) where raw > 0.5"""
+    return out.replace("10000", str(res))
+
+
+@query(" union all ".join(f"select {res} as resolution, * from ({_scored_scan(res)})" for res in (50000, 10000)))
 def job2_scan_scored(spark, sf):
     """Every window, by a scorer that takes dense patches of 48 bins, on the log-ratio with pseudocounts."""
     found = jobs.scan_resolutions({res: pixels(spark, sf, res) for res in (50000, 10000)}, chromsizes(spark, sf), 48, scorer=scoring.contrast, ratio="pseudo")
