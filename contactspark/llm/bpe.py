@@ -57,7 +57,7 @@ class WordBpe:
         self.last_ids = [self.vocab[c + self.end] for c in alphabet]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.most = CACHE_ENTRIES if merge == "library" else CACHE_ENTRIES * 2 // 3  # the decoder's worker needs room, too
+        self.most = CACHE_ENTRIES if merge == "library" else CACHE_ENTRIES // 2  # the decoder's worker needs room, too
 
     @cached_property
     def ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
