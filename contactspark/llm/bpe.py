@@ -29,6 +29,8 @@ WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 CACHE_ENTRIES = 600_000
+#: New pieces that the library encodes as one text.
+TOGETHER = 500
 
 
 def byte_alphabet() -> list[str]:
@@ -117,11 +119,25 @@ class WordBpe:
         chunk = chunk.lower()
         return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Which ids end a piece."""
+        return np.array([bool(self.end) and x.endswith(self.end) for x in self.strings], bool)
+
     def ids_of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        if self.merge == "library":
-            encodings = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-            return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, encodings, strict=True)}
-        return {p: array("I", self.merged(p)).tobytes() for p in pieces}
+        if self.merge != "library":
+            return {p: array("I", self.merged(p)).tobytes() for p in pieces}
+        out = {}
+        parts = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):  # every piece ends with an id of its own, and no other id does
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                out |= {p: raw[s:e] for p, s, e in zip(part, [0, *stops[:-1]], stops, strict=True)}
+            else:  # a piece that spells a special token stands for itself
+                out |= {p: array("I", self.merged(p)).tobytes() for p in part}
+        return out
 
     def ids_of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of new chunks. Caches take what comes first, which is what is frequent, and then stay as they are."""
