@@ -6,7 +6,8 @@ Grammar:  conversation = turn*          turn = "<s>[INST]" flag " " role " [/INS
 A turn is first rendered as it is and read back by the parser. Where the recovered turn is not the
 source, for instance as a text holds a control string, the turn is rendered again with the flag set
 and its role and text escaped: each backslash is doubled and each control string gets a backslash
-after its first character. The flag tells the parser to undo that.
+after its first character. The flag tells the parser to undo that. The assembled conversation is read back, too,
+and its turns are compared with the source by a hash.
 """
 
 from __future__ import annotations
@@ -77,9 +78,13 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     end = F.col("at") - len(END)
     body = F.when(F.col("flagged"), F.length(escaped(F.col("x")))).otherwise(F.length("x"))
     span = F.when(F.col("r") == train_on, F.struct((end - body).alias("start"), end.alias("end"), F.col("flagged")))
-    turns = rows.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("at", "shown", span.alias("span")))).alias("t"))
+    source = F.xxhash64("r", "x").alias("source")
+    turns = rows.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("at", "shown", span.alias("span"), source))).alias("t"))
+    turns = turns.withColumn("whole", F.array_join(F.transform("t", lambda x: x["shown"]), ""))
+    same = F.transform(parse(F.col("whole")), lambda x: F.xxhash64(x["role"], x["text"])) == F.transform("t", lambda x: x["source"])
     spans = F.filter(F.transform("t", lambda x: x["span"]), lambda s: s.isNotNull())
-    return turns.select(F.col("c").alias(conv), F.array_join(F.transform("t", lambda x: x["shown"]), "").alias("formatted"), spans.alias("loss_spans"))
+    checked = F.when(same, F.col("whole")).otherwise(F.raise_error(F.lit("a conversation cannot be read back")))
+    return turns.select(F.col("c").alias(conv), checked.alias("formatted"), spans.alias("loss_spans"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
