@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hamming, langid, packing, quality, secrets, simhash, suffix, toxicity
-from .common import table
+from . import bpe, chat, hamming, langid, packing, quality, runs, secrets, simhash, suffix, toxicity
+from .common import let, table, words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -93,6 +93,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op6_hamming, op7_suffix, op8_secrets, op9_packing, op10_toxicity)}
+def periodic_text(doc_id: Column, text: Column) -> Column:
+    """text, whose words repeat with a period from some word on if the id's checksum is divisible by ten."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " ")
+
+    return F.when(F.pmod(h, F.lit(10)) == 0, let(words(text), lambda w: F.when(F.size(w) > 0, again(w)))).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_text(F.col("doc_id"), F.col("text")).alias("text"))
+    out = runs.periodic_runs(docs)
+    first = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"], r["period"]))), 1)
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    best = out.withColumn("best", F.when(F.size("runs") > 0, first))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(-1000 * best.n) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op6_hamming, op7_suffix, op8_secrets, op9_packing, op10_toxicity, op11_runs)}
 
 SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql(), "op6_hamming": hamming.SQL, "op8_secrets": secrets.sql()}
