@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words, as a character list and as a regular expression.
@@ -86,6 +86,26 @@ def numbered(df: DataFrame, key: str, row: str) -> DataFrame:
     return stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+def in_order(df: DataFrame, order: list[Column], before: dict[str, Column | None]) -> DataFrame:
+    """df sorted by order in ranges and stored, with the sums, as longs, of some expressions (None: the number) over all rows that come before each.
+
+    Ranges also go by rows, so that very many rows of one place in the order need no single task. Sums within a range
+    are windows of that range; ranges are summed up on their own, and there are as many of them as partitions.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    sort = [*order, F.col("_tie")]
+    placed = stored(tied.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()).drop("_tie"), "in-order")
+    placed = placed.withColumn("_range", F.shiftrightunsigned("_place", 33))
+    ranges = placed.groupBy("_range").agg(*(F.sum(F.lit(1) if x is None else x).cast("long").alias(f"_{n}") for n, x in before.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in before))
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("_place").bitwiseAND((1 << 33) - 1)  # its number within the range
+    sums = {n: place if x is None else F.coalesce(F.sum(x).over(inside).cast("long"), F.lit(0)) for n, x in before.items()}
+    found = placed.select("*", *(x.alias(n) for n, x in sums.items())).join(F.broadcast(ranges), "_range")
+    return found.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in before))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, whatever the optimizer does with the projection around it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
