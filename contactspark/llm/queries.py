@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hamming, langid, mixing, packing, quality, runs, secrets, simhash, suffix, toxicity
+from . import bpe, chat, hamming, langid, mixing, packing, phrases, quality, runs, secrets, simhash, suffix, toxicity
 from .common import let, table, words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -129,6 +129,10 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op6_hamming, op7_suffix, op8_secrets, op9_packing, op10_toxicity, op11_runs, op12_mixing)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
 
-SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql(), "op6_hamming": hamming.SQL, "op8_secrets": secrets.sql(), "op12_mixing": mixing.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_bpe, op3_simhash, op4_chat, op5_quality, op6_hamming, op7_suffix, op8_secrets, op9_packing, op10_toxicity, op11_runs, op12_mixing, op13_phrases)}
+
+SQL = {"op4_chat": chat.SQL, "op5_quality": quality.sql(), "op6_hamming": hamming.SQL, "op8_secrets": secrets.sql(), "op12_mixing": mixing.SQL, "op13_phrases": phrases.sql()}
