@@ -4,10 +4,10 @@ Each word of a piece of text opens one window: itself and the words that follow,
 the end. Only these windows are counted. Their lead columns are rolled up, so that every shorter phrase is the sum of the windows that
 begin with it, and the empty one the number of words: each occurrence of a phrase begins at one word.
 
-Most windows begin with a phrase that is too rare to matter. A pass before this one counts words and pairs of neighbours by hash in a
-table of fixed size. Where the count of a pair's cell is below the least, the pair is rarer still, so is every phrase with it,
-and a window ends (is padded) between the two; a word of such a cell opens an empty window, which only counts as a word. Cells that pairs
-share let through more than need be, never less, so all counts that matter are exact. The bits of the cells are broadcast: 32 MB whatever the input.
+Most windows begin with a phrase that is too rare to matter. Passes before this one count words and pairs of neighbours by hash in a
+table of fixed size, then longer phrases, but only those without a rare pair. Where a cell's count is below the least, its phrases are rarer still, so is
+whatever holds them, and a window ends (is padded) before it would hold one; a rare word opens an empty window, which only counts as a word. Cells that phrases
+share let through more than need be, never less, so all counts that matter are exact. The bits of the cells are broadcast: 40 MB whatever the input.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import bounded
 from .bpe import few
+from .cells import added_up
 from .common import in_order, stored
 from .tokens import coded, cut_words
 
@@ -34,10 +35,10 @@ TOP = 2000
 SHARE = 100
 UNKNOWN = "und"
 BLANK, STOP = b" \t", b".,;:!?\n\x0b\x0c\r"
-#: Cells of the table of hashed words and pairs, and those of one block, which is a row while they are added up.
-CELL_BITS, BLOCK_BITS = 28, 16
-#: Hashes that a task gathers before it counts them.
-GATHER = 8_000_000
+#: Cells of the tables of hashed words and pairs, and of longer phrases.
+CELL_BITS, LONG_BITS = 28, 26
+#: Windows that a task holds before equal ones are added up, and goes on with if that leaves half of them or fewer.
+HELD = 600_000
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -51,102 +52,100 @@ class Pieces:
         self.langs = known.dictionary
         self.lang = known.indices.to_numpy(zero_copy_only=False).astype("i8")[owner]
 
-    def cells(self) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each word, and that of each word with its next (meaningless where a piece ends)."""
+    def hashes(self) -> np.ndarray:
+        """A hash of each word in its language."""
         digest = xxhash.xxh64_intdigest
         of_word = np.fromiter(map(digest, self.words.to_pylist()), "u8", len(self.words))
         of_lang = np.fromiter(map(digest, self.langs.to_pylist()), "u8", len(self.langs))
-        h = of_word[self.code] ^ (of_lang[self.lang] * MIX)
-        pair = (h[:-1] * MIX ^ (h[:-1] >> np.uint64(31))) + h[1:]
-        shift = np.uint64(64 - CELL_BITS)
-        return tuple(((x ^ (x >> np.uint64(32))) * TURN >> shift).astype("u4") for x in (h, pair))
+        return of_word[self.code] ^ (of_lang[self.lang] * MIX)
 
+    def phrases(self, longest: int, tables: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each size of phrase from 1 on: where they start, their hashes, and at which words one starts that may be frequent.
 
-def frequent_cells(df: DataFrame, least: int) -> np.ndarray:
-    """One bit a cell, in bytes: whether words and pairs of that cell occur `least` times or more together. df has text and lang.
+        tables: the bits of words, pairs, and so on, by which a phrase is judged; None lets all through. Phrases are those whose parts may be frequent.
+        """
+        h = self.hashes()
+        g, at, may = h, np.arange(len(h)), np.ones(len(h), bool)
+        for k, table in zip(range(1, longest + 1), tables, strict=True):
+            if k > 1:
+                at = np.flatnonzero(may[:-1] & may[1:] & (self.goes_on[1:] | (k > 2)))
+                g[at] = (g[at] * MIX ^ (g[at] >> np.uint64(31))) + h[at + k - 1]
+            else:
+                g = h.copy()
+            may = np.zeros(len(h), bool)
+            may[at] = True if table is None else is_open(table, g[at])
+            yield at, g[at], may
 
-    A task's counts are cut off at what is enough and go out by block; blocks are added up one at a time.
-    """
-    small = np.dtype("u1" if least < 1 << 8 else "<u4")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            cell = np.concatenate(held)
-            cell.sort()
-            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            n = np.diff(np.r_[first, len(cell)])
-            cell = cell[first]
-            edges = np.searchsorted(cell, np.arange((1 << CELL_BITS - BLOCK_BITS) + 1, dtype="u8") << np.uint64(BLOCK_BITS)).astype("i4")
-            at, n = (cell & np.uint32((1 << BLOCK_BITS) - 1)).astype("<u2"), np.minimum(n, least).astype(small)
-            some = np.flatnonzero(np.diff(edges))
-            sizes = np.r_[edges[some], edges[-1]]  # empty blocks take nothing, so their edges may go
-            columns = [pa.array(some, pa.int32()), *(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(sizes * width), pa.py_buffer(x)]) for x, width in ((at, np.int32(2)), (n, np.int32(small.itemsize))))]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "at", "n"])
 
-        for whole in batches:
-            for b in few(whole, "text"):
-                pieces = Pieces(b["text"], b["lang"])
-                word, pair = pieces.cells()
-                held += [word, pair[pieces.goes_on[1:]]]
-                if sum(map(len, held)) > GATHER:
-                    yield counted()
-                    held.clear()
-        if sum(map(len, held)):
-            yield counted()
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = -1, np.zeros(1 << BLOCK_BITS, "i8")
-
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-        for b in batches:
-            for k, at, n in zip(b["block"].to_pylist(), b["at"].to_pylist(), b["n"].to_pylist(), strict=True):
-                if k != block:
-                    if block >= 0:
-                        yield closed()
-                    block, total[:] = k, 0
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, small)  # a row has each cell once
-        if block >= 0:
-            yield closed()
-
-    sketch = df.mapInArrow(count, "block int, at binary, n binary").repartition("block").sortWithinPartitions("block").mapInArrow(add_up, "block int, bits binary").toArrow()
-    bits = np.zeros((1 << CELL_BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), "u1")
-    for block, row in zip(sketch["block"].to_pylist(), sketch["bits"].to_pylist(), strict=True):
-        bits[block] = np.frombuffer(row, "u1")
-    return bits.reshape(-1)
-
-
-def windows(df: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """lang, w1, w2, ... and n: the padded windows of a task's batches, and how often each was met. df has text and lang."""
-    names = [f"w{k + 1}" for k in range(longest)]
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+def cell_of(g: np.ndarray, bits: int) -> np.ndarray:
+    return ((g ^ (g >> np.uint64(32))) * TURN >> np.uint64(64 - bits)).astype("u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
 
-        def open_(cell: np.ndarray) -> np.ndarray:
-            return (table[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype("u1") & 1).astype(bool)
+def is_open(table: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes' cells are set."""
+    cell = cell_of(g, (8 * len(table)).bit_length() - 1)
+    return (table[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype("u1") & 1).astype(bool)
+
+
+def open_cells(df: DataFrame, least: int, longest: int, known: list[np.ndarray], bits: int) -> np.ndarray:
+    """One bit a cell, in bytes: whether phrases of up to `longest` words that the known tables (of the shorter ones) let through occur `least` times or more
+    together in that cell. df has text and lang."""
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def cells(b: pa.RecordBatch) -> list[np.ndarray]:
+        tables = shared.value
+        found = Pieces(b["text"], b["lang"]).phrases(longest, [*tables, *[None] * (longest - len(tables))])
+        return [cell_of(g, bits) for k, (_, g, _) in enumerate(found) if k >= len(tables)]
 
+    return added_up(df, "text", cells, bits, lambda total: np.packbits(total >= least, bitorder="little"), least)
+
+
+def tables_of(df: DataFrame, least: int, longest: int) -> list[np.ndarray]:
+    """The tables of words, pairs and longer phrases, by size."""
+    short = open_cells(df, least, min(2, longest), [], CELL_BITS)
+    if longest < 3:
+        return [short] * longest
+    return [short, short, *[open_cells(df, least, longest, [short, short], LONG_BITS)] * (longest - 2)]
+
+
+def windows(df: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """lang, w1, w2, ... (as many as tables) and n: the padded windows that tasks have met, and how often. df has text and lang."""
+    longest = len(tables)
+    names = [f"w{k + 1}" for k in range(longest)]
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+
+    def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Equal windows as one."""
+        found = pa.Table.from_batches(held).group_by(["lang", *names], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([found[c].chunk(0) for c in ("lang", *names, "n_sum")], names=["lang", *names, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in met(batches):
+            held.append(b)
+            if sum(x.num_rows for x in held) > HELD:
+                held = [added(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield held.pop()
+        if held:
+            yield added(held)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each slice of a batch."""
         for whole in batches:
             for b in few(whole, "text"):
                 pieces = Pieces(b["text"], b["lang"])
                 total = len(pieces.code)
                 if not total:
                     continue
-                word, pair = pieces.cells()
-                joins = np.zeros(total, bool)  # to the next word
-                joins[:-1] = pieces.goes_on[1:] & open_(pair)
+                may = [x for _, _, x in pieces.phrases(longest, shared.value)]
                 pad = len(pieces.words)
-                head = np.where(open_(word), pieces.code, pad)
-                joins &= head < pad
+                head = np.where(may[0], pieces.code, pad)
                 key, rows = pieces.lang * (pad + 1) + head, np.arange(total)
                 finished = []  # windows are told apart column by column; those that have ended take no part in the next
                 for k in range(1, longest + 1):
                     distinct, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                    go = joins[rows + k - 1] & (k < longest)
+                    go = may[k][rows] if k < longest else np.zeros(len(rows), bool)
                     ended = n - np.bincount(which[go], minlength=len(distinct))
                     some = np.flatnonzero(ended)
                     at = rows[first[some]]
@@ -168,7 +167,7 @@ def phrase_counts(df: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     """lang, size, phrase, words and f of all phrases of 1 to `longest` words that occur `least` times or more in texts of a language, and the number of
     all its words as the phrase of size 0. df has text and lang; stored."""
     names = [f"w{k + 1}" for k in range(longest)]
-    met = windows(df, frequent_cells(df, least), longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    met = windows(df, tables_of(df, least, longest)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     columns = ", ".join(names)
     rolled = df.sparkSession.sql(f"select lang, {columns}, sum(n) as f, {longest} - bit_count(grouping_id()) as size from {{met}} group by lang, rollup({columns})", met=met)
     last = F.element_at(F.array(F.lit("-"), *names), (F.col("size") + 1).cast("int"))  # padding ends a phrase before this

@@ -53,18 +53,17 @@ def test_crowded_cells_change_nothing(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(60)), rng.choice("xy")) for _ in range(300)]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
-    cells = 1 << phrases.CELL_BITS - 3
-    monkeypatch.setattr(phrases, "frequent_cells", lambda df, least: np.full(cells, 255, "u1"))
+    monkeypatch.setattr(phrases, "tables_of", lambda df, least, longest: [np.full(1 << 13, 255, "u1")] * longest)
     assert sorted(map(tuple, phrases.collocations(df, least=9).collect())) == plain(rows, 9, 5, 2000, 100)
 
 
 def test_few_cells_are_open(spark):
     rows = [("common pair here " + " ".join(f"w{i}_{j}" for j in range(30)), "en") for i in range(400)]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(7)
-    bits = phrases.frequent_cells(df, 100)
-    assert np.unpackbits(bits).sum() == 5  # three words, two pairs
-    assert phrases.windows(df, bits).where("w1 <> ''").groupBy("w1", "w2", "w3", "w4", "w5").count().count() == 3
-    assert not phrases.frequent_cells(df, 401).any() and np.unpackbits(phrases.frequent_cells(df, 400)).sum() == 5
+    tables = phrases.tables_of(df, 100, 5)
+    assert [int(np.unpackbits(t).sum()) for t in tables] == [5, 5, 1, 1, 1]  # three words and two pairs; a triple
+    assert phrases.windows(df, tables).where("w1 <> ''").groupBy("w1", "w2", "w3", "w4", "w5").count().count() == 3
+    assert not any(t.any() for t in phrases.tables_of(df, 401, 3)) and np.unpackbits(phrases.tables_of(df, 400, 2)[0]).sum() == 5
 
 
 def test_products_pass_64_bits(spark):
