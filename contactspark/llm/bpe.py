@@ -81,26 +81,29 @@ class WordBpe:
     def merged(self, piece: str) -> list[int]:
         """The ids of one piece: the lowest rank merges first, the leftmost of equals first."""
         raw = piece.encode()
-        ids = [self.byte_ids[b] for b in raw[:-1]] + [self.last_ids[raw[-1]]]
+        ids = array("i", [self.byte_ids[b] for b in raw[:-1]])
+        ids.append(self.last_ids[raw[-1]])
         ranks, n = self.ranks, len(ids)
         if n == 1:
-            return ids
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+            return list(ids)
+        before, after = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        queue = [r[0] * n + i for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]  # rank and place in one number
         heapq.heapify(queue)
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            rank, i = divmod(heapq.heappop(queue), n)
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            pair = ranks.get((ids[i], ids[j])) if j < n else None
+            if ids[i] < 0 or pair is None or pair[0] != rank:
                 continue  # stale: one of the two has merged since
+            new = pair[1]
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if r := ranks.get((new, ids[k])):
-                    heapq.heappush(queue, (r[0], i, new, ids[k], r[1]))
+                    heapq.heappush(queue, r[0] * n + i)
             if (h := before[i]) >= 0 and (r := ranks.get((ids[h], new))):
-                heapq.heappush(queue, (r[0], h, ids[h], new, r[1]))
+                heapq.heappush(queue, r[0] * n + h)
         return [x for x in ids if x >= 0]
 
     @cached_property

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import between, blocks, let
+
 START, END, OPEN, CLOSE = CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 FLAG = "\\"
 
@@ -90,11 +92,11 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
 def loss_text(formatted: Column, spans: Column) -> Column:
     """The text under the loss mask, unescaped."""
 
-    def of(s: Column) -> Column:
-        raw = F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    def of(parts: Column, s: Column) -> Column:
+        raw = between(parts, s["start"], s["end"])
         return F.when(s["flagged"], unescaped(raw)).otherwise(raw)
 
-    return F.array_join(F.transform(spans, of), "")
+    return let(blocks(formatted), lambda parts: F.array_join(F.transform(spans, lambda s: of(parts, s)), ""))
 
 
 SQL = r"""

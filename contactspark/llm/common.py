@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,13 +76,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def numbered(df: DataFrame, key: str, row: str) -> DataFrame:
     """df with `row`, a number of each row's own that rises with the key, nulls last: the key itself if no row shares or lacks one.
 
-    Otherwise rows are sorted by key, then by a hash of all they hold, in ranges; rows alike in all are numbered as they are
+    Otherwise rows are sorted by key, then by a hash of all they hold (but for maps and variants), in ranges; rows alike in all are numbered as they are
     met, so that a group of copies needs no single task.
     """
     shared = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").cast("long") > 1).select(key).unionAll(df.select(key).where(F.col(key).isNull()))
     if shared.isEmpty():
         return df.withColumn(row, F.col(key).cast("long"))
-    order = [F.asc_nulls_last(key), F.xxhash64(*df.columns), F.col(row)]
+    hashed = [c for c in df.columns if not re.search("map<|variant", df.schema[c].dataType.simpleString())]
+    order = [F.asc_nulls_last(key), F.xxhash64(*hashed), F.col(row)]
     placed = df.withColumn(row, F.monotonically_increasing_id())
     return stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "numbered")
 
@@ -111,20 +113,45 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Code points of a block of text; a substring is found within its block, not from the text's start.
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    """A text cut into blocks of BLOCK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points of a text from start to end (exclusive), given its blocks (see let). What it costs follows the length, not the place."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    skip = F.pmod(start, F.lit(BLOCK)).cast("int")
+    head = F.substring(F.coalesce(F.get(parts, first), F.lit("")), skip + 1, F.least(F.lit(BLOCK), end - start).cast("int"))
+    whole = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.substring(F.coalesce(F.get(parts, last), F.lit("")), F.lit(1), F.pmod(end, F.lit(BLOCK)).cast("int"))
+    return F.when(last == first, head).otherwise(F.concat(head, whole, tail))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of anything but ASCII white space, as an array; null and blank text give an empty one."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_REGEX))
 
 
-def hashed_sample(df: DataFrame, group: str, keys: list[str], rows: int, counts: dict) -> DataFrame:
-    """About `rows` rows of each group, or all if it has no more: those whose hash of `keys` lies in the group's share.
+def distinct_sample(df: DataFrame, group: str, keys: list[str], rows: int) -> DataFrame:
+    """`rows` rows of each group that differ in `keys`, those of the smallest hashes, or all where there are no more; of rows alike in keys the least by
+    their other columns. A null group gives no rows.
 
-    counts: the number of rows by group. Each row is judged by itself, so a large group meets in no task. The number
-    picked varies by the root of `rows`; a null group, or one that isn't counted, gives no rows.
+    Copies are one row, so a group of nothing but copies is not lost. Rows whose hash lies above twice the share of the group that is wanted, by a sketch of its
+    distinct ones, go before anything is shuffled: about 2 * rows of a group meet.
     """
-    if not counts:
+    h = F.xxhash64(*keys)
+    sizes = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).agg(F.approx_count_distinct(h, 0.05)).collect()}
+    if not sizes:
         return df.limit(0)
-    share = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, rows / max(1, n)))))
-    part = F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
-    return df.where(part < F.try_element_at(share, F.col(group)))
+    share = F.create_map(*(F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, (2 * rows + 100) / max(1, n)))))
+    part = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+    rest = [c for c in df.columns if c != group]
+    some = df.where(part < F.try_element_at(share, F.col(group))).groupBy(group, part.alias("_part"), h.alias("_h")).agg(F.min(F.struct(*rest)).alias("_row"))
+    first = Window.partitionBy(group).orderBy("_part", "_h")
+    return some.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows).select(group, *(F.col(f"_row.`{c}`") for c in rest)).select(df.columns)

@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The model is fitted on a bounded sample of labelled rows, about the same number at most for each language,
+The model is fitted on a bounded sample of labelled rows, the same number at most for each language,
 picked by a hash. Its log-probability matrix (buckets by languages) is broadcast. Texts are scored in
 batches: the n-grams of a batch are the column indices of a sparse matrix of counts whose rows are
 the texts, and its product with the matrix is a gather and a segmented sum. Long texts are walked in
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import few
-from .common import hashed_sample
+from .common import distinct_sample
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -110,16 +110,15 @@ class Model:
 
 
 def fit(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
-    """A model from about `rows` usable rows of each language. More than most_languages are an error, as none is left out.
+    """A model from `rows` usable rows of each language, or all where there are no more. More than most_languages are an error, as none is left out.
 
-    Null texts and null languages teach nothing. Languages count alike, however many rows they have. Rows are picked by a hash of
-    key and text, so repeated rows are all in or all out.
+    Null texts and null languages teach nothing. Languages count alike, however many rows they have. Rows are those of the smallest
+    hashes of key and text; repeated rows are one.
     """
     good = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), usable.alias("usable")).where("usable and lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in good.groupBy("lang").count().limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
+    if good.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"over {most_languages} languages; raise most_languages if executors hold a matrix of more")
-    sample = hashed_sample(good, "lang", ["key", "text"], rows, sizes).select("text", "lang")
+    sample = distinct_sample(good.select("key", "text", "lang"), "lang", ["key", "text"], rows).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import between, blocks, let
 
 #: The most alternatives that a query may have, and characters that a class is spelled out for.
 MOST_ALTERNATIVES = 64
@@ -186,18 +186,29 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Spans that are folded together; an array that grows by one at a time costs the square of its length.
+CHUNK = 512
+
+
 def redacted(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced."""
+    """The text with each run of overlapping spans replaced. The work follows the text and the number of spans, however many there are."""
+
+    def gaps(chunk: Column) -> Column:
+        """Where a gap between runs ends in these spans: its start and end."""
+        done = F.slice(spans, 1, chunk * CHUNK)
+        reached = F.coalesce(F.array_max(F.transform(done, lambda s: s["end"])), F.lit(0)).cast("long")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit(by))).otherwise(acc["out"]).alias("out"))
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.array(F.struct(acc["at"].alias("start"), s["start"].cast("long").alias("end")))
+            found = F.when(s["start"] >= acc["at"], F.concat(acc["gaps"], gap)).otherwise(acc["gaps"])
+            return F.struct(F.greatest(acc["at"], s["end"].cast("long")).alias("at"), found.alias("gaps"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+        start = F.struct(reached.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("gaps"))
+        return F.aggregate(F.slice(spans, chunk * CHUNK + 1, F.lit(CHUNK)), start, step, lambda acc: acc["gaps"])
 
-    out = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, finish)
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), gaps))
+    rest = F.struct(F.array_max(F.transform(spans, lambda s: s["end"].cast("long"))).alias("start"), F.length(text).cast("long").alias("end"))
+    out = let(blocks(text), lambda parts: F.array_join(F.transform(F.concat(found, F.array(rest)), lambda g: between(parts, g["start"], g["end"])), by))
     return F.when(F.size(spans) > 0, out).otherwise(text)
 
 

@@ -79,31 +79,37 @@ def grid_points(fp: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that connect all fingerprints within MAX_BITS; fps has distinct fp, and node."""
+    """Pairs (a, b) of fingerprints that connect all within MAX_BITS; fps has distinct fp."""
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # a short table that is about to grow
-    cells = spread.select("fp", "node", F.explode(grid_points(F.col("fp"))).alias("cell"))
+    cells = spread.select("fp", F.explode(grid_points(F.col("fp"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stored(cells.join(sizes, "cell"), "simhash-cells")
     left, right = met.where(F.col("n") <= CROWDED).alias("x"), met.where(F.col("n") <= CROWDED).alias("y")
     close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS
-    pairs = left.join(right, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    crowd = met.where(F.col("n") > CROWDED).select("fp", "node").distinct()
+    pairs = left.join(right, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    crowd = met.where(F.col("n") > CROWDED).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
-    near = crowd.select("node", "fp", F.explode(flips).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    least = near.groupBy("point").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
-    stars = near.join(least, "point").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    least = near.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
+    stars = near.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.union(stars).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp and component_id (the smallest key that is reachable over links) for each row.
 
-    Null and blank texts have fingerprint 0 and link as any other. Rows of equal fingerprints are one node
-    from the start, so copies are never paired up. Repeated keys keep a row each; null keys too, in a
-    component of their own unless linked. Other columns are not kept. An empty table gives no rows.
+    Null and blank texts have fingerprint 0 and link as any other. Fingerprints are the nodes, whatever the keys of their rows, so copies are never
+    paired up, and rows of null keys link others and are linked as any; component_id is null only where no key is
+    reachable. Repeated keys keep a row each. Other columns are not kept. An empty table gives no rows.
     """
-    prints = stored(fingerprints(df, key, text), "simhash-prints")
+    return grouped(stored(fingerprints(df, key, text), "simhash-prints"), key)
+
+
+def grouped(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same for given fingerprints: key and fp."""
     nodes = prints.groupBy("fp").agg(F.min(key).alias("node"))
-    found = components(links(nodes.where("node is not null")))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    found = components(links(nodes.select("fp")))
+    members = nodes.join(found.withColumnRenamed("node", "of"), F.col("fp") == F.col("of"), "left").select("fp", "node", F.coalesce("component", "fp").alias("component"))
+    smallest = members.groupBy("component").agg(F.min("node").alias("component_id"))
+    labels = members.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return prints.join(labels, "fp", "left").select(key, "fp", "component_id")

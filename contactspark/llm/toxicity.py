@@ -1,12 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows. The terms of a text are its words (runs of letters, lower
-case); the vocabulary is every word of the examples, with document frequencies counted over all documents. A term
-weighs the more the more the labels depend on it, but none weighs nothing. Examples stand in blocks, like ones
+Examples are a bounded sample of labelled rows. The terms of a text are its words (runs of letters, lower case), all of them; their document
+frequencies are counted over all documents, those of the examples' terms one by one and those of other terms, which add to
+nothing but a text's length, by hash in a table of fixed size. Examples stand in blocks, like ones
 together; for each term the index keeps its postings and the highest weight in each block that has it. A
 text's weights times these maxima bound its similarity to a block, so that after the most promising
 blocks only those whose bound reaches the k-th best similarity are scored: the k nearest are exact.
-Their votes, weighted by similarity, are calibrated on the examples themselves, each scored without itself.
+
+A neighbour's vote weighs as much as its similarity, nearly all of it by the part that comes from terms on which the labels depend; a few votes
+go to the share of label 1, so that faint similarities decide nothing. Votes are calibrated on the examples themselves, each scored without
+itself, and without its label in what is known of its terms.
 """
 
 from __future__ import annotations
@@ -20,18 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import few
-from .common import hashed_sample, stored
+from .cells import added_up
+from .common import distinct_sample, stored
 
 #: About so many examples of each label are learned from; this bounds the vocabulary, the index and what is broadcast.
 EXAMPLES_PER_LABEL = 2000
-#: Log-likelihood ratio of a term and the label (chi-square with one degree of freedom) from which on the term has its full weight, and the least share of it that any has.
-FULL_RATIO, LEAST_SHARE = 24.0, 0.1
-NEIGHBOURS = 15
+#: Log-likelihood ratio of a term and the label (chi-square with one degree of freedom) from which on the term's part of a similarity counts in full.
+FULL_RATIO = 24.0
+#: The part of a similarity that votes whatever its terms, and the weight of the votes for the share of label 1.
+LEAST_PART, PRIOR = 0.01, 0.01
+NEIGHBOURS = 100
+#: Cells of the table of document frequencies of terms that no example has, and the bits that tell such terms apart within a batch.
+CELL_BITS, HASH_BITS = 22, 40
 BLOCK = 128
 FIRST_BLOCKS = 2
 CACHE_ENTRIES = 400_000
@@ -54,18 +63,22 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Terms:
-    """Counts of vocabulary terms in texts; keeps the terms of odd chunks it has met (bounded)."""
+    """Counts of terms in texts; keeps the terms of odd chunks it has met (bounded). Terms of the vocabulary have their places as ids, others a hash beyond."""
 
     def __init__(self, vocabulary: list[str]):
         self.ids = {t: i for i, t in enumerate(vocabulary)}
         self.words = pa.array(vocabulary, pa.string())
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def other(self, term: str) -> int:
+        """The id of a term that is not in the vocabulary."""
+        return len(self.ids) + (xxhash.xxh64_intdigest(term) >> 64 - HASH_BITS)
+
     def look(self, chunk: str) -> tuple[int, ...]:
         found = self.known.get(chunk)
         if found is None:
             ids = self.ids
-            found = tuple(ids[t] for t in terms_of(chunk) if t in ids)
+            found = tuple(ids[t] if t in ids else self.other(t) for t in terms_of(chunk))
             if len(self.known) < CACHE_ENTRIES:
                 self.known[chunk] = found
         return found
@@ -73,16 +86,17 @@ class Terms:
     def of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many terms each chunk has, and their ids, one after the other. Single words are looked up together, other chunks one by one."""
         word = pc.utf8_lower(pc.ascii_trim(chunks, characters=PUNCTUATION))
-        odd = ~pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False) | pc.match_substring_regex(chunks, "[\u0130\u03a3]").to_numpy(zero_copy_only=False)  # two letters whose case isn't simple
-        place = pc.fill_null(pc.index_in(word, value_set=self.words), -1).to_numpy()
-        one = ~odd & (place >= 0)
-        size, other = one.astype("i8"), np.flatnonzero(odd)
-        found = list(map(self.look, chunks.take(pa.array(other)).to_pylist()))
-        size[other] = np.fromiter(map(len, found), "i8", len(found))
+        one = pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False) & ~pc.match_substring_regex(chunks, "[\u0130\u03a3]").to_numpy(zero_copy_only=False)  # two letters whose case isn't simple
+        place = pc.fill_null(pc.index_in(word, value_set=self.words), -1).to_numpy().astype("i8")
+        unseen = np.flatnonzero(one & (place < 0))
+        place[unseen] = np.fromiter(map(self.other, word.take(pa.array(unseen)).to_pylist()), "i8", len(unseen))
+        size, odd = one.astype("i8"), np.flatnonzero(~one)
+        found = list(map(self.look, chunks.take(pa.array(odd)).to_pylist()))
+        size[odd] = np.fromiter(map(len, found), "i8", len(found))
         begin = np.cumsum(size) - size
         flat = np.empty(size.sum(), "i8")
         flat[begin[one]] = place[one]
-        flat[spans(begin[other], size[other])] = np.fromiter(itertools.chain.from_iterable(found), "i8")
+        flat[spans(begin[odd], size[odd])] = np.fromiter(itertools.chain.from_iterable(found), "i8")
         return size, flat
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,15 +110,31 @@ class Terms:
         size, flat = self.of_chunks(chunks.dictionary)
         doc = np.repeat(np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), size[code])
         term = flat[spans((np.cumsum(size) - size)[code], size[code])]
-        wide = max(1, len(self.ids))
-        cell, n = np.unique(doc * wide + term, return_counts=True)
-        return np.searchsorted(cell, np.arange(len(texts) + 1) * wide), cell % wide, n
+        distinct, rank = np.unique(term, return_inverse=True)
+        wide = max(1, len(distinct))
+        cell, n = np.unique(doc * wide + rank, return_counts=True)
+        return np.searchsorted(cell, np.arange(len(texts) + 1) * wide), distinct[cell % wide] if len(distinct) else cell, n
+
+
+def weights(t: np.ndarray, n: np.ndarray, idf: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the vocabulary's terms in a text and their weights, where the weights of all its terms have length one."""
+    own = t < len(idf)
+    t, rest = t[own], others[(t[~own] - len(idf)) & len(others) - 1]
+    w, rest = (1 + np.log(n[own])) * idf[t], (1 + np.log(n[~own])) * rest
+    return t, w / max(np.sqrt((w * w).sum() + (rest * rest).sum()), 1e-12)
 
 
-def weights(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term ids and their weights, of length one."""
-    w = (1 + np.log(n)) * idf[t]
-    return t, w / max(np.sqrt((w * w).sum()), 1e-12)
+def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far the labels depend on each term, from 0 to 1: a and b of the n1 and n0 examples of label 1 and 0 have it."""
+    n, both = n1 + n0, a + b
+
+    def part(seen: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        """A cell's share of the log-likelihood ratio: seen against what the margins lead one to expect."""
+        some = np.maximum(seen, 1)
+        return np.where(seen > 0, seen * np.log(some * max(n, 1) / np.maximum(of * size, some)), 0.0)
+
+    ratio = 2 * (part(a, both, n1) + part(b, both, n0) + part(n1 - a, n - both, n1) + part(n0 - b, n - both, n0))
+    return np.clip(ratio / FULL_RATIO, 0, 1) ** 2
 
 
 class BlockMaxIndex:
@@ -146,26 +176,29 @@ class BlockMaxIndex:
         at, n = spans(a, size), len(self.order)
         return np.bincount(np.repeat(text * n, size) + self.place[at], np.repeat(w, size) * self.weight[at], texts * n).reshape(texts, n)
 
-    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each vector of term ids and weights the numbers and similarities of the k most similar examples with a term in common; ties by number."""
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each vector (term ids, weights, and a share of each) the numbers, similarities and shares of them of the k most similar examples with
+        a term in common; ties by number."""
         for i in range(0, len(vectors), TOGETHER):
             yield from self.nearest(vectors[i : i + TOGETHER], k, leave_out[i : i + TOGETHER] if leave_out else None)
 
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """As above for a few texts at once."""
         texts, n = len(vectors), len(self.order)
         if not n:
-            yield from [(np.zeros(0, "i8"), np.zeros(0))] * texts
+            yield from [(np.zeros(0, "i8"), np.zeros(0), np.zeros(0))] * texts
             return
-        text = np.repeat(np.arange(texts), [len(t) for t, _ in vectors])
-        t, w = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        text = np.repeat(np.arange(texts), [len(v[0]) for v in vectors])
+        t, w, u = (np.concatenate([v[i] for v in vectors]) for i in range(3))
+        u = u * w
         row = self.row[t]
-        asked = np.zeros((texts, len(self.dense)))
-        asked[text[row >= 0], row[row >= 0]] = w[row >= 0]
-        sims = asked @ self.dense
-        text, t, w = text[row < 0], t[row < 0], w[row < 0]
+        asked = np.zeros((2, texts, len(self.dense)))
+        asked[0, text[row >= 0], row[row >= 0]] = w[row >= 0]
+        asked[1, text[row >= 0], row[row >= 0]] = u[row >= 0]
+        sims, told = asked[0] @ self.dense, asked[1] @ self.dense
+        text, t, w, u = text[row < 0], t[row < 0], w[row < 0], u[row < 0]
         size = self.cells[t + 1] - self.cells[t]
-        cells, text, w = spans(self.cells[t], size), np.repeat(text, size), np.repeat(w, size)
+        cells, text, w, u = spans(self.cells[t], size), np.repeat(text, size), np.repeat(w, size), np.repeat(u, size)
         block = text * self.blocks + self.block[cells]
         bound = np.maximum.reduceat(sims, np.arange(0, n, BLOCK), axis=1) + np.bincount(block, w * self.most[cells], texts * self.blocks).reshape(texts, -1)
         first = np.zeros_like(bound, bool)
@@ -177,56 +210,76 @@ class BlockMaxIndex:
         rest = ~first & (bound + 1e-9 >= np.maximum(kth, 1e-9)[:, None])
         pick = rest.reshape(-1)[block]
         sims += self.scored(text[pick], cells[pick], w[pick], texts)
+        pick = u > 1e-9
+        told += self.scored(text[pick], cells[pick], u[pick], texts)
         kth = np.partition(sims, n - short, axis=1)[:, n - short]
         at, place = np.nonzero((sims > 1e-12) & (sims >= kth[:, None] - 1e-9))
         for j, (a, z) in enumerate(itertools.pairwise(np.searchsorted(at, np.arange(texts + 1)).tolist())):
-            number, found = self.order[place[a:z]], sims[j, place[a:z]]
+            number, found, of = self.order[place[a:z]], sims[j, place[a:z]], told[j, place[a:z]]
             if leave_out:
-                number, found = number[number != leave_out[j]], found[number != leave_out[j]]
+                other = number != leave_out[j]
+                number, found, of = number[other], found[other], of[other]
             best = np.lexsort((number, -np.round(found, 9)))[:k]
-            yield number[best], found[best]
+            yield number[best], found[best], of[best]
 
 
 def increasing_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted least squares by a non-decreasing step function (pool adjacent violators): x's and values."""
+    """Weighted least squares by a non-decreasing step function (pool adjacent violators): both ends of each step and their values."""
     groups: list[list[float]] = []
     for i in np.argsort(x, kind="stable"):
-        groups.append([x[i], y[i] * w[i], w[i]])
-        while len(groups) > 1 and (groups[-2][0] == groups[-1][0] or groups[-2][1] * groups[-1][2] >= groups[-1][1] * groups[-2][2]):
-            at, s, n = groups.pop()
-            groups[-1] = [at, groups[-1][1] + s, groups[-1][2] + n]
-    return np.array([g[0] for g in groups]), np.array([g[1] / g[2] for g in groups])
+        groups.append([x[i], x[i], y[i] * w[i], w[i]])
+        while len(groups) > 1 and (groups[-2][1] == groups[-1][0] or groups[-2][2] * groups[-1][3] >= groups[-1][2] * groups[-2][3]):
+            _, at, s, n = groups.pop()
+            groups[-1] = [groups[-1][0], at, groups[-1][2] + s, groups[-1][3] + n]
+    return np.array([g[k] for g in groups for k in (0, 1)]), np.array([g[2] / g[3] for g in groups for _ in (0, 1)])
 
 
 class Model:
     """The index with the labels of its examples and the calibration of the votes."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, keys: list, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
-        self.vocabulary, self.idf, self.keys, self.labels = vocabulary, idf, keys, labels
-        self.index = BlockMaxIndex([weights(*c, idf) for c in counts], len(vocabulary))
+    def __init__(self, vocabulary: list[str], having: np.ndarray, idf: np.ndarray, others: np.ndarray, keys: list, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float):
+        """having: how many examples of label 0 and 1 have each term; others: the idf of terms of each cell; share: of label 1 among all labelled rows."""
+        self.vocabulary, self.having, self.idf, self.others, self.keys, self.labels, self.share = vocabulary, having, idf, others, keys, labels, share
+        self.sizes = [int((labels == y).sum()) for y in (0, 1)]
+        self.tells = telling(having[1], having[0], self.sizes[1], self.sizes[0])
+        self.index = BlockMaxIndex([weights(*c, idf, others) for c in counts], len(vocabulary))
         self.x, self.y, self.lone_score = np.zeros(1), np.zeros(1), 0.0
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray, share: float) -> None:
-        """Fits the chance of label 1 to the votes of the examples (NaN without a neighbour). share: of label 1 among all labelled rows."""
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fits the chance of label 1 to the votes of the examples (NaN without a neighbour)."""
+        share = self.share
         own = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum())) * max(1, len(labels))
         lone = np.isnan(votes)
         self.lone_score = float((own * labels * lone).sum() + 0.5 * share) / float((own * lone).sum() + 0.5) if len(labels) else 0.0
         self.x, self.y = increasing_fit(votes[~lone], labels[~lone], own[~lone]) if (~lone).any() else (np.zeros(1), np.array([share]))
 
-    def vote(self, number: np.ndarray, similarity: np.ndarray) -> float:
-        return float((similarity * self.labels[number]).sum() / similarity.sum()) if len(number) else math.nan
-
-    def nearest(self, edges: np.ndarray, t: np.ndarray, n: np.ndarray, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The nearest examples and their similarities, for texts as Terms.count gives them."""
-        return self.index.all_nearest([weights(t[a:z], n[a:z], self.idf) for a, z in zip(edges[:-1], edges[1:], strict=True)], NEIGHBOURS, leave_out)
-
-    def score(self, number: np.ndarray, similarity: np.ndarray) -> float:
+    def vote(self, number: np.ndarray, similarity: np.ndarray, told: np.ndarray) -> float:
+        """The share of label 1 among the neighbours by the weight of their votes."""
+        if not len(number):
+            return math.nan
+        weight = told + LEAST_PART * similarity
+        return float((weight * self.labels[number]).sum() + PRIOR * self.share) / float(weight.sum() + PRIOR)
+
+    def nearest(self, edges: np.ndarray, t: np.ndarray, n: np.ndarray, own: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The nearest examples, their similarities and the parts of these that tell, for texts as Terms.count gives them. own: the texts are these examples, which are left out."""
+        vectors = []
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            terms, w = weights(t[a:z], n[a:z], self.idf, self.others)
+            if own is None:
+                tells = self.tells[terms]
+            else:
+                y = int(self.labels[own[i]])
+                tells = telling(self.having[1][terms] - y, self.having[0][terms] - (1 - y), self.sizes[1] - y, self.sizes[0] - (1 - y))
+            vectors.append((terms, w, tells))
+        return self.index.all_nearest(vectors, NEIGHBOURS, own)
+
+    def score(self, number: np.ndarray, similarity: np.ndarray, told: np.ndarray) -> float:
         """The calibrated score, between the fitted steps by line."""
-        return float(np.interp(self.vote(number, similarity), self.x, self.y)) if len(number) else self.lone_score
+        return float(np.interp(self.vote(number, similarity, told), self.x, self.y)) if len(number) else self.lone_score
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from about EXAMPLES_PER_LABEL usable rows of labels for each label, picked by a hash of the key.
+    """A model from EXAMPLES_PER_LABEL usable rows of labels for each label, those of the smallest hashes of the key; all where there are fewer.
 
     Keys with a null or without a text, or with both labels, teach nothing; of several texts of one key the first in
     order does. Examples are bounded, and so is their vocabulary, so both may go through the driver; document frequencies are
@@ -237,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     good = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("key", "label")
     totals = {r["label"]: r["count"] for r in good.groupBy("label").count().collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    picked = hashed_sample(good, "label", ["key"], EXAMPLES_PER_LABEL, totals)
+    picked = distinct_sample(good, "label", ["key"], EXAMPLES_PER_LABEL)
     sample = stored(docs.where("text is not null").join(F.broadcast(picked), "key").groupBy("key", "label").agg(F.min("text").alias("text")), "toxic-examples")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,35 +300,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
                 found.update((x, y) for x in {x for w in set(t.split()) for x in terms_of(w)})
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "label", "n"])
 
-    seen = sample.mapInArrow(terms, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    n = max(1, n0 + n1)
-
-    def part(seen: Column, size: int, of: Column) -> Column:
-        """A cell's share of the log-likelihood ratio: seen against what the margins lead one to expect."""
-        return F.when(seen > 0, seen * F.ln(seen * n / F.nullif(of * size, F.lit(0)))).otherwise(0.0)
-
-    both = F.col("a") + F.col("b")
-    ratio = 2 * (part(F.col("a"), n1, both) + part(F.col("b"), n0, both) + part(n1 - F.col("a"), n1, n - both) + part(n0 - F.col("b"), n0, n - both))
-    found = seen.select("term", F.least(F.lit(1.0), F.greatest(F.lit(LEAST_SHARE), ratio / FULL_RATIO)).alias("tells")).toArrow().sort_by("term")
-    vocabulary, tells = found["term"].to_pylist(), found["tells"].to_numpy()
+    seen = sample.mapInArrow(terms, "term string, label int, n long").groupBy("term").agg(*(F.sum(F.expr(f"if(label = {y}, n, 0)")).alias(f"n{y}") for y in (0, 1)))
+    found = seen.toArrow().sort_by("term")
+    vocabulary, having = found["term"].to_pylist(), np.array([found["n0"].to_numpy(), found["n1"].to_numpy()])
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
+    apart = 1 << CELL_BITS  # the terms of the vocabulary have cells of their own from here on
+    counters: list[Terms] = []
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, found, rows = Terms(shared.value), np.zeros(len(shared.value), "i8"), 0
-        for whole in batches:
-            for b in few(whole, "text"):
-                found += np.bincount(counter.count(b["text"])[1], minlength=len(found))
-                rows += b.num_rows
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int32()), pa.array(np.r_[rows, found[some]], pa.int64())], names=["term", "n"])
+    def cells(b: pa.RecordBatch) -> list[np.ndarray]:
+        if not counters:
+            counters.append(Terms(shared.value))
+        _, t, _ = counters[0].count(b["text"])
+        known = len(counters[0].ids)
+        return [np.where(t < known, apart + t, (t - known) & apart - 1)]
 
-    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary) + 1)
-    df[counted["term"].to_numpy()] = counted["n"].to_numpy()  # the number of documents, term -1, stands last
-    idf = tells * (np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3)
+    df = added_up(docs.select("text"), "text", cells, max(CELL_BITS + 1, (apart + len(vocabulary)).bit_length()), lambda total: total.astype("<f4")).astype("f8")
+    every = docs.count()
+    idf, others = (np.log((1 + every) / (1 + x)) + 1e-3 for x in (df[apart : apart + len(vocabulary)], df[:apart]))
+    others = np.maximum(others, 1e-3)  # a cell may hold more terms than there are documents
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Terms(shared.value)
@@ -287,20 +330,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     schema = T.StructType([sample.schema["key"], sample.schema["label"], T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
     found = sample.mapInArrow(vectors, schema).toArrow().sort_by("key")
     counts = [(t.values.to_numpy().astype("i8"), n.values.to_numpy()) for t, n in zip(found["t"], found["n"], strict=True)]
-    model = Model(vocabulary, idf, found["key"].to_pylist(), counts, found["label"].to_numpy().astype("i8"))
+    model = Model(vocabulary, having, idf, others.astype("f4"), found["key"].to_pylist(), counts, found["label"].to_numpy().astype("i8"), share)
     raw = sc.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = raw.value
         number, counter = {k: i for i, k in enumerate(m.keys)}, Terms(m.vocabulary)
         for b in batches:
-            edges, t, n = counter.count(b["text"])
-            out = [m.vote(*near) for near in m.nearest(edges, t, n, [number[k] for k in b["key"].to_pylist()])]
+            out = [m.vote(*near) for near in m.nearest(*counter.count(b["text"]), [number[k] for k in b["key"].to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), b["label"]], names=["vote", "label"])
 
     spread = sample.repartition(max(1, sc.defaultParallelism), "key")  # scoring takes longer than reading
     own = spread.mapInArrow(votes, "vote double, label int").toArrow().sort_by([("vote", "ascending"), ("label", "ascending")])
-    model.calibrate(own["vote"].to_numpy(), own["label"].to_numpy().astype("i8"), share)
+    model.calibrate(own["vote"].to_numpy(), own["label"].to_numpy().astype("i8"))
     return model
 
 
@@ -323,7 +365,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             for b in few(whole, text):
                 found = list(m.nearest(*counter.count(b[text])))
                 score = np.array([m.score(*near) for near in found])
-                proof = [[{key: m.keys[i], "similarity": float(s), "label": int(m.labels[i])} for i, s in zip(n[:evidence].tolist(), sims[:evidence].tolist(), strict=True)] for n, sims in found]
+                proof = [[{key: m.keys[i], "similarity": float(s), "label": int(m.labels[i])} for i, s in zip(n[:evidence].tolist(), sims[:evidence].tolist(), strict=True)] for n, sims, _ in found]
                 yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(score), pa.array((score >= 0.5).astype("i4")), pa.array(proof, kind)], names=[*keep, "score", "predicted", "evidence"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -163,9 +163,9 @@ def test_links_are_whole(spark, monkeypatch, crowded):
         for _ in range(30):
             fps.add(base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
-    found = {r["node"]: r["component"] for r in components.components(simhash.links(df)).collect()}
-    assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps)
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.grouped(df).collect()}
+    assert [found[i] for i in range(len(fps))] == brute_components(fps)
 
 
 def test_near_duplicates(spark, documents, awkward):
@@ -360,7 +360,10 @@ def test_block_max_is_exact():
     for i, (t, w) in enumerate(vectors[:60]):
         sims = dense @ dense[i]
         want = sorted(((-round(s, 12), j) for j, s in enumerate(sims) if s > 0 and j != i))[:15]
-        assert next(index.all_nearest([(t, w)], 15, [i]))[0].tolist() == [j for _, j in want]
+        number, sims_, told = next(index.all_nearest([(t, w, t % 2)], 15, [i]))
+        assert number.tolist() == [j for _, j in want] and np.allclose(sims_, [-s for s, _ in want])
+        odd = np.arange(40) % 2 * dense[i]
+        assert np.allclose(told, [odd @ dense[j] for _, j in want])
 
 
 def test_toxicity_edges(spark, awkward):
