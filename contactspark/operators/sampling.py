@@ -22,8 +22,8 @@ def uniform(key: Column, k: int, lo: Column | int, hi: Column | int, seed: int =
     return lo + F.pmod(F.expr("0L") + chance(key, k, seed), hi - lo + 1)
 
 
-def negatives_per_call(calls: DataFrame, chromsizes: DataFrame, size: int, res: int, key: str = "call_id", seed: int = 7) -> DataFrame:
-    """One negative for each call: a chromosome at random, a start clear of its ends, and an end size to 10 size bins on.
+def negatives_per_call(calls: DataFrame, chromsizes: DataFrame, size: int, res: int, key: str = "call_id", seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One negative for each call: a chromosome at random, a start clear of its ends, and an end size to 10 size bins on. keep: columns of calls that stay.
 
     Chromosomes too short for that are left out of the draw.
     """
@@ -32,10 +32,10 @@ def negatives_per_call(calls: DataFrame, chromsizes: DataFrame, size: int, res:
     fit = chromsizes.where(F.col("length") > 2 * pad + 1).select("chrom_idx", "length", (F.row_number().over(order) - 1).alias("_n"))
     n = fit.count()
     if not n:
-        return calls.select(key, F.lit(None).cast("int").alias("chrom_idx"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit("negative").alias("label")).limit(0)
-    drawn = calls.select(key, F.pmod(chance(F.col(key), 1, seed), F.lit(n)).cast("int").alias("_n")).join(bounded(fit), "_n")
+        return calls.select(*keep, key, F.lit(None).cast("int").alias("chrom_idx"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit("negative").alias("label")).limit(0)
+    drawn = calls.select(*keep, key, F.pmod(chance(F.col(key), 1, seed), F.lit(n)).cast("int").alias("_n")).join(bounded(fit), "_n")
     start = uniform(F.col(key), 2, F.lit(pad), F.col("length") - pad - 1, seed)
-    return drawn.select(key, "chrom_idx", start.alias("start"), (start + uniform(F.col(key), 3, size * res, 10 * size * res, seed)).alias("end"), F.lit("negative").alias("label"))
+    return drawn.select(*keep, key, "chrom_idx", start.alias("start"), (start + uniform(F.col(key), 3, size * res, 10 * size * res, seed)).alias("end"), F.lit("negative").alias("label"))
 
 
 def negatives_genome(calls: DataFrame, genome_length: int, key: str = "call_id", seed: int = 11) -> DataFrame:

@@ -10,12 +10,12 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coords, values
 from ..functions.common import bounded, floor_div, scratch
-from ..operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
+from ..operators import blocks, calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
 from ..sources.readers import read_wide_calls
 from ..sources.writers import read_stage, write_calls, write_stage
 
@@ -89,11 +89,17 @@ def log_cells(pixels: DataFrame, base: float) -> DataFrame:
     return test.withColumn("value", values.log_value(F.col("count"), base))
 
 
-def ratio_cells(pixels: DataFrame, chromsizes: DataFrame, res: int) -> tuple[DataFrame, DataFrame]:
-    """Log-ratios of the samples (both triangles, value), and the extremes (lo, hi) over each pair of chromosomes, in both orders."""
+def ratio_cells(pixels: DataFrame, chromsizes: DataFrame, res: int, points: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Log-ratios of the samples (both triangles, value) near the windows around points, and the extremes (lo, hi) over each pair of chromosomes, in both
+    orders. Only the extremes pair the samples' whole maps."""
     n = bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n")))
-    v = maps.pair_samples(pixels).withColumn("value", values.log_ratio_masked(F.col("a"), F.col("b")))
-    return maps.symmetric(v.select(*maps.CELL, "value")), pair_ends(v, n)
+    ratio = lambda p: maps.pair_samples(p).select(*maps.CELL, values.log_ratio_masked(F.col("a"), F.col("b")).alias("value"))
+    return maps.symmetric(ratio(near_points(pixels, points, size))), pair_ends(ratio(pixels), n)
+
+
+def near_points(pixels: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """The pixels that windows around points may hold."""
+    return blocks.near(pixels, windows.centre_to_corner(points, size), size)
 
 
 def pair_ends(v: DataFrame, n: DataFrame) -> DataFrame:
@@ -115,14 +121,13 @@ def score_points(cells: DataFrame, points: DataFrame, size: int, scorer: Scorer,
     """The distinct points with the score of the window around each.
 
     ends: extremes by pair of chromosomes, by which patches are scaled before they are scored. A window without cells counts as a patch of
-    zeros, scaled as the others; inside (chromsizes, res): one that crosses a map's end is a patch of unscaled zeros. No cells of theirs are
-    made up: what they score is worked out once.
+    zeros, scaled as the others; inside (chromsizes, res): one that crosses a map's end is a patch of unscaled zeros. Windows are scored in blocks of
+    the map, so those that overlap share their cells; what blocks without cells score is worked out once.
     """
     points = points.select(*POINT).distinct()
     points = windows.mark_inside(points, *inside[:1], size, inside[1]) if inside else points.withColumn("inside", F.lit(True))
     fn = (lambda s: scorer(scoring.blur3(s))) if blur else scorer
-    dense = scoring.densify(windows.cut_windows(cells, windows.centre_to_corner(points.where("inside"), size), size, keep=tuple(POINT)), size, tuple(POINT))
-    found = scoring.score_patches(scaled(dense, ends) if ends is not None else dense, fn, size).drop("values")
+    found = blocks.score_corners(cells, windows.centre_to_corner(points.where("inside"), size).select(*POINT), size, fn, ends)
     found = found.withColumns({"x": F.col("x") + size // 2, "y": F.col("y") + size // 2})
     out, zero = points.join(found, POINT, "left"), F.lit(of_zeros(fn, size))
     if ends is None:
@@ -149,13 +154,14 @@ def detect_svs(
     anchors = scan_diagonal(pixels[middle], chromsizes, middle, size, size // 2, scorer=scorer).select("chrom_idx", F.col("local_bin").alias("x"))
     anchors = stored(cluster.thin_anchors(anchors, size, ["chrom_idx"]), stage_path, "anchors")
     pairs = windows.cross_anchors(anchors, size).withColumns({"x": floor_div(F.col("x"), ratio), "y": floor_div(F.col("y"), ratio)}).distinct()
-    ratios, ends = ratio_cells(pixels[coarse], chromsizes, coarse)
+    pairs = stored(pairs, stage_path, "candidates")
+    ratios, ends = ratio_cells(pixels[coarse], chromsizes, coarse, pairs, size)
     found = score_points(ratios, pairs, size, scorer, ends=ends, inside=(chromsizes, coarse)).where(values.threshold(F.col("score"))).select(*POINT)
     found = stored(found, stage_path, "pairs")
 
-    fine_cells = log_cells(pixels[small], 10)
-    grid = windows.filter_inside(windows.refine_grid(found, size, coarse, size, small), chromsizes, size, small)
-    refined = score_points(fine_cells, grid, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    fine_cells = lambda at: log_cells(near_points(pixels[small], at, size), 10)
+    grid = stored(windows.filter_inside(windows.refine_grid(found, size, coarse, size, small), chromsizes, size, small), stage_path, "grid")
+    refined = score_points(fine_cells(grid), grid, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
     refined = stored(refined, stage_path, "refined")
 
     half = middle // small
@@ -163,9 +169,10 @@ def detect_svs(
     keys = ["chrom1_idx", "chrom2_idx"]
     boxes = cluster.chain_groups(points, size, keys).withColumn("box_id", F.struct(*keys, "chain"))
     inner = windows.box_windows(boxes, size).select("box_id.chrom1_idx", "box_id.chrom2_idx", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    sure = score_points(log_cells(pixels[middle], 10), inner, size, scorer).where(values.threshold(F.col("score"), "cutoff", cutoff)).select(*POINT)
-    grid = windows.filter_inside(windows.refine_grid(sure, size, middle, size, small), chromsizes, size, small)
-    last = score_points(fine_cells, grid, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    inner = stored(inner.distinct(), stage_path, "inner")
+    sure = score_points(log_cells(near_points(pixels[middle], inner, size), 10), inner, size, scorer).where(values.threshold(F.col("score"), "cutoff", cutoff)).select(*POINT)
+    grid = stored(windows.filter_inside(windows.refine_grid(sure, size, middle, size, small), chromsizes, size, small), stage_path, "last_grid")
+    last = score_points(fine_cells(grid), grid, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
     last = stored(last, stage_path, "boxes")
 
     boxes = cluster.chain_groups(last, class_size, keys).withColumn("box_id", F.struct(*keys, "chain"))
@@ -179,13 +186,14 @@ def detect_svs(
     det = stored(det.withColumn("det_id", F.xxhash64(*POINT)), stage_path, "best")
 
     at = det.select("det_id", "chrom1_idx", "chrom2_idx", floor_div(F.col("x"), half).alias("x"), floor_div(F.col("y"), half).alias("y"))
-    cut = windows.cut_windows(log_cells(pixels[middle], 2), windows.centre_to_corner(windows.filter_margin(at, class_size), class_size), class_size, keep=("det_id",))
+    held = log_cells(near_points(pixels[middle], at, class_size), 2)
+    cut = windows.cut_windows(held, windows.centre_to_corner(windows.filter_margin(at, class_size), class_size), class_size, keep=("det_id",))
     classes = scoring.classify_patches(scoring.densify(cut, class_size, ("det_id",)), lambda s: classifier(scoring.blur3(s)), class_size)
     res = small
     if fine:
         res, k, wide = fine, small // fine, 120
         det = det.withColumns({"x": F.col("x") * k, "y": F.col("y") * k})
-        raw = maps.symmetric(pixels[fine].where("sample = 'test'")).withColumn("value", F.col("count").cast("double"))
+        raw = maps.symmetric(near_points(pixels[fine].where("sample = 'test'"), det, wide)).withColumn("value", F.col("count").cast("double"))
         moves = cluster.recentre(windows.cut_windows(raw, windows.centre_to_corner(det, wide), wide, keep=("det_id",)), wide, ["det_id"])
         det = det.join(moves, "det_id", "left").withColumns({"x": F.col("x") + F.coalesce("move_x", F.lit(0)), "y": F.col("y") + F.coalesce("move_y", F.lit(0))})
     o = coords.chrom_offsets(chromsizes).select("chrom_idx", "start")
@@ -235,15 +243,33 @@ def training_cells(pixels: DataFrame, chromsizes: DataFrame, res: int, norm: str
     return v, pair_ends(v, bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n"))))
 
 
-def training_windows(calls_: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal") -> DataFrame:
-    """Window centres (chrom1_idx, chrom2_idx, x, y) of calls and as many negatives: call_id, is_sv, which, label_idx. Clamped to the map."""
+def training_windows(calls_: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal", by: tuple[str, ...] = ()) -> DataFrame:
+    """Window centres (chrom1_idx, chrom2_idx, x, y) of calls and as many negatives: by, call_id, is_sv, which, label_idx. Clamped to the map."""
     pad = size // 2
-    named = calls_.select("call_id", "chrom_idx", "start", "end", "label")
-    both = sampling.union_samples(named, sampling.negatives_per_call(calls_, chromsizes, size, res))
+    named = calls_.select(*by, "call_id", "chrom_idx", "start", "end", "label")
+    both = sampling.union_samples(named, sampling.negatives_per_call(calls_, chromsizes, size, res, keep=by))
     n = bounded(chromsizes.select("chrom_idx", F.expr(f"length div {res} + 1").alias("n")))
     centres = windows.endpoint_windows(both, kind).withColumns({"x": floor_div(F.col("x"), res), "y": floor_div(F.col("y"), res)})
     centres = sampling.jitter(centres, pad // 2).join(n, "chrom_idx").withColumn("p", windows.clamp_to_map(F.col("x"), F.col("y"), pad, F.col("n")))
-    return centres.select("call_id", "is_sv", "which", values.label_to_index(F.col("label")).alias("label_idx"), F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "p.x", "p.y")
+    return centres.select(*by, "call_id", "is_sv", "which", values.label_to_index(F.col("label")).alias("label_idx"), F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "p.x", "p.y")
+
+
+#: Kinds of values that need no more of a map than the cells themselves.
+LOCAL_NORMS = ("masked", "pseudo", "balanced", "raw_log", "log10_only")
+
+
+def training_patches(w: DataFrame, pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, keys: tuple[str, ...], norm: str = "masked", bins: DataFrame | None = None, blur: bool = False) -> DataFrame:
+    """keys, label_idx and values of the windows around w (keys, label_idx, chrom1_idx, chrom2_idx, x, y). Cells that no window holds go before the samples
+    are paired, but for what is taken over whole maps: extremes, and means of diagonals."""
+    cells, ends = training_cells(pixels, chromsizes, res, norm, bins)
+    corners = windows.centre_to_corner(w, size)
+    if norm in LOCAL_NORMS:
+        cells, _ = training_cells(blocks.near(pixels, corners, size), chromsizes, res, norm, bins)
+    dense = scoring.densify(windows.cut_windows(maps.symmetric(cells), corners, size, keep=keys), size, keys)
+    zeros = F.array_repeat(F.lit(0.0), size * size)
+    patches = w.select(*keys, "label_idx", "chrom1_idx", "chrom2_idx").join(dense, list(keys), "left").withColumn("values", F.coalesce("values", zeros))
+    patches = (scaled(patches, ends) if ends is not None else patches).select(*keys, "label_idx", "values")
+    return scoring.gaussian_blur3(patches, size).drop("values").withColumnRenamed("blurred", "values") if blur else patches
 
 
 def build_training_set(
@@ -251,29 +277,41 @@ def build_training_set(
 ) -> DataFrame:
     """Patches around calls and as many negatives: call_id, is_sv, which, label_idx, values. Windows are clamped to the map; one without cells is
     a patch of zeros. norm, bins: see training_cells."""
-    cells, ends = training_cells(pixels, chromsizes, res, norm, bins)
-    keys = ("call_id", "is_sv", "which")
     w = training_windows(calls_, chromsizes, res, size, kind)
-    dense = scoring.densify(windows.cut_windows(maps.symmetric(cells), windows.centre_to_corner(w, size), size, keep=keys), size, keys)
-    zeros = F.array_repeat(F.lit(0.0), size * size)
-    patches = w.select(*keys, "label_idx", "chrom1_idx", "chrom2_idx").join(dense, list(keys), "left").withColumn("values", F.coalesce("values", zeros))
-    patches = (scaled(patches, ends) if ends is not None else patches).select(*keys, "label_idx", "values")
-    return scoring.gaussian_blur3(patches, size).drop("values").withColumnRenamed("blurred", "values") if blur else patches
+    return training_patches(w, pixels, chromsizes, res, size, ("call_id", "is_sv", "which"), norm, bins, blur)
+
 
+SET = ["sample_id", "clean_id", "truth_id", "split"]
 
-def write_training_sets(manifest: DataFrame, pixels: DataFrame, truth: DataFrame, chromsizes: DataFrame, res: int, size: int, path: str, most: int = 1000, **how) -> None:
-    """Training sets of all rows of a manifest (sample_id, clean_id, truth_id, split) as parquet, partitioned by split and sample_id.
 
-    pixels hold all samples, truth all calls, by truth_id. A manifest is a list of experiments, so it is read by the driver; more than
-    `most` rows are an error. how: as for build_training_set.
+def build_training_sets(
+    manifest: DataFrame, pixels: DataFrame, truth: DataFrame, chromsizes: DataFrame, res: int, size: int, kind: str = "diagonal", norm: str = "masked", bins: DataFrame | None = None, blur: bool = False
+) -> DataFrame:
+    """The training sets of all rows of a manifest (sample_id, clean_id, truth_id, split) in one plan: these and build_training_set's columns.
+
+    pixels hold all samples, truth all calls, by truth_id. Each pair of a sample and its clean one is a genome of its own: its number is part of
+    the chromosomes' indices, so maps, extremes and windows of different pairs never meet, and there is no loop over rows. Repeated rows of the manifest count once.
     """
-    rows = manifest.select("sample_id", "clean_id", "truth_id", "split").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a manifest of over {most} rows")
-    for m in rows:
-        sides = [pixels.where(F.col("sample") == s).withColumn("sample", F.lit(name)) for s, name in ((m["sample_id"], "test"), (m["clean_id"], "clean"))]
-        one = build_training_set(truth.where(F.col("truth_id") == m["truth_id"]), sides[0].unionByName(sides[1]), chromsizes, res, size, **how)
-        one.select(F.lit(m["split"]).alias("split"), F.lit(m["sample_id"]).alias("sample_id"), "*").write.mode("append").partitionBy("split", "sample_id").parquet(path)
+    k = (chromsizes.agg(F.max("chrom_idx")).first()[0] or 0) + 1
+    sets = manifest.select(*SET).distinct()
+    pairs = sets.select("sample_id", "clean_id").distinct()
+    pairs = bounded(pairs.withColumn("pair", F.row_number().over(Window.orderBy("sample_id", "clean_id")).cast("long")))
+    of = lambda c: (F.col("pair") * k + F.col(c)).alias(c)
+    counted = [c for c in pixels.columns if c not in ("sample", "chrom1_idx", "chrom2_idx")]
+    sides = [pixels.join(pairs, F.col("sample") == F.col(side)).select(F.lit(name).alias("sample"), of("chrom1_idx"), of("chrom2_idx"), *counted) for side, name in (("sample_id", "test"), ("clean_id", "clean"))]
+    sizes = chromsizes.crossJoin(pairs.select("pair"))  # two short lists
+    sizes = sizes.select(*(of(c) if c == "chrom_idx" else c for c in chromsizes.columns))
+    weights = bins.crossJoin(pairs.select("pair")).select(*(of(c) if c == "chrom_idx" else c for c in bins.columns)) if bins is not None else None
+    w = training_windows(truth, chromsizes, res, size, kind, by=("truth_id",)).join(bounded(sets), "truth_id").join(pairs, ["sample_id", "clean_id"])
+    w = w.withColumns({"chrom1_idx": of("chrom1_idx"), "chrom2_idx": of("chrom2_idx")}).drop("pair")
+    return training_patches(w, sides[0].unionByName(sides[1]), sizes, res, size, (*SET, "call_id", "is_sv", "which"), norm, weights, blur)
+
+
+def write_training_sets(manifest: DataFrame, pixels: DataFrame, truth: DataFrame, chromsizes: DataFrame, res: int, size: int, path: str, **how) -> None:
+    """build_training_sets as parquet, partitioned by split and sample_id. The partitions that are written replace those that are there, so a rerun, or a retry
+    after a failure, leaves the same rows."""
+    sets = build_training_sets(manifest, pixels, truth, chromsizes, res, size, **how)
+    sets.repartition("split", "sample_id", "call_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "sample_id").parquet(path)
 
 
 def evaluate_calls(results: DataFrame, answers: DataFrame, chromsizes: DataFrame, res: int, tol: int, least: int = 10_000, crossed: bool = True) -> DataFrame:
@@ -312,13 +350,12 @@ def results_to_chrom(results: DataFrame, chromsizes: DataFrame) -> DataFrame:
 def two_step_scan(pixels: DataFrame, chromsizes: DataFrame, res: int, size: int, dist: int, scorer: Scorer, step: int = 1, stage_path: str | None = None) -> DataFrame:
     """Every diagonal position of each chromosome, then the pairs of those found, then near ones merged: chrom1_idx, chrom2_idx, x, y, members."""
     stage_path = stage_path or scratch(pixels.sparkSession, "two-step")
-    cells = log_cells(pixels, 10)
     spots = chromsizes.where(F.expr(f"length div {res} >= {size}")).withColumn("x", F.explode(F.expr(f"sequence({size // 2}L, length div {res} - {size // 2}, {step}L)")))
     spots = spots.select(F.col("chrom_idx").alias("chrom1_idx"), F.col("chrom_idx").alias("chrom2_idx"), "x", F.col("x").alias("y"))
-    first = score_points(cells, spots, size, scorer).where(values.threshold(F.col("score")))
+    first = score_points(log_cells(near_points(pixels, spots, size), 10), spots, size, scorer).where(values.threshold(F.col("score")))
     anchors = stored(first.select(F.col("chrom1_idx").alias("chrom_idx"), "x"), stage_path, "spots")
-    pairs = windows.cross_anchors(anchors, size)
-    second = score_points(cells, pairs, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
+    pairs = stored(windows.cross_anchors(anchors, size).select(*POINT), stage_path, "pairs")
+    second = score_points(log_cells(near_points(pixels, pairs, size), 10), pairs, size, scorer).where(values.threshold(F.col("score"))).select(*POINT)
     return cluster.merge_near_points(second, dist, ["chrom1_idx", "chrom2_idx"]).drop("chain")
 
 
