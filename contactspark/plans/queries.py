@@ -72,29 +72,36 @@ def job2_scan_scored(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
-CALLS3 = f"""(select call_id, chrom_idx, start, end_ as e, case label when '--' then 1 when '-+' then 2 when '+-' then 3 when '++' then 4 end as label_idx, true as is_sv from fx_calls where label <> 'negative'
-union all select call_id, chrom_idx, start, "end", 0, false from ({Q.SA1.replace("from fx_calls) c", "from fx_calls where label <> 'negative') c")}) g)"""
-#: Window corners of calls and negatives on a 10-kb map, moved by up to one bin each way and clamped.
-AT3 = f"""(select call_id, is_sv, which, label_idx, chrom_idx, least(x + shift, n - 5) - 4 as x, least(y + shift, n - 5) - 4 as y from (
-select *, greatest(0, 4 - least(x, y)) as shift from (select call_id, is_sv, which, label_idx, c.chrom_idx, length // 10000 + 1 as n,
-p // 10000 - 1 + {Q.LCG.format(k=1, s=3)} % 3 as x, p // 10000 - 1 + {Q.LCG.format(k=2, s=3)} % 3 as y
-from (select call_id, is_sv, label_idx, chrom_idx, unnest([0, 1]) as which, unnest([start, e]) as p from {CALLS3} b) c join fx_chromsizes z on z.chrom_idx = c.chrom_idx)))"""
+def _training_windows(size: int) -> str:
+    """Window corners of calls and negatives on a 10-kb map, moved by up to an eighth of a window each way and clamped."""
+    half, move = size // 2, size // 4 // 2
+    negatives = Q.negatives_sql(size).replace("from fx_calls) c", "from fx_calls where label <> 'negative') c")
+    calls = f"""(select call_id, chrom_idx, start, end_ as e, case label when '--' then 1 when '-+' then 2 when '+-' then 3 when '++' then 4 end as label_idx, true as is_sv from fx_calls where label <> 'negative'
+union all select call_id, chrom_idx, start, "end", 0, false from ({negatives}) g)"""
+    moved = ", ".join(f"p // 10000 - {move} + {Q.LCG.format(k=k, s=3)} % {2 * move + 1} as {c}" for k, c in ((1, "x"), (2, "y")))
+    return f"""(select call_id, is_sv, which, label_idx, chrom_idx, least(x + shift, n - {half + 1}) - {half} as x, least(y + shift, n - {half + 1}) - {half} as y from (
+select *, greatest(0, {half} - least(x, y)) as shift from (select call_id, is_sv, which, label_idx, c.chrom_idx, length // 10000 + 1 as n, {moved}
+from (select call_id, is_sv, label_idx, chrom_idx, unnest([0, 1]) as which, unnest([start, e]) as p from {calls} b) c join fx_chromsizes z on z.chrom_idx = c.chrom_idx)))"""
+
+
+AT3 = _training_windows(8)
 #: Kinds of values as SQL over a pair of cells a (test) and b (clean), and how the two sides are joined.
 RATIOS = {"masked": ("log10(a) - log10(b) + 1e-6", ""), "pseudo": ("log10(coalesce(a, 0) + 1e-6) - log10(coalesce(b, 0) + 1e-6)", "full")}
 
 
-def _job3(norm: str) -> str:
+def _job3(norm: str, size: int = 8) -> str:
     """SQL for the training set: windows, their cells scaled over the chromosome, as arrays."""
     ratio, how = RATIOS[norm]
+    fill = f"list_transform(range(0, {size * size}), lambda k: round(coalesce(2 * (coalesce(m[k], 0) - lo) / nullif(hi - lo, 0) - 1, 0), 6))"
     side = "(select chrom1_idx, bin1, chrom2_idx, bin2, count as {c} from fx_pixels_10000 where sample = '{s}')"
     v = f"(select *, {ratio} as v from {side.format(c='a', s='test')} t {how} join {side.format(c='b', s='clean')} k using (chrom1_idx, bin1, chrom2_idx, bin2))"
     return f"""select * from (with v as (select * from {v} where chrom1_idx = chrom2_idx),
 ends as (select chrom1_idx as chrom_idx, case when count(*) < n * n then least(min(v), 0) else min(v) end as lo, case when count(*) < n * n then greatest(max(v), 0) else max(v) end as hi
   from v join (select chrom_idx as z, length // 10000 + 1 as n from fx_chromsizes) on z = chrom1_idx group by chrom1_idx, n),
 c as (select chrom1_idx as chrom_idx, bin1, bin2, v from v union all select chrom1_idx, bin2, bin1, v from v where bin1 <> bin2),
-spot as (select * from {AT3}),
-m as (select call_id, is_sv, which, list((bin1 - x) * 8 + bin2 - y) as ks, list(v) as vs from spot join c using (chrom_idx) where bin1 >= x and bin1 < x + 8 and bin2 >= y and bin2 < y + 8 group by all)
-select call_id, is_sv, which::int as which, label_idx::int as label_idx, list_transform(range(0, 64), lambda k: round(coalesce(2 * (coalesce(vs[list_position(ks, k)], 0) - lo) / nullif(hi - lo, 0) - 1, 0), 6)) as values
+spot as (select * from {_training_windows(size)}),
+m as (select call_id, is_sv, which, map(list((bin1 - x) * {size} + bin2 - y), list(v)) as m from spot join c using (chrom_idx) where bin1 >= x and bin1 < x + {size} and bin2 >= y and bin2 < y + {size} group by all)
+select call_id, is_sv, which::int as which, label_idx::int as label_idx, {fill} as values
 from spot left join m using (call_id, is_sv, which) left join ends using (chrom_idx))"""
 
 
@@ -108,6 +115,15 @@ def job3_training_set(spark, sf):
     return _rounded(jobs.build_training_set(c, pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8))
 
 
+@query(f"select call_id, is_sv, which, label_idx, round(list_sum(values), 4) as total, len(list_filter(values, lambda v: v <> values[1])) as others, values[1] as first_value from ({_job3('masked', 48)})")
+def job3_training_48(spark, sf):
+    """Patches of 48 bins, by their sums: patches as they are would be half a gigabyte on the largest tables."""
+    c = Q.fx_calls(spark, sf).where("label <> 'negative'")
+    out = _rounded(jobs.build_training_set(c, pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 48))
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return out.select("call_id", "is_sv", "which", "label_idx", F.round(total, 4).alias("total"), F.size(F.filter("values", lambda v: v != F.col("values")[0])).cast("long").alias("others"), F.col("values")[0].alias("first_value"))
+
+
 @query(_job3("pseudo"))
 def job3_training_pseudo(spark, sf):
     c = Q.fx_calls(spark, sf).where("label <> 'negative'")
@@ -208,19 +224,35 @@ def _contrast_weights(size: int = 8, centre: int = 4) -> str:
 
 
 LOGS = "(select chrom1_idx, bin1, chrom2_idx, bin2, log10(value) as value from " + Q.TEST_CELLS + " t)"
-#: Windows around {points} whose contrast is above a half.
-SCORED = "(select chrom1_idx, chrom2_idx, x, y from (select p.chrom1_idx, p.chrom2_idx, x, y, bin1 - x + 4 as dx, bin2 - y + 4 as dy, value from {points} p join {cells} c on c.chrom1_idx = p.chrom1_idx and c.chrom2_idx = p.chrom2_idx and bin1 >= x - 4 and bin1 < x + 4 and bin2 >= y - 4 and bin2 < y + 4) group by all having " + _contrast_weights() + " > {least})"
-SPOTS = SCORED.format(points="(select chrom_idx as chrom1_idx, chrom_idx as chrom2_idx, unnest(range(4, length // 50000 - 3)) as x, x as y from fx_chromsizes where length // 50000 >= 8)", cells=LOGS.format(res=50000), least="1e-12")
-JOB9 = f"""select * from (with spots as (select chrom1_idx as c, x as p from {SPOTS}),
-found as (select * from {SCORED.format(points="(select a.c as chrom1_idx, b.c as chrom2_idx, a.p as x, b.p as y from spots a join spots b on a.p >= b.p and not (a.c = b.c and abs(a.p - b.p) < 8))", cells=LOGS.format(res=50000), least="1e-12")})
+
+
+def _scored(points: str, cells: str, size: int, least: str = "1e-12") -> str:
+    """Windows around points whose contrast, before it is squashed, is above a bound."""
+    h = size // 2
+    return f"""(select chrom1_idx, chrom2_idx, x, y from (select p.chrom1_idx, p.chrom2_idx, x, y, bin1 - x + {h} as dx, bin2 - y + {h} as dy, value from {points} p
+join {cells} c on c.chrom1_idx = p.chrom1_idx and c.chrom2_idx = p.chrom2_idx and bin1 >= x - {h} and bin1 < x + {h} and bin2 >= y - {h} and bin2 < y + {h}) group by all having {_contrast_weights(size)} > {least})"""
+
+
+def _job9(size: int) -> str:
+    """Every position of the diagonals on the 50-kb map, pairs of those found, and near ones merged."""
+    h, logs = size // 2, LOGS.format(res=50000)
+    every = f"(select chrom_idx as chrom1_idx, chrom_idx as chrom2_idx, unnest(range({h}, length // 50000 - {h} + 1)) as x, x as y from fx_chromsizes where length // 50000 >= {size})"
+    pairs = f"(select a.c as chrom1_idx, b.c as chrom2_idx, a.p as x, b.p as y from spots a join spots b on a.p >= b.p and not (a.c = b.c and abs(a.p - b.p) < {size}))"
+    return f"""select * from (with spots as (select chrom1_idx as c, x as p from {_scored(every, logs, size)}),
+found as (select * from {_scored(pairs, logs, size)})
 select chrom1_idx, chrom2_idx, (sum(x) // count(*))::bigint as x, (sum(y) // count(*))::bigint as y, count(*) as members from {Q.CHAIN.format(apart='g >= 9').replace(Q.DETECTIONS, "found")} group by chrom1_idx, chrom2_idx, chain)"""
 
 
-@query(JOB9)
+@query(_job9(8))
 def job9_two_step(spark, sf):
     return jobs.two_step_scan(pixels(spark, sf, 50000), chromsizes(spark, sf), 50000, 8, 3, scoring.contrast)
 
 
+@query(_job9(48))
+def job9_two_step_48(spark, sf):
+    return jobs.two_step_scan(pixels(spark, sf, 50000), chromsizes(spark, sf), 50000, 48, 3, scoring.contrast)
+
+
 def _corner_classes(stack):
     """Five numbers for a patch: its mean, and the means of its four corners, so rounded that equal ones are equal."""
     h = stack.shape[1] // 2
@@ -228,59 +260,95 @@ def _corner_classes(stack):
     return np.round(np.stack([p.mean(axis=(1, 2)) for p in parts], axis=1), 9)
 
 
-def _corner_sql() -> str:
-    """The same for a blurred patch of eight bins, as sums over its cells: a list of five."""
-    rows = scoring.blur3(np.eye(8)[:, :, None] * np.ones((1, 1, 8)))[:, :, 0]
-    every, low, high = ("[" + ", ".join(f"{x:.12f}" for x in w.mean(axis=1)) + "]" for w in (rows, rows[:, :4], rows[:, 4:]))
+def _corner_sql(size: int) -> str:
+    """The same for a blurred patch, as sums over its cells: a list of five."""
+    rows = scoring.blur3(np.eye(size)[:, :, None] * np.ones((1, 1, size)))[:, :, 0]
+    every, low, high = ("[" + ", ".join(f"{x:.12f}" for x in w.mean(axis=1)) + "]" for w in (rows, rows[:, : size // 2], rows[:, size // 2 :]))
     pairs = ((every, every), (low, low), (low, high), (high, low), (high, high))
     return "[" + ", ".join(f"round(sum(value * {a}[dx + 1] * {b}[dy + 1]), 9)" for a, b in pairs) + "]"
 
 
-def _boxes(points: str) -> str:
-    """Chains of points as boxes, for windows of eight bins."""
+def _boxes(points: str, size: int) -> str:
+    """Chains of points as boxes of windows."""
     ends = {c: (f"arg_min({c}, [x + y, x, y])", f"arg_max({c}, [x + y, x, y])") for c in "xy"}
-    sides = ", ".join(f"least({a}, {z}) - 4 as {c}0, abs({z} - {a}) + 8 as {w}" for (c, (a, z)), w in zip(ends.items(), ("width", "height"), strict=True))
-    return f"(select chrom1_idx, chrom2_idx, chain, {sides} from {Q.CHAIN.format(apart='g > 128').replace(Q.DETECTIONS, points)} group by chrom1_idx, chrom2_idx, chain)"
+    sides = ", ".join(f"least({a}, {z}) - {size // 2} as {c}0, abs({z} - {a}) + {size} as {w}" for (c, (a, z)), w in zip(ends.items(), ("width", "height"), strict=True))
+    return f"(select chrom1_idx, chrom2_idx, chain, {sides} from {Q.CHAIN.format(apart=f'g > {2 * size * size}').replace(Q.DETECTIONS, points)} group by chrom1_idx, chrom2_idx, chain)"
 
 
-def _grid(points: str, moves: str, factor: int) -> str:
-    """Candidates on a finer map around points, those whose window lies inside the 5-kb map."""
-    near = f"(select distinct chrom1_idx, chrom2_idx, (x - 4 + i) * {factor} as x, (y - 4 + j) * {factor} as y from {points}, unnest({moves}) a(i), unnest({moves}) b(j))"
-    return f"(select g.* from {near} g join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx where x >= 4 and y >= 4 and x + 4 <= a.length // 5000 and y + 4 <= b.length // 5000)"
+def _grid(points: str, size: int, factor: int) -> str:
+    """Candidates on a map `factor` times finer around points, those whose window lies inside the 5-kb map."""
+    h, moves = size // 2, f"range(0, {size}, {max(1, size // factor)})"
+    near = f"(select distinct chrom1_idx, chrom2_idx, (x - {h} + i) * {factor} as x, (y - {h} + j) * {factor} as y from {points}, unnest({moves}) a(i), unnest({moves}) b(j))"
+    return f"(select g.* from {near} g join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx where x >= {h} and y >= {h} and x + {h} <= a.length // 5000 and y + {h} <= b.length // 5000)"
 
 
 RATIO_CELLS = "(select chrom1_idx, bin1, chrom2_idx, bin2, v as value from r50 union all select chrom2_idx, bin2, chrom1_idx, bin1, v from r50 where chrom1_idx <> chrom2_idx or bin1 <> bin2)"
-JOB1 = f"""select * from (with recursive gc as (select sample, least(g1, g2) as g1, greatest(g1, g2) as g2, sum(count) as c from {Q.GENOME_CELLS} group by 1, 2, 3),
-near as (select g1, g2, log10(t.c) - log10(k.c) + 1e-6 as v from (select * from gc where sample = 'test') t join (select * from gc where sample = 'clean') k using (g1, g2) where g2 - g1 < 8),
-w as (select least(i * 4, {Q.N_GENOME} - 8) as start, g1, g2, v from near, range(0, (select {Q.N_GENOME} // 4)) z(i) where least(i * 4, {Q.N_GENOME} - 8) <= g1 and g2 < least(i * 4, {Q.N_GENOME} - 8) + 8),
-hit as (select distinct start + 4 as p from (select start, g1 - start as dx, g2 - start as dy, v from w union all select start, g2 - start, g1 - start, v from w where g1 <> g2)
-  group by start having coalesce(sum(v) filter (where dx between 2 and 5 and dy between 2 and 5), 0) / 16 - sum(v) / 64 > 1e-12),
+
+
+def _job1(size: int, class_size: int, fine: bool = False) -> str:
+    """The whole detection as one query: windows of `size` bins, classes by windows of class_size; fine: detections move on the 1-kb map at the end."""
+    h, g, places = size // 2, class_size // 2, size * size
+    start = f"least(i * {h}, {Q.N_GENOME} - {size})"
+    middle = f"dx between {h - 2} and {h + 1} and dy between {h - 2} and {h + 1}"
+    sides = lambda res: f"join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx where x >= {h} and y >= {h} and x + {h} <= a.length // {res} and y + {h} <= b.length // {res}"
+    sample = lambda s, c: f"(select * exclude (sample, count), count as {c} from fx_pixels_50000 where sample = '{s}')"
+    held = lambda box, cells: f"{box} b join {cells} c on c.chrom1_idx = b.chrom1_idx and c.chrom2_idx = b.chrom2_idx and bin1 >= x0 and bin1 < x0 + width and bin2 >= y0 and bin2 < y0 + height"
+    res, at = (1000, "fixed") if fine else (5000, "det")
+    # the largest of 120 by 120 bins around a detection on the 1-kb map, if its logarithm is above that of the centre by more than a quarter of it
+    moved = f""",
+up as (select *, x * 5 as u, y * 5 as v from det),
+around as (select d.chrom1_idx, d.chrom2_idx, x, y, bin1 - u + 60 as dx, bin2 - v + 60 as dy, value from up d join {Q.TEST_CELLS.format(res=1000)} c on c.chrom1_idx = d.chrom1_idx and c.chrom2_idx = d.chrom2_idx
+  and bin1 >= u - 60 and bin1 < u + 60 and bin2 >= v - 60 and bin2 < v + 60),
+top as (select chrom1_idx, chrom2_idx, x, y, arg_min([dx, dy], [-value, dx, dy]) as p, log2(max(value)) as hi, log2(max(value) filter (where dx = 60 and dy = 60)) as mid from around group by 1, 2, 3, 4),
+fixed as (select chrom1_idx, chrom2_idx, x, y, u + case when p is not null and (mid is null or hi - mid > floor(hi / 4)) then p[1] - 60 else 0 end as fx, v + case when p is not null and (mid is null or hi - mid > floor(hi / 4)) then p[2] - 60 else 0 end as fy
+  from up left join top using (chrom1_idx, chrom2_idx, x, y))""" if fine else ""
+    fx, fy = ("fx", "fy") if fine else ("x", "y")
+    return f"""select * from (with recursive gc as (select sample, least(g1, g2) as g1, greatest(g1, g2) as g2, sum(count) as c from {Q.GENOME_CELLS} group by 1, 2, 3),
+near as (select g1, g2, log10(t.c) - log10(k.c) + 1e-6 as v from (select * from gc where sample = 'test') t join (select * from gc where sample = 'clean') k using (g1, g2) where g2 - g1 < {size}),
+w as (select {start} as start, g1, g2, v from near, range(0, (select {Q.N_GENOME} // {h})) z(i) where {start} <= g1 and g2 < {start} + {size}),
+hit as (select distinct start + {h} as p from (select start, g1 - start as dx, g2 - start as dy, v from w union all select start, g2 - start, g1 - start, v from w where g1 <> g2)
+  group by start having coalesce(sum(v) filter (where {middle}), 0) / 16 - sum(v) / {places} > 1e-12),
 spots as (select distinct o.chrom_idx, case when o.chrom_idx = 0 then p else (p * 10000 - o.start) // 10000 end::bigint as x from hit join fx_offsets o on p * 10000 <= o.stop and (p * 10000 > o.start or o.chrom_idx = 0)),
-thin as (select chrom_idx, min(x) as x from spots group by chrom_idx union all select t.chrom_idx, (select min(p.x) from spots p where p.chrom_idx = t.chrom_idx and p.x - 4 > t.x) from thin t where t.x is not null),
+thin as (select chrom_idx, min(x) as x from spots group by chrom_idx union all select t.chrom_idx, (select min(p.x) from spots p where p.chrom_idx = t.chrom_idx and p.x - {h} > t.x) from thin t where t.x is not null),
 anchors as (select * from thin where x is not null),
-pairs as (select distinct a.chrom_idx as chrom1_idx, b.chrom_idx as chrom2_idx, a.x // 5 as x, b.x // 5 as y from anchors a join anchors b on a.x >= b.x and not (a.chrom_idx = b.chrom_idx and abs(a.x - b.x) < 8)),
-r50 as (select chrom1_idx, bin1, chrom2_idx, bin2, log10(a) - log10(b) + 1e-6 as v from (select * exclude (sample, count), count as a from fx_pixels_50000 where sample = 'test') join (select * exclude (sample, count), count as b from fx_pixels_50000 where sample = 'clean') using (chrom1_idx, bin1, chrom2_idx, bin2)),
-inside as (select p.* from pairs p join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx where x >= 4 and y >= 4 and x + 4 <= a.length // 50000 and y + 4 <= b.length // 50000),
-coarse as (select * from {SCORED.format(points="inside", cells=RATIO_CELLS, least="1e-12")}),
+pairs as (select distinct a.chrom_idx as chrom1_idx, b.chrom_idx as chrom2_idx, a.x // 5 as x, b.x // 5 as y from anchors a join anchors b on a.x >= b.x and not (a.chrom_idx = b.chrom_idx and abs(a.x - b.x) < {size})),
+r50 as (select chrom1_idx, bin1, chrom2_idx, bin2, log10(a) - log10(b) + 1e-6 as v from {sample('test', 'a')} join {sample('clean', 'b')} using (chrom1_idx, bin1, chrom2_idx, bin2)),
+inside as (select p.* from pairs p {sides(50000)}),
+coarse as (select * from {_scored("inside", RATIO_CELLS, size)}),
 c5 as (select * from {LOGS.format(res=5000)}),
 c10 as (select * from {LOGS.format(res=10000)}),
-refined as (select * from {SCORED.format(points=_grid("coarse", "range(0, 8)", 10), cells="c5", least="1e-12")}),
+refined as (select * from {_scored(_grid("coarse", size, 10), "c5", size)}),
 points as (select distinct chrom1_idx, chrom2_idx, x // 2 as x, y // 2 as y from refined),
-spread as (select distinct chrom1_idx, chrom2_idx, x, unnest(range(y0 + 4, y0 + height - 3)) as y from (select *, unnest(range(x0 + 4, x0 + width - 3)) as x from {_boxes("points")})),
-sure as (select * from {SCORED.format(points="spread", cells="c10", least="ln(0.55 / 0.45)")}),
-final as (select * from {SCORED.format(points=_grid("sure", "[0, 4]", 2), cells="c5", least="1e-12")}),
-best as (select chrom1_idx, chrom2_idx, chain, arg_min([bin1, bin2], [-value, bin1, bin2]) as p from (select b.*, bin1, bin2, value from {_boxes("final")} b join {Q.TEST_CELLS.format(res=5000)} c on c.chrom1_idx = b.chrom1_idx and c.chrom2_idx = b.chrom2_idx and bin1 >= x0 and bin1 < x0 + width and bin2 >= y0 and bin2 < y0 + height) group by 1, 2, 3),
+spread as (select distinct chrom1_idx, chrom2_idx, x, unnest(range(y0 + {h}, y0 + height - {h} + 1)) as y from (select *, unnest(range(x0 + {h}, x0 + width - {h} + 1)) as x from {_boxes("points", size)})),
+sure as (select * from {_scored("spread", "c10", size, "ln(0.55 / 0.45)")}),
+final as (select * from {_scored(_grid("sure", size, 2), "c5", size)}),
+best as (select chrom1_idx, chrom2_idx, chain, arg_min([bin1, bin2], [-value, bin1, bin2]) as p from (select b.*, bin1, bin2, value from {held(_boxes("final", class_size), Q.TEST_CELLS.format(res=5000))}) group by 1, 2, 3),
 det as (select distinct chrom1_idx, chrom2_idx, p[1] as x, p[2] as y from best union select chrom1_idx, chrom2_idx, x * 10, y * 10 from coarse where not exists (select 1 from refined)),
-scores as (select chrom1_idx, chrom2_idx, x, y, {_corner_sql()} as s from (select d.*, bin1 - x // 2 + 4 as dx, bin2 - y // 2 + 4 as dy, log2(value) as value from det d join {Q.TEST_CELLS.format(res=10000)} c on c.chrom1_idx = d.chrom1_idx and c.chrom2_idx = d.chrom2_idx and x // 2 > 4 and y // 2 > 4
-  and bin1 >= x // 2 - 4 and bin1 < x // 2 + 4 and bin2 >= y // 2 - 4 and bin2 < y // 2 + 4) group by 1, 2, 3, 4)
-select (x * 5000 + a.start)::bigint as bp_1, (y * 5000 + b.start)::bigint as bp_2, ['negative', '--', '-+', '+-', '++'][list_position(s, list_max(s))] as label
-from det left join scores using (chrom1_idx, chrom2_idx, x, y) join fx_offsets a on a.chrom_idx = chrom1_idx join fx_offsets b on b.chrom_idx = chrom2_idx)"""
+scores as (select chrom1_idx, chrom2_idx, x, y, {_corner_sql(class_size)} as s from (select d.*, bin1 - x // 2 + {g} as dx, bin2 - y // 2 + {g} as dy, log2(value) as value from det d join {Q.TEST_CELLS.format(res=10000)} c on c.chrom1_idx = d.chrom1_idx and c.chrom2_idx = d.chrom2_idx and x // 2 > {g} and y // 2 > {g}
+  and bin1 >= x // 2 - {g} and bin1 < x // 2 + {g} and bin2 >= y // 2 - {g} and bin2 < y // 2 + {g}) group by 1, 2, 3, 4){moved}
+select ({fx} * {res} + a.start)::bigint as bp_1, ({fy} * {res} + b.start)::bigint as bp_2, ['negative', '--', '-+', '+-', '++'][list_position(s, list_max(s))] as label
+from {at} left join scores using (chrom1_idx, chrom2_idx, x, y) join fx_offsets a on a.chrom_idx = chrom1_idx join fx_offsets b on b.chrom_idx = chrom2_idx)"""
+
+
+def _detect(spark, sf, **how):
+    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000, 5000, 1000)}
+    return jobs.detect_svs(maps_, chromsizes(spark, sf), scoring.contrast, _corner_classes, cutoff=0.55, **how)
 
 
-@query(JOB1)
+@query(_job1(8, 8))
 def job1_detect(spark, sf):
-    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000, 5000)}
-    return jobs.detect_svs(maps_, chromsizes(spark, sf), scoring.contrast, _corner_classes, size=8, class_size=8, cutoff=0.55)
+    return _detect(spark, sf, size=8, class_size=8)
+
+
+@query(_job1(8, 8, fine=True))
+def job1_detect_fine(spark, sf):
+    """As above, and each detection moves to the largest count near it on the 1-kb map."""
+    return _detect(spark, sf, size=8, class_size=8, fine=1000)
+
+
+@query(_job1(48, 24))
+def job1_detect_48(spark, sf):
+    return _detect(spark, sf, size=48, class_size=24)
 
 
 @query()

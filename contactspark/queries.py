@@ -784,10 +784,18 @@ def pa14_endpoint_windows(spark, sf):
 # --- sampling --------------------------------------------------------------------------------------
 
 LCG = "((((call_id % 2147483647) * 1103515245 + 12345 * {k} + {s}) % 2147483647))"
-SA1 = f"""select call_id, chrom_idx, 40000 + {LCG.format(k=2, s=7)} % (length - 40000 - 1 - 40000 + 1) as start,
-40000 + {LCG.format(k=2, s=7)} % (length - 80000) + 80000 + {LCG.format(k=3, s=7)} % 720001 as "end", 'negative' as label
-from (select call_id, {LCG.format(k=1, s=7)} % (select count(*) from fx_chromsizes where length > 80001) as n from fx_calls) c
-join (select chrom_idx, length, row_number() over (order by chrom_idx) - 1 as n from fx_chromsizes where length > 80001) z using (n) join fx_calls using (call_id, chrom_idx)""".replace(" join fx_calls using (call_id, chrom_idx)", "")
+
+
+def negatives_sql(size: int) -> str:
+    """One negative for each call, clear of its chromosome's ends by half a window of 10-kb bins."""
+    pad, wide = size // 2 * 10000, size * 10000
+    start = f"{pad} + {LCG.format(k=2, s=7)} % (length - {2 * pad})"
+    return f"""select call_id, chrom_idx, {start} as start, {start} + {wide} + {LCG.format(k=3, s=7)} % {9 * wide + 1} as "end", 'negative' as label
+from (select call_id, {LCG.format(k=1, s=7)} % (select count(*) from fx_chromsizes where length > {2 * pad + 1}) as n from fx_calls) c
+join (select chrom_idx, length, row_number() over (order by chrom_idx) - 1 as n from fx_chromsizes where length > {2 * pad + 1}) z using (n)"""
+
+
+SA1 = negatives_sql(SIZE)
 
 
 @query(SA1)
