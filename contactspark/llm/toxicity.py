@@ -40,7 +40,7 @@ FULL_RATIO = 24.0
 LEAST_PART, PRIOR = 0.01, 0.01
 NEIGHBOURS = 100
 #: Cells of the table of document frequencies of terms that no example has, and the bits that tell such terms apart within a batch.
-CELL_BITS, HASH_BITS = 22, 40
+CELL_BITS, HASH_BITS = 20, 40
 BLOCK = 128
 FIRST_BLOCKS = 2
 CACHE_ENTRIES = 400_000
@@ -244,6 +244,15 @@ class Model:
         self.tells = telling(having[1], having[0], self.sizes[1], self.sizes[0])
         self.index = BlockMaxIndex([weights(*c, idf, others) for c in counts], len(vocabulary))
         self.x, self.y, self.lone_score = np.zeros(1), np.zeros(1), 0.0
+        self.handle = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"handle": None}
+
+    def shared(self, sc):
+        """The model as a broadcast variable, sent once, whatever it is calibrated to meanwhile."""
+        self.handle = self.handle or sc.broadcast(self)
+        return self.handle
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Fits the chance of label 1 to the votes of the examples (NaN without a neighbour)."""
@@ -273,9 +282,10 @@ class Model:
             vectors.append((terms, w, tells))
         return self.index.all_nearest(vectors, NEIGHBOURS, own)
 
-    def score(self, number: np.ndarray, similarity: np.ndarray, told: np.ndarray) -> float:
+    def score(self, number: np.ndarray, similarity: np.ndarray, told: np.ndarray, calibration: tuple[np.ndarray, np.ndarray, float]) -> float:
         """The calibrated score, between the fitted steps by line."""
-        return float(np.interp(self.vote(number, similarity, told), self.x, self.y)) if len(number) else self.lone_score
+        x, y, lone = calibration
+        return float(np.interp(self.vote(number, similarity, told), x, y)) if len(number) else lone
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -331,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     found = sample.mapInArrow(vectors, schema).toArrow().sort_by("key")
     counts = [(t.values.to_numpy().astype("i8"), n.values.to_numpy()) for t, n in zip(found["t"], found["n"], strict=True)]
     model = Model(vocabulary, having, idf, others.astype("f4"), found["key"].to_pylist(), counts, found["label"].to_numpy().astype("i8"), share)
-    raw = sc.broadcast(model)
+    raw = model.shared(sc)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = raw.value
@@ -355,7 +365,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     keep = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
     item = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())])
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(item))])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, calibration = model.shared(docs.sparkSession.sparkContext), (model.x, model.y, model.lone_score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -364,7 +374,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             kind = pa.list_(pa.struct([(key, whole.schema.field(key).type), ("similarity", pa.float64()), ("label", pa.int32())]))
             for b in few(whole, text):
                 found = list(m.nearest(*counter.count(b[text])))
-                score = np.array([m.score(*near) for near in found])
+                score = np.array([m.score(*near, calibration) for near in found])
                 proof = [[{key: m.keys[i], "similarity": float(s), "label": int(m.labels[i])} for i, s in zip(n[:evidence].tolist(), sims[:evidence].tolist(), strict=True)] for n, sims, _ in found]
                 yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(score), pa.array((score >= 0.5).astype("i4")), pa.array(proof, kind)], names=[*keep, "score", "predicted", "evidence"])
 
