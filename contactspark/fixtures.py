@@ -71,7 +71,7 @@ def duckdb_sql(body: str) -> str:
 
 
 #: Views that many queries start from: written once a session and table folder, so that queries do their own work.
-KEPT = ("fx_sides", *(f"fx_pixels_{res}" for res in (1000, 5000, 10000, 50000)))
+KEPT = ("fx_sides", "fx_calls", "fx_results", *(f"fx_pixels_{res}" for res in (1000, 5000, 10000, 50000)))
 _kept: dict[tuple[str, str, str], str] = {}
 
 

@@ -1,7 +1,7 @@
 """Conversions between chromosome positions and positions on the whole genome.
 
-chromsizes has chrom_idx, chrom and length. Lists of chromosomes are short, so they are broadcast
-after a check of their size. Two conventions for a position equal to a chromosome's end exist side by side:
+chromsizes has chrom_idx, chrom and length. Lists of chromosomes are broadcast if a check finds them short; positions
+find theirs by buckets of the genome. Two conventions for a position equal to a chromosome's end exist side by side:
 `genome_to_chrom` counts it to the earlier chromosome, `bp_to_chrom_exclusive` to the later one.
 """
 
@@ -28,12 +28,24 @@ def chrom_offsets(chromsizes: DataFrame) -> DataFrame:
     return chromsizes.withColumn("stop", F.sum("length").over(order)).withColumn("start", F.col("stop") - F.col("length"))
 
 
+def located(df: DataFrame, offsets: DataFrame, at: Column, hit: Column) -> DataFrame:
+    """df with the columns of the chromosomes (offsets, with _start and _stop on the genome) for which hit holds at position at.
+
+    Chromosomes are dealt out to buckets of the genome, about as many as there are chromosomes, and positions look only into theirs; so an
+    assembly of very many contigs costs no more for a position than one of a few. Positions before the genome are looked up at its start.
+    """
+    n, end = offsets.agg(F.count(F.lit(1)), F.max("_stop")).first()
+    width = max(1, -(-(end or 0) // max(1024, 2 * n)))
+    spread = offsets.withColumn("_bucket", F.explode(F.sequence(floor_div(F.col("_start"), width), floor_div(F.col("_stop"), width))))
+    return df.withColumn("_bucket", floor_div(F.greatest(at, F.lit(0)), width)).join(bounded(spread), "_bucket").where(hit).drop("_bucket")
+
+
 def _axis(df: DataFrame, offsets: DataFrame, coord: str, res: int, chrom: str, local: str) -> DataFrame:
     o = offsets.select(F.col("chrom_idx").alias(chrom), F.col("start").alias("_start"), F.col("stop").alias("_stop"))
     p = F.col(coord) * res
     hit = (p <= F.col("_stop")) & ((p > F.col("_start")) | (F.col(chrom) == 0))
     value = F.when(F.col(chrom) == 0, F.col(coord)).otherwise(floor_div(p - F.col("_start"), res))
-    return df.join(bounded(o), hit).withColumn(local, value.cast("long")).drop("_start", "_stop")
+    return located(df, o, p, hit).withColumn(local, value.cast("long")).drop("_start", "_stop")
 
 
 def genome_to_chrom(df: DataFrame, chromsizes: DataFrame, coord: str, res: int, chrom: str = "chrom_idx", local: str = "local_bin") -> DataFrame:
@@ -65,7 +77,8 @@ def bp_to_chrom_exclusive(df: DataFrame, chromsizes: DataFrame, pairs: dict[str,
     o = chrom_offsets(chromsizes)
     for column, (name, pos) in pairs.items():
         side = o.select(F.col("chrom").alias(name), F.col("start").alias("_start"), F.col("stop").alias("_stop"))
-        df = df.join(bounded(side), (F.col(column) >= F.col("_start")) & (F.col(column) < F.col("_stop"))).withColumn(pos, F.col(column) - F.col("_start")).drop("_start", "_stop")
+        hit = (F.col(column) >= F.col("_start")) & (F.col(column) < F.col("_stop"))
+        df = located(df, side, F.col(column), hit).withColumn(pos, F.col(column) - F.col("_start")).drop("_start", "_stop")
     return df
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import carried, dealt, total
 from ..functions.values import WIDE, log_ratio_raw, wide_to_label
 
 
@@ -66,12 +67,13 @@ def merge_vcf(sums: DataFrame, gap: int = 50_000, least: int = 5000) -> DataFram
     """Neighbours merged while the reach so far plus gap meets the next position: chrom, start, end, sv_len above least.
 
     The reach is the running maximum of pos + sv_len within the chromosome, the first length counts, and the
-    last cluster is given out.
+    last cluster is given out. Positions are dealt out in ranges, so a chromosome needs no single task; rows without one go.
     """
-    order = Window.partitionBy("chrom").orderBy("pos")
-    reach = F.max(F.col("pos") + F.col("sv_len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = sums.withColumn("cut", F.when(reach + gap >= F.col("pos"), 0).otherwise(1))
-    marked = marked.withColumn("cluster", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.col("pos")]
+    placed = dealt(sums.where("chrom is not null"), ["chrom"], order)
+    reached = carried(placed, ["chrom"], order, "reach", F.col("pos") + F.col("sv_len"), F.max, F.greatest, inclusive=False)
+    cut = reached.withColumn("cut", F.when(F.col("reach") + gap >= F.col("pos"), 0).otherwise(1))
+    marked = carried(cut, ["chrom"], order, "cluster", F.col("cut"), F.sum, total)
     out = marked.groupBy("chrom", "cluster").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("sv_len")).alias("end"))
     return out.select("chrom", "start", "end", (F.col("end") - F.col("start")).alias("sv_len")).where(F.col("sv_len") > least)
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import floor_div
+from .cluster import chains
 
+#: Runs of positions that are swept together.
+RUNS = 1000
 SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
@@ -29,8 +34,45 @@ def match_calls(results: DataFrame, answers: DataFrame, tol: int = 100, crossed:
     return near_any(near_any(results, answers, "bp_1", a, tol, "found_x", key), answers, "bp_2", b, tol, "found_y", key)
 
 
+def matched_one_to_one(results: DataFrame, answers: DataFrame, tol: int = 100, crossed: bool = True, key: str = "result_id") -> DataFrame:
+    """results with found_x and found_y, where each answer's side is met by one result at most; as many as can be are.
+
+    Both lists lie on a line for each side, sorted. Points farther apart than tol from the one before begin a run, and nothing is matched across
+    runs; a run is swept once: the foremost result and answer are a pair if they are near enough, else the one behind is left. Of equal positions
+    the result of the least key comes first. Runs are dealt out some at a time, in order; only a run, a chain of neighbours within tol, needs one task. Keys and positions of results are not null.
+    """
+    at = lambda df, side, c, of, kind: df.select(F.lit(side).alias("side"), F.col(c).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(kind).alias("_kind"), of.alias("_key")).where("x is not null")
+    a, b = ("bp_2", "bp_1") if crossed else ("bp_1", "bp_2")
+    none = F.lit(None).cast(results.schema[key].dataType)
+    parts = [at(results, "x", "bp_1", F.col(key), 0), at(results, "y", "bp_2", F.col(key), 0), at(answers, "x", a, none, 1), at(answers, "y", b, none, 1)]
+    points = functools.reduce(DataFrame.unionByName, parts)
+    linked = chains(points, ["side"], F.col("dist2") > tol * tol)
+    kind = results.schema[key].dataType.simpleString()
+
+    def sweep(f: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = f[f["_kind"] == 0].sort_values(["x", "_key"]), np.sort(f.loc[f["_kind"] == 1, "x"].to_numpy())
+        x, good, i, j = mine["x"].to_numpy(), np.zeros(len(mine), bool), 0, 0
+        while i < len(x) and j < len(theirs):
+            if abs(x[i] - theirs[j]) <= tol:
+                good[i] = True
+                i, j = i + 1, j + 1
+            elif x[i] < theirs[j]:
+                i += 1
+            else:
+                j += 1
+        return mine.loc[good, ["side", "_key"]]
+
+    found = linked.groupBy("side", F.expr(f"chain div {RUNS}")).applyInPandas(sweep, f"side string, _key {kind}")
+    out = results
+    for side in "xy":
+        hit = found.where(F.col("side") == side).select(F.col("_key").alias(key), F.lit(True).alias(f"found_{side}"))
+        out = out.join(hit, key, "left").withColumn(f"found_{side}", F.coalesce(f"found_{side}", F.lit(False)))
+    return out
+
+
 def call_scores(matched: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row: tp, fn, precision, recall, f1, a side of a call counting as one. Recall may exceed 1, as several results may hit one answer."""
+    """One row: tp, fn, precision, recall, f1, a side of a call counting as one. Recall may exceed 1 after match_calls, as several results may hit one
+    answer; it does not after matched_one_to_one."""
     hits = matched.agg(F.coalesce(F.sum(F.col("found_x").cast("long") + F.col("found_y").cast("long")), F.lit(0)).alias("tp"), F.count(F.lit(1)).alias("n"))
     both = hits.crossJoin(F.broadcast(answers.agg(F.count(F.lit(1)).alias("m"))))  # one row each
     fn = 2 * F.col("m") - F.col("tp")
@@ -60,14 +102,6 @@ def log_loss(pred: DataFrame, eps: float = 1e-7) -> DataFrame:
     return pred.agg(F.avg(-F.when(F.col("y_true") == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("loss"))
 
 
-def feature_correlation(features: DataFrame, key: str = "row_id", values: str = "values", size: int = 8) -> DataFrame:
-    """Pearson correlation of the first `size` components: i, j, corr for i <= j, in one pass without a self-join."""
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    at = lambda i: F.get(values, F.lit(i)).cast("double")
-    wide = features.agg(*(F.corr(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs))
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs))).alias("r")).select("r.*")
-
-
 def full_feature_correlation(features: DataFrame, values: str = "values") -> DataFrame:
     """Pearson correlation of all components: i, j, corr for i <= j over the rows that have both; null where one does not vary.
 

@@ -7,10 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import bounded
+from ..functions.ranges import carried, dealt
+
 
 def expected_by_distance(expected: DataFrame, keys: list[str]) -> DataFrame:
     """keys, dist, avg and log_avg from n_valid and balanced_sum; null where there is nothing valid."""
@@ -26,37 +29,50 @@ def expected_trans(expected: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_min(curve: DataFrame, keys: list[str], value: str = "log_avg") -> DataFrame:
-    """curve with value replaced by its least so far."""
-    order = Window.partitionBy(*keys).orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumn(value, F.min(value).over(order))
+    """curve with value replaced by its least so far. Distances are dealt out in ranges, so curves need no single task; keys are not null."""
+    order = [F.col("dist")]
+    found = carried(dealt(curve, keys, order), keys, order, "_least", F.col(value), F.min, F.least)
+    return found.withColumn(value, F.col("_least")).select(curve.columns)
 
 
 def truncate_at_first_bad(curve: DataFrame, keys: list[str], value: str = "log_avg") -> DataFrame:
-    """The curve up to the first distance without a finite value."""
+    """The curve up to the first distance without a finite value, which is found by sums alone."""
     bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    order = Window.partitionBy(*keys).orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumn("_bad", F.max(bad.cast("int")).over(order)).where("_bad = 0").drop("_bad")
+    first = curve.groupBy(*keys).agg(F.min(F.when(bad, F.col("dist"))).alias("_first"))
+    return curve.join(bounded(first), keys).where("_first is null or dist < _first").select(curve.columns)
+
+
+#: Fits between two neighbours of a window's width; between them the curve goes by line.
+FITS = 512
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float) -> np.ndarray:
-    """Locally weighted lines with tricube weights over the nearest frac of the points, without robust rounds; x ascending."""
+def lowess(x: np.ndarray, y: np.ndarray, frac: float, fits: int = FITS) -> np.ndarray:
+    """Locally weighted lines with tricube weights over the nearest frac of the points, without robust rounds; x ascending.
+
+    A window of k points moves by k / fits points at a time, and points between two fits lie on the line between them; windows of less than twice
+    `fits` points have a fit at each. So the work is n * fits, whatever frac is.
+    """
     n = len(x)
     k = min(n, max(2, int(np.ceil(frac * n))))
-    out, lo = np.empty(n), 0
-    for i in range(n):
-        while lo + k < n and x[lo + k] - x[i] < x[i] - x[lo]:
+    at = np.unique(np.r_[np.arange(0, n, max(1, k // fits)), n - 1])
+    found, lo = np.empty(len(at)), 0
+    for i, p in enumerate(at.tolist()):
+        while lo + k < n and x[lo + k] - x[p] < x[p] - x[lo]:
             lo += 1
         xs, ys = x[lo : lo + k], y[lo : lo + k]
-        d = np.abs(xs - x[i])
-        w = (1 - np.minimum(d / max(d.max(), 1e-12), 1) ** 3) ** 3 + 1e-12
-        mx, my = np.average(xs, weights=w), np.average(ys, weights=w)
-        var = np.average((xs - mx) ** 2, weights=w)
-        out[i] = my + (np.average((xs - mx) * (ys - my), weights=w) / var * (x[i] - mx) if var > 1e-12 else 0)
-    return out
+        d = np.abs(xs - x[p])
+        w = (1 - np.minimum(d / max(d[0], d[-1], 1e-12), 1) ** 3) ** 3 + 1e-12
+        w /= w.sum()
+        mx, my = w @ xs, w @ ys
+        dx = xs - mx
+        var = w @ (dx * dx)
+        found[i] = my + (w @ (dx * (ys - my)) / var * (x[p] - mx) if var > 1e-12 else 0)
+    return np.interp(x, x[at], found) if len(at) < n else found
 
 
 def smooth_expected(curve: DataFrame, keys: list[str], head: int = 48, near: int = 10_000, near_frac: float = 0.01, far_frac: float = 0.1) -> DataFrame:
-    """keys, dist, smooth: the first `head` values as they are, then lines over ln(dist), finer up to `near` points on."""
+    """keys, dist, smooth: the first `head` values as they are, then lines over ln(dist + 1), finer up to `near` points on. A curve has no more points than
+    a chromosome has bins, and is smoothed by one task; curves are dealt out."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("dist")

@@ -21,8 +21,7 @@ def coarsen(pixels: DataFrame, factor: int) -> DataFrame:
 
 def check_resolutions(pixels: DataFrame, required: list[int]) -> None:
     """Raises ValueError if a required resolution has no pixel."""
-    found = {r[0] for r in pixels.select("resolution").distinct().limit(1000).collect()}
-    if missing := sorted(set(required) - found):
+    if missing := sorted(r["resolution"] for r in available_resolutions(pixels, required).where("not available").collect()):
         raise ValueError(f"resolutions missing: {missing}")
 
 

@@ -27,12 +27,6 @@ select w, start, g1 - start as dx, g2 - start as dy, v from d union all select w
 group by w, start)) join fx_offsets o on x * 10000 <= o.stop and (x * 10000 > o.start or o.chrom_idx = 0) where score > 0.5"""
 
 
-@query(SLICE)
-def job2_scan_diagonal(spark, sf):
-    found = jobs.scan_diagonal(pixels(spark, sf, 10000), chromsizes(spark, sf), 10000, 8, 4)
-    return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
-
-
 PIXELS = "(select sample, ca as chrom1_idx, pa // {res} as bin1, cb as chrom2_idx, pb // {res} as bin2, count(*) as count from fx_sides group by all)"
 SCANS = (50000, 25000, 10000)
 
@@ -43,10 +37,14 @@ def _scan(res: int) -> str:
     return quarter.replace("10000", str(res)).replace("{res}", str(res))
 
 
+def _scanned(spark, sf) -> dict[int, DataFrame]:
+    """The maps of a scan; 25 kb is made from 5 kb."""
+    return {res: maps.coarsen(pixels(spark, sf, 5000), 5) if res == 25000 else pixels(spark, sf, res) for res in SCANS}
+
+
 @query(" union all ".join(f"select {res} as resolution, * from ({_scan(res)})" for res in SCANS))
 def job2_scan_resolutions(spark, sf):
-    maps_ = {res: pixels(spark, sf, res) for res in (50000, 10000)} | {25000: maps.coarsen(pixels(spark, sf, 5000), 5)}
-    found = jobs.scan_resolutions({res: maps_[res] for res in SCANS}, chromsizes(spark, sf), 8)
+    found = jobs.scan_resolutions(_scanned(spark, sf), chromsizes(spark, sf), 8)
     return found.withColumn("score", F.round("score", 6)).where("score > 0.5")
 
 
@@ -62,13 +60,13 @@ p as (select g1, g2, log10(coalesce(t.c, 0) + 1e-6) - log10(coalesce(k.c, 0) + 1
 d as (select i as w, {start} as start, g1, g2, v from p, range(0, (select {n} // {step})) z(i) where {n} >= {size} and {start} <= g1 and g2 < {start} + {size})
 select w, start, g1 - start as dx, g2 - start as dy, v from d union all select w, start, g2 - start, g1 - start, v from d where g1 <> g2)
 group by w, start)) join fx_offsets o on x * 10000 <= o.stop and (x * 10000 > o.start or o.chrom_idx = 0) where raw > 0.5"""
-    return out.replace("10000", str(res))
+    return out.replace("fx_pixels_10000", PIXELS).replace("{res}", str(res)).replace("10000", str(res))
 
 
-@query(" union all ".join(f"select {res} as resolution, * from ({_scored_scan(res)})" for res in (50000, 10000)))
+@query(" union all ".join(f"select {res} as resolution, * from ({_scored_scan(res)})" for res in SCANS))
 def job2_scan_scored(spark, sf):
     """Every window, by a scorer that takes dense patches of 48 bins, on the log-ratio with pseudocounts."""
-    found = jobs.scan_resolutions({res: pixels(spark, sf, res) for res in (50000, 10000)}, chromsizes(spark, sf), 48, scorer=scoring.contrast, ratio="pseudo")
+    found = jobs.scan_resolutions(_scanned(spark, sf), chromsizes(spark, sf), 48, scorer=scoring.contrast, ratio="pseudo")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -351,9 +349,9 @@ def job1_detect_48(spark, sf):
     return _detect(spark, sf, size=48, class_size=24)
 
 
-@query()
+@query(f"select sample, dist, round(min(smooth) over (partition by sample order by dist), 6) as smooth from {Q.smooth_sql()}")
 def job10_expected_curve(spark, sf):
-    return jobs.expected_curve(view(spark, sf, "fx_expected"), ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3)
+    return jobs.expected_curve(view(spark, sf, "fx_expected"), ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3).withColumn("smooth", F.round("smooth", 6))
 
 
 CROPS = f"""select result_id, bin1 - x as dx, bin2 - y as dy, round(log2(value + 1), 6) as value from (select result_id, x - 4 as x, y - 4 as y from ({Q.CO10})) p
@@ -378,15 +376,6 @@ def job12_score_model(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "macro_f1", "macro_f05", "loss")})
 
 
-PA3 = f"""select patch_id, case when inside then a else list_transform(range(0, 64), lambda i: 0.0) end as values from (select z.patch_id, x >= 0 and y >= 0 and x + 8 <= 12 and y + 8 <= 12 and a is not null as inside, a from (select * from {Q.WINDOWS} where chrom1_idx = 3 and chrom2_idx = 3) z left join {Q.DENSE} d on d.patch_id = z.patch_id)"""
-
-
-@query(PA3)
-def pa3_windows_or_zero(spark, sf):
-    w = Q.detections(spark, sf).where("chrom1_idx = 3 and chrom2_idx = 3").withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
-    return jobs.windows_or_zero(cells(spark, sf, 10000), windows.centre_to_corner(w, 8), 12, 8)
-
-
 INSIDE = "x >= 0 and y >= 0 and x + 8 <= a.length // {res} and y + 8 <= b.length // {res}"
 BOTH_SIZES = "join fx_chromsizes a on a.chrom_idx = chrom1_idx join fx_chromsizes b on b.chrom_idx = chrom2_idx"
 PA3_MAPS = f"""select z.patch_id, case when {INSIDE.format(res=10000)} and d.a is not null then d.a else list_transform(range(0, 64), lambda i: 0.0) end as values
@@ -394,11 +383,11 @@ from {Q.WINDOWS} z {BOTH_SIZES} left join {Q.DENSE} d on d.patch_id = z.patch_id
 
 
 @query(PA3_MAPS)
-def pa3_windows_of_maps_or_zero(spark, sf):
+def pa3_windows_or_zero(spark, sf):
     w = Q.detections(spark, sf).withColumn("patch_id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("chrom1_idx", "chrom2_idx", "x", "y"))))
     return jobs.windows_of_maps_or_zero(cells(spark, sf, 10000), windows.centre_to_corner(w, 8), chromsizes(spark, sf), 10000, 8)
 
 
 @query(f"select d.* from {Q.DETECTIONS} d {BOTH_SIZES} where x <= y and {INSIDE.format(res=50000)}")
-def fi9_upper_of_maps(spark, sf):
+def fi9_upper(spark, sf):
     return windows.filter_corners_inside(Q.detections(spark, sf), chromsizes(spark, sf), 8, 50000, upper=True)

@@ -561,6 +561,23 @@ def ag14_call_scores(spark, sf):
     return out.select("tp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+#: The same list of results and answers, each answer met by one result at most: runs of near positions, swept once each.
+ONE_TO_ONE = f"""select tp::bigint as tp, fn::bigint as fn, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / nullif(p + r, 0), 6) as f1 from (select *, tp / nullif(2 * n, 0) as p, tp / nullif(tp + fn, 0) as r from (
+with recursive pts as (select 'x' as side, bp_1 as x, 0 as kind from {BINS5} union all select 'y', bp_2, 0 from {BINS5} union all select 'x', bp_1, 1 from {ANSWERS} union all select 'y', bp_2, 1 from {ANSWERS}),
+runs as (select *, sum(cut) over (partition by side order by x) as run from (select *, case when x - lag(x) over (partition by side order by x) <= 1 then 0 else 1 end as cut from pts)),
+lists as (select side, run, list(x order by x) filter (where kind = 0) as a, list(x order by x) filter (where kind = 1) as b from runs group by side, run having count(*) filter (where kind = 0) > 0 and count(*) filter (where kind = 1) > 0),
+sweep as (select a, b, 1 as i, 1 as j, 0 as hit from lists union all
+  select a, b, i + (abs(a[i] - b[j]) <= 1 or a[i] < b[j])::int, j + (abs(a[i] - b[j]) <= 1 or a[i] > b[j])::int, (abs(a[i] - b[j]) <= 1)::int from sweep where i <= len(a) and j <= len(b))
+select tp, n, 2 * m - tp as fn from (select coalesce(sum(hit), 0) as tp from sweep), (select count(*) as n from {BINS5}), (select count(*) as m from {ANSWERS})))"""
+
+
+@query(ONE_TO_ONE)
+def ag14_one_to_one(spark, sf):
+    r, a = bins5(spark, sf)
+    out = evaluate.call_scores(evaluate.matched_one_to_one(r, a, tol=1, crossed=False), a)
+    return out.select("tp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 @query("select round(avg(-case when y_true = 1 then ln(p) else ln(1 - p) end), 6) as loss from (select y_true, greatest(1e-7, least(1 - 1e-7, score)) as p from fx_predictions)")
 def ag15_log_loss(spark, sf):
     return evaluate.log_loss(predictions(spark, sf)).withColumn("loss", F.round("loss", 6))
@@ -571,25 +588,14 @@ def ag16_drop_all_duplicates(spark, sf):
     return calls.drop_all_duplicates(wide(spark, sf).select("chrom1", "pos1"))
 
 
-@query("select g as patch_id, list_transform(range(1, 9), lambda i: round(s[i], 6)) as scores from (select g, list(v order by i) as s from (select vec_id // 4 as g, i, avg(embedding[i]::double) as v from embeddings, range(1, 65) t(i) group by vec_id // 4, i) group by g)")
-def ag17_ensemble_average(spark, sf):
-    e = patches(spark, sf).select(F.expr("patch_id div 4").alias("patch_id"), F.col("values").alias("scores"))
-    return scoring.ensemble_average(e).select("patch_id", F.transform(F.slice("scores", 1, 8), lambda x: F.round(x, 6)).alias("scores"))
-
-
-@query("select (i - 1)::int as i, (j - 1)::int as j, round(corr(embedding[i]::double, embedding[j]::double), 6) as corr from embeddings, range(1, 9) a(i), range(1, 9) b(j) where i <= j group by i, j")
-def ag18_feature_correlation(spark, sf):
-    return evaluate.feature_correlation(patches(spark, sf)).withColumn("corr", F.round("corr", 6))
-
-
 @query("select g as patch_id, list_transform(s, lambda v: round(v, 6)) as scores from (select g, list(v order by i) as s from (select vec_id // 4 as g, i, avg(embedding[i]::double) as v from embeddings, range(1, 65) t(i) group by vec_id // 4, i) group by g)")
-def ag17_ensemble_average_full(spark, sf):
+def ag17_ensemble_average(spark, sf):
     e = patches(spark, sf).select(F.expr("patch_id div 4").alias("patch_id"), F.col("values").alias("scores"))
     return scoring.ensemble_average(e).select("patch_id", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
 
 
 @query("select (i - 1)::int as i, (j - 1)::int as j, round(corr(embedding[i]::double, embedding[j]::double), 6) as corr from embeddings, range(1, 65) a(i), range(1, 65) b(j) where i <= j group by i, j")
-def ag18_feature_correlation_full(spark, sf):
+def ag18_feature_correlation(spark, sf):
     return evaluate.full_feature_correlation(patches(spark, sf)).withColumn("corr", F.round("corr", 6))
 
 
@@ -659,9 +665,25 @@ def wn6_truncate(spark, sf):
     return expected.truncate_at_first_bad(c, ["sample"]).select("sample", "dist", F.round("log_avg", 6).alias("log_avg"))
 
 
-@query()
+def smooth_sql(head: int = 8, near: int = 40, fracs: tuple[float, float] = (0.1, 0.3)) -> str:
+    """Lines through the nearest points of each, by tricube weights, over the logarithm of the distance; the first few points as they are."""
+
+    def fitted(frac: float) -> str:
+        k = f"least(m, greatest(2, ceil({frac}::double * m)))"
+        met = f"select a.sample, a.i, a.x as x0, b.x, b.y, abs(b.x - a.x) as d from t a join t b using (sample) qualify row_number() over (partition by a.sample, a.i order by abs(b.x - a.x), b.x) <= (select {k} from (select count(*) as m from t z where z.sample = a.sample))"
+        weighed = f"select *, power(1 - power(least(d / greatest(max(d) over (partition by sample, i), 1e-12), 1), 3), 3) + 1e-12 as w from ({met})"
+        means = f"select *, sum(w * x) over p / sum(w) over p as mx, sum(w * y) over p / sum(w) over p as my from ({weighed}) window p as (partition by sample, i)"
+        line = f"select sample, i, any_value(my) as my, any_value(x0 - mx) as dx, sum(w * (x - mx) ** 2) / sum(w) as var, sum(w * (x - mx) * (y - my)) / sum(w) as cov from ({means}) group by sample, i"
+        return f"(select sample, i, my + case when var > 1e-12 then cov / var * dx else 0 end as v from ({line}))"
+
+    return f"""(with c as (select sample, dist, v as y, ln(dist + 1) as x, row_number() over (partition by sample order by dist) - 1 as i from {CURVE} where v is not null),
+t as (select * from c where i >= {head})
+select c.sample, c.dist, case when c.i < {head} then c.y when c.i < {near} then f.v else g.v end as smooth from c left join {fitted(fracs[0])} f on f.sample = c.sample and f.i = c.i left join {fitted(fracs[1])} g on g.sample = c.sample and g.i = c.i)"""
+
+
+@query(f"select sample, dist, round(smooth, 6) as smooth from {smooth_sql()}")
 def wn7_smooth_expected(spark, sf):
-    return expected.smooth_expected(curve(spark, sf), ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3)
+    return expected.smooth_expected(curve(spark, sf), ["sample"], head=8, near=40, near_frac=0.1, far_frac=0.3).withColumn("smooth", F.round("smooth", 6))
 
 
 # --- set operations --------------------------------------------------------------------------------

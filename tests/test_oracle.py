@@ -9,7 +9,7 @@ from conftest import SF
 import __spark_entry__
 from contactspark import queries as map_queries
 
-NAMES = "src3_coarsen co3_genome_to_chrom co7_bp_to_chrom_exclusive sc5_log_ratio_balanced sc7_labels jn4_cut_windows jn5_match_calls ag5_minmax_scale ag9_patch_argmax wn1_chain_groups wn2_thin_anchors wn3_merge_vcf pa1_diagonal_windows pa11_gaussian_blur3 sa1_negatives_per_call sa4_diagonal_negatives job2_scan_diagonal job4_evaluate jn2_point_in_interval wn8_order_detections pa4_densify_48 job3_norms job5_filter_real".split()
+NAMES = "src3_coarsen co3_genome_to_chrom co7_bp_to_chrom_exclusive sc5_log_ratio_balanced sc7_labels jn4_cut_windows jn5_match_calls ag5_minmax_scale ag9_patch_argmax wn1_chain_groups wn2_thin_anchors wn3_merge_vcf pa1_diagonal_windows pa11_gaussian_blur3 sa1_negatives_per_call sa4_diagonal_negatives job4_evaluate jn2_point_in_interval wn8_order_detections pa4_densify_48 job3_norms job5_filter_real".split()
 
 
 def cell(x):

@@ -16,7 +16,7 @@ from contactspark.plans import jobs
 from contactspark.plans import queries as plan_queries
 
 
-@pytest.mark.parametrize("name", "job2_scan_resolutions pa3_windows_of_maps_or_zero fi9_upper_of_maps ag17_ensemble_average_full ag18_feature_correlation_full".split())
+@pytest.mark.parametrize("name", "job2_scan_resolutions pa3_windows_or_zero fi9_upper ag17_ensemble_average ag18_feature_correlation ag14_one_to_one wn7_smooth_expected job10_expected_curve src8_read_fasta_lengths wn5_running_min wn6_truncate".split())
 def test_whole_query_matches_sql(spark, name):
     df = map_queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
