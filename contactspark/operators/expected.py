@@ -43,7 +43,7 @@ def truncate_at_first_bad(curve: DataFrame, keys: list[str], value: str = "log_a
 
 
 #: Fits between two neighbours of a window's width; between them the curve goes by line.
-FITS = 512
+FITS = 256
 
 
 def lowess(x: np.ndarray, y: np.ndarray, frac: float, fits: int = FITS) -> np.ndarray:
@@ -61,7 +61,9 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float, fits: int = FITS) -> np.nd
             lo += 1
         xs, ys = x[lo : lo + k], y[lo : lo + k]
         d = np.abs(xs - x[p])
-        w = (1 - np.minimum(d / max(d[0], d[-1], 1e-12), 1) ** 3) ** 3 + 1e-12
+        u = np.minimum(d / max(d[0], d[-1], 1e-12), 1)
+        w = 1 - u * u * u
+        w = w * w * w + 1e-12
         w /= w.sum()
         mx, my = w @ xs, w @ ys
         dx = xs - mx
