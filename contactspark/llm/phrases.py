@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.common import bounded
 from .bpe import few
@@ -39,6 +38,8 @@ BLANK, STOP = b" \t", b".,;:!?\n\x0b\x0c\r"
 CELL_BITS, LONG_BITS = 28, 26
 #: Windows that a task holds before equal ones are added up, and goes on with if that leaves half of them or fewer.
 HELD = 600_000
+#: Buckets of windows.
+BUCKET_BITS = 10
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -109,65 +110,95 @@ def tables_of(df: DataFrame, least: int, longest: int) -> list[np.ndarray]:
 
 
 def windows(df: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """lang, w1, w2, ... (as many as tables) and n: the padded windows that tasks have met, and how often. df has text and lang."""
+    """lang, w1, w2, ... (as many as tables) and n: the distinct padded windows, and how often each occurs. df has text and lang.
+
+    Tasks add up what they have met and send it by bucket of the windows' hashes, many windows a row; buckets are added up one after the other.
+    """
     longest = len(tables)
     names = [f"w{k + 1}" for k in range(longest)]
+    columns = ["lang", *names]
     shared = df.sparkSession.sparkContext.broadcast(tables)
 
-    def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def met(b: pa.RecordBatch) -> pa.Table | None:
+        """The windows of a slice of a batch, with their buckets."""
+        pieces = Pieces(b["text"], b["lang"])
+        total = len(pieces.code)
+        if not total:
+            return None
+        found = list(pieces.phrases(longest, shared.value))
+        pad = len(pieces.words)
+        head = np.where(found[0][2], pieces.code, pad)
+        key, rows = pieces.lang * (pad + 1) + head, np.arange(total)
+        parts = []  # windows are told apart column by column; those that have ended take no part in the next
+        for k in range(1, longest + 1):
+            distinct, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            go = found[k][2][rows] if k < longest else np.zeros(len(rows), bool)
+            ended = n - np.bincount(which[go], minlength=len(distinct))
+            some = np.flatnonzero(ended)
+            at = rows[first[some]]
+            starts, g, _ = found[k - 1]
+            bucket = (g[np.searchsorted(starts, at)] * TURN >> np.uint64(64 - BUCKET_BITS)).astype("i4")
+            bucket[head[at] == pad] = 0  # windows of rare words are all alike
+            parts.append((bucket, pieces.lang[at], [head[at], *(pieces.code[at + j] for j in range(1, k)), *[np.full(len(at), pad)] * (longest - k)], ended[some]))
+            rows = rows[go]
+            if not len(rows):
+                break
+            key = which[go] * pad + pieces.code[rows + k]
+        strings = pa.concat_arrays([pieces.words.cast(pa.string()), pa.array([""], pa.string())])
+        lang = pieces.langs.take(pa.array(np.concatenate([x[1] for x in parts]))).cast(pa.string())
+        cells = [strings.take(pa.array(np.concatenate([x[2][j] for x in parts]))) for j in range(longest)]
+        return pa.table([pa.array(np.concatenate([x[0] for x in parts])), lang, *cells, pa.array(np.concatenate([x[3] for x in parts]))], names=["bucket", *columns, "n"])
+
+    def added(held: list[pa.Table]) -> pa.Table:
         """Equal windows as one."""
-        found = pa.Table.from_batches(held).group_by(["lang", *names], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
-        return pa.RecordBatch.from_arrays([found[c].chunk(0) for c in ("lang", *names, "n_sum")], names=["lang", *names, "n"])
+        return pa.concat_tables(held).group_by(["bucket", *columns], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["bucket", *columns, "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in met(batches):
-            held.append(b)
-            if sum(x.num_rows for x in held) > HELD:
-                held = [added(held)]
-                if held[0].num_rows > HELD // 2:
-                    yield held.pop()
-        if held:
-            yield added(held)
+    def sent(t: pa.Table) -> pa.RecordBatch:
+        """A row for each bucket."""
+        t = t.sort_by("bucket").combine_chunks()
+        bucket = t["bucket"].to_numpy()
+        edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].astype("i4")
+        items = pa.StructArray.from_arrays([t[c].chunk(0) for c in (*columns, "n")], names=[*columns, "n"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.ListArray.from_arrays(pa.array(edges), items)], names=["bucket", "items"])
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of each slice of a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for whole in batches:
             for b in few(whole, "text"):
-                pieces = Pieces(b["text"], b["lang"])
-                total = len(pieces.code)
-                if not total:
-                    continue
-                may = [x for _, _, x in pieces.phrases(longest, shared.value)]
-                pad = len(pieces.words)
-                head = np.where(may[0], pieces.code, pad)
-                key, rows = pieces.lang * (pad + 1) + head, np.arange(total)
-                finished = []  # windows are told apart column by column; those that have ended take no part in the next
-                for k in range(1, longest + 1):
-                    distinct, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                    go = may[k][rows] if k < longest else np.zeros(len(rows), bool)
-                    ended = n - np.bincount(which[go], minlength=len(distinct))
-                    some = np.flatnonzero(ended)
-                    at = rows[first[some]]
-                    columns = [head[at], *(pieces.code[at + j] for j in range(1, k))]
-                    finished.append((pieces.lang[at], columns + [np.full(len(at), pad)] * (longest - k), ended[some]))
-                    rows = rows[go]
-                    if not len(rows):
-                        break
-                    key = which[go] * pad + pieces.code[rows + k]
-                strings = pa.concat_arrays([pieces.words.cast(pa.string()), pa.array([""], pa.string())])
-                lang = pieces.langs.take(pa.array(np.concatenate([x[0] for x in finished])))
-                cells = [strings.take(pa.array(np.concatenate([x[1][j] for x in finished]))) for j in range(longest)]
-                yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), *cells, pa.array(np.concatenate([x[2] for x in finished]))], names=["lang", *names, "n"])
-
-    return df.mapInArrow(run, T.StructType([*(T.StructField(n, T.StringType(), False) for n in ("lang", *names)), T.StructField("n", T.LongType(), False)]))
+                if (t := met(b)) is not None:
+                    held.append(t)
+                if sum(x.num_rows for x in held) > HELD:
+                    held = [added(held)]
+                    if held[0].num_rows > HELD // 2:
+                        yield sent(held.pop())
+        if held:
+            yield sent(added(held))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of one bucket, which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket, size = b["bucket"].to_numpy(), pc.list_value_length(b["items"]).to_numpy()
+            items = pa.Table.from_struct_array(b["items"].flatten())
+            t = items.add_column(0, "bucket", pa.array(np.repeat(bucket, size)))
+            held = [added([*held, t])]
+            last = pc.equal(held[0]["bucket"], int(bucket[-1]))
+            yield from held[0].filter(pc.invert(last)).drop(["bucket"]).to_batches()
+            held = [held[0].filter(last)]
+        if held:
+            yield from held[0].drop(["bucket"]).to_batches()
+
+    item = ", ".join(f"{c}:string" for c in columns) + ", n:bigint"
+    parts = df.mapInArrow(run, f"bucket int, items array<struct<{item}>>").repartition("bucket").sortWithinPartitions("bucket")
+    return parts.mapInArrow(add_up, ", ".join(f"{c} string" for c in columns) + ", n long")
 
 
 def phrase_counts(df: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, size, phrase, words and f of all phrases of 1 to `longest` words that occur `least` times or more in texts of a language, and the number of
     all its words as the phrase of size 0. df has text and lang; stored."""
     names = [f"w{k + 1}" for k in range(longest)]
-    met = windows(df, tables_of(df, least, longest)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    met = windows(df, tables_of(df, least, longest))
     columns = ", ".join(names)
     rolled = df.sparkSession.sql(f"select lang, {columns}, sum(n) as f, {longest} - bit_count(grouping_id()) as size from {{met}} group by lang, rollup({columns})", met=met)
     last = F.element_at(F.array(F.lit("-"), *names), (F.col("size") + 1).cast("int"))  # padding ends a phrase before this
