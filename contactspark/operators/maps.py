@@ -19,6 +19,13 @@ def coarsen(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.withColumns({"bin1": F.expr(f"bin1 div {factor}"), "bin2": F.expr(f"bin2 div {factor}")}).groupBy("sample", *CELL).agg(F.sum("count").alias("count"))
 
 
+def coarsen_all(pixels: DataFrame, factors: list[int]) -> DataFrame:
+    """coarsen for each factor, with the factor as a column, from one scan; a cell is summed up for each of them before the shuffle."""
+    levels = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.expr(f"bin1 div {f}").alias("bin1"), F.expr(f"bin2 div {f}").alias("bin2")) for f in factors)))
+    each = pixels.select("sample", "chrom1_idx", "chrom2_idx", "count", levels.alias("at")).select("sample", "chrom1_idx", "chrom2_idx", "count", "at.*")
+    return each.groupBy("factor", "sample", *CELL).agg(F.sum("count").alias("count"))
+
+
 def check_resolutions(pixels: DataFrame, required: list[int]) -> None:
     """Raises ValueError if a required resolution has no pixel."""
     if missing := sorted(r["resolution"] for r in available_resolutions(pixels, required).where("not available").collect()):

@@ -11,7 +11,7 @@ from .fixtures import cells, chromsizes, duckdb_sql, pixels, view
 from .functions import coords, values
 from .functions.common import floor_div, scratch
 from .operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
-from .sources import readers, writers
+from .sources import readers, store, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,6 +99,20 @@ def src8_read_fasta_lengths(spark, sf):
     return readers.read_fasta_lengths(spark, path)
 
 
+@query(" union all ".join(f"select {f} as factor, sample, chrom1_idx, bin1 // {f} as bin1, chrom2_idx, bin2 // {f} as bin2, sum(count)::bigint as count from fx_pixels_1000 group by all" for f in (5, 10, 50)))
+def src3_coarsen_all(spark, sf):
+    return maps.coarsen_all(pixels(spark, sf, 1000), [5, 10, 50])
+
+
+@query("select chrom1_idx, bin1, chrom2_idx, bin2, t.count as a, k.count as b from (select * from fx_pixels_10000 where sample = 'test') t join (select * from fx_pixels_10000 where sample = 'clean') k using (chrom1_idx, bin1, chrom2_idx, bin2)")
+def snk1_map_store(spark, sf):
+    """Maps written by buckets of cells, and the samples paired from there."""
+    path = scratch(spark, "map-store")
+    name = path.rpartition("/")[2].replace("-", "_")
+    store.write_map_store(pixels(spark, sf, 10000), name, path, 8)
+    return maps.pair_samples(spark.read.table(name))
+
+
 @query("select distinct chrom1_idx, bin1 as x from fx_pixels_50000 where sample = 'test'")
 def snk1_stage(spark, sf):
     path = scratch(spark, "stages")
@@ -920,15 +934,26 @@ def _fixed_weights():
     return scoring.ConvScorer(blocks, [(np.cos(np.arange(64.0)).reshape(1, 64) / 16, np.array([0.2]))])
 
 
-@query()
+def _network_sql() -> str:
+    """The same network in SQL: convolutions at each place of a padded patch, largest values of two by two, and a weighted sum."""
+    at = lambda i, j: f"coalesce(case when r + {i} between 0 and 7 and c + {j} between 0 and 7 then v[(r + {i}) * 8 + c + {j} + 1]::double end, 0)"
+    around = ", ".join(at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+    return f"""select vec_id as patch_id, round(1 / (1 + exp(-(sum(most * cos(b * 32 + o * 16 + k)) / 16 + 0.2))), 6) as score from (
+select vec_id, b, o, (r // 2) * 4 + c // 2 as k, max(greatest(0, s)) as most from (
+select vec_id, b, o, r, c, list_sum(list_transform(range(0, 9), lambda i: near[i + 1] * sin(o * 9 + i + b))) + case o when 0 then 0.1 else -0.1 end as s from (
+select vec_id, r, c, [{around}] as near from (select vec_id, embedding as v, unnest(range(0, 64)) // 8 as r, unnest(range(0, 64)) % 8 as c from embeddings)), range(0, 2) x(b), range(0, 2) y(o))
+group by vec_id, b, o, k) group by vec_id"""
+
+
+@query(_network_sql())
 def ud3_conv_scorer(spark, sf):
-    """Weights go to a file and come back from it, as those of a user do."""
+    """Weights go to a file and come back from it, as those of a user do, and are sent to the executors once."""
     import os
     import tempfile
 
     path = os.path.join(tempfile.mkdtemp(), "weights.npz")
     _fixed_weights().save(path)
-    return scoring.score_patches(patches(spark, sf), scoring.ConvScorer.load(path), SIZE).select("patch_id", F.round("score", 6).alias("score"))
+    return scoring.score_patches(patches(spark, sf), scoring.ConvScorer.load(path).shared(spark), SIZE).select("patch_id", F.round("score", 6).alias("score"))
 
 
 @query()

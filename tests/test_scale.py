@@ -4,13 +4,14 @@ import random
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from contactspark.functions import coords, ranges
-from contactspark.operators import blocks, calls, cluster, evaluate, expected, scoring
+from contactspark.operators import blocks, calls, cluster, evaluate, expected, maps, scoring
 from contactspark.plans import jobs
-from contactspark.sources import readers
+from contactspark.sources import readers, store
 
 POINT = "chrom1_idx int, chrom2_idx int, x long, y long"
 CELLS = "chrom1_idx int, bin1 long, chrom2_idx int, bin2 long, value double"
@@ -71,7 +72,7 @@ def test_tiles_leave_only_cells_near_windows(spark):
     wanted = {(min(a, b), max(a, b)) for _, a, _, b, _ in rows for x, y in ((100, 200), (3000, 10)) for a, b in ((a, b), (b, a)) if x <= a < x + 50 and y <= b < y + 50 and (min(a, b), max(a, b)) in {(p, q) for _, p, _, q, _ in rows}}
     assert wanted <= kept and len(kept) < 50
     assert len(blocks.touched(cells, corners, 50, most=1).collect()) == 5000  # too many tiles to broadcast: all stay
-    pairs = jobs.maps.pair_samples(blocks.near(cells.withColumns({"sample": F.lit("test"), "count": F.lit(1)}), corners, 50))
+    pairs = maps.pair_samples(blocks.near(cells.withColumns({"sample": F.lit("test"), "count": F.lit(1)}), corners, 50))
     shuffled = plan_of(pairs).split("Exchange hashpartitioning")
     assert all("BroadcastHashJoin" in part and "LeftSemi" in part for part in shuffled[1:])  # the tiles are met below every shuffle
 
@@ -301,3 +302,77 @@ def test_one_to_one_is_a_largest_matching(spark, tol):
         assert sum(x["found_x"] for x in rows) == largest_matching([x for _, x, _ in r], first, tol)
         assert sum(x["found_y"] for x in rows) == largest_matching([y for _, _, y in r], second, tol)
         assert evaluate.call_scores(got, answers).first()["recall"] <= 1
+
+
+# --- networks
+
+
+def test_network_of_full_size_is_broadcast_once(spark):
+    """Ten blocks over 48 bins, 23,040 x 1,024 x 256 x 1 dense weights, in single precision, against double precision and, for some places, loops."""
+    rng = np.random.default_rng(10)
+    conv = lambda o, c: ("conv", rng.normal(size=(o, c, 3, 3)) / np.sqrt(9 * c), rng.normal(size=o) / 10)
+    norm = lambda o: ("norm", 1 + rng.normal(size=o) / 10, rng.normal(size=o) / 10)
+    blocks_ = [[layer for o, c in ((16, 1), (32, 16), (64, 32)) for layer in (conv(o, c), norm(o), ("relu",), ("pool",))] for _ in range(10)]
+    sizes = (23_040, 1024, 256, 1)
+    dense = [(rng.normal(size=(b, a)).astype("f4") / np.sqrt(a), np.zeros(b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+    single = scoring.ConvScorer(blocks_, dense, "f4")
+    assert 90e6 < single.nbytes < 110e6
+    x = rng.normal(size=(6, 48, 48))
+    double = scoring.ConvScorer(blocks_, dense)
+    want = double(x)
+    assert np.allclose(single(x), want, atol=1e-5) and np.ptp(want) > 1e-4
+    y, (_, w, b) = double.layer(x[:2, None], *double.blocks[3][0]), double.blocks[3][0]
+    p = np.pad(x[:2], ((0, 0), (1, 1), (1, 1)))
+    for n, o, i, j in ((0, 0, 0, 0), (1, 5, 47, 3), (0, 15, 20, 47)):
+        assert y[n, o, i, j] == pytest.approx(sum(p[n, i + u, j + v] * w[o, 0, u, v] for u in range(3) for v in range(3)) + b[o])
+    shared = single.shared(spark)
+    df = spark.createDataFrame([(k, r.reshape(-1).tolist()) for k, r in enumerate(x)], "k long, values array<double>").repartition(3)
+    for _ in range(2):  # two jobs, one broadcast
+        got = {r["k"]: r["score"] for r in scoring.score_patches(df, shared, 48).collect()}
+        assert np.allclose([got[k] for k in range(6)], want, atol=1e-5)
+    assert shared.held.value.nbytes == single.nbytes
+
+
+# --- the map store
+
+
+def test_store_pairs_without_a_shuffle_and_reads_few_row_groups(spark, tmp_path):
+    rng = random.Random(12)
+    cells = {(s, rng.randrange(2), a, a + rng.randrange(300)) for s in ("test", "clean") for a in range(4000) for _ in range(6)}
+    rows = [(s, c, a, c, b, 1 + (a + b) % 7) for s, c, a, b in cells]
+    pixels = spark.createDataFrame(rows, "sample string, chrom1_idx int, bin1 long, chrom2_idx int, bin2 long, count long")
+    store.write_map_store(pixels, "map_store_test", str(tmp_path / "store"), 4, **{"parquet.block.size": 8192, "parquet.page.size": 1024})
+    try:
+        table = spark.read.table("map_store_test")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pairs = maps.pair_samples(table)
+        assert "Exchange" not in plan_of(pairs)
+        assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, maps.pair_samples(pixels).collect()))
+        corners = spark.createDataFrame([(0, 0, 1000, 1100), (1, 1, 3050, 3000)], POINT)
+        found = store.read_near(spark, "map_store_test", corners, 48)
+        got = {(r["sample"], r["chrom1_idx"], r["bin1"], r["bin2"]) for r in found.collect()}
+        wanted = {(s, c, a, b) for s, c, a, b in cells if any(c == k and x <= p < x + 48 and y <= q < y + 48 for k, x, y in ((0, 1000, 1100), (1, 3050, 3000)) for p, q in ((a, b), (b, a)))}
+        assert wanted and wanted <= got and len(got) < len(cells) / 10
+        assert "PushedFilters" in plan_of(found) and "In(tile_at" in plan_of(found)
+        groups = read = 0  # row groups whose range of tiles meets one that is asked for
+        asked = [r["tile_at"] for r in found.select("tile_at").distinct().collect()]
+        for f in (tmp_path / "store").rglob("*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            at = next(k for k in range(meta.num_columns) if meta.schema.column(k).name == "tile_at")
+            for k in range(meta.num_row_groups):
+                stats = meta.row_group(k).column(at).statistics
+                groups += 1
+                read += any(stats.min <= t <= stats.max for t in asked)
+        assert groups >= 32 and read <= groups / 2, (groups, read)
+        many = spark.range(3000).select(F.lit(0).alias("chrom1_idx"), F.lit(0).alias("chrom2_idx"), (F.col("id") * 200).alias("x"), (F.col("id") * 200).alias("y"))
+        whole = store.read_near(spark, "map_store_test", many, 48)
+        assert whole.count() >= sum(c == 0 for _, c, _, _ in cells)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table if exists map_store_test")
+
+
+def test_z_order(spark):
+    pairs = [(random.Random(i).randrange(1 << 31), random.Random(-i).randrange(1 << 31)) for i in range(1, 60)] + [(0, 0), (1, 0), (0, 1)]
+    for r in spark.createDataFrame(pairs, "a long, b long").withColumn("z", store.z_order(F.col("a"), F.col("b"))).collect():
+        assert r["z"] == sum((r["a"] >> k & 1) << 2 * k | (r["b"] >> k & 1) << 2 * k + 1 for k in range(31))
