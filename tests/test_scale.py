@@ -354,15 +354,16 @@ def test_store_pairs_without_a_shuffle_and_reads_few_row_groups(spark, tmp_path)
         wanted = {(s, c, a, b) for s, c, a, b in cells if any(c == k and x <= p < x + 48 and y <= q < y + 48 for k, x, y in ((0, 1000, 1100), (1, 3050, 3000)) for p, q in ((a, b), (b, a)))}
         assert wanted and wanted <= got and len(got) < len(cells) / 10
         assert "PushedFilters" in plan_of(found) and "In(tile_at" in plan_of(found)
-        groups = read = 0  # row groups whose range of tiles meets one that is asked for
-        asked = [r["tile_at"] for r in found.select("tile_at").distinct().collect()]
+        one = store.read_near(spark, "map_store_test", corners.where("x = 1000"), 48)
+        asked = [(r["chrom1_idx"], r["tile_at"]) for r in one.select("chrom1_idx", "tile_at").distinct().collect()]
+        groups = read = 0  # row groups whose ranges meet what is asked for
         for f in (tmp_path / "store").rglob("*.parquet"):
             meta = pq.ParquetFile(f).metadata
-            at = next(k for k in range(meta.num_columns) if meta.schema.column(k).name == "tile_at")
+            at = {meta.schema.column(k).name: k for k in range(meta.num_columns)}
             for k in range(meta.num_row_groups):
-                stats = meta.row_group(k).column(at).statistics
+                chrom, tile = (meta.row_group(k).column(at[c]).statistics for c in ("chrom1_idx", "tile_at"))
                 groups += 1
-                read += any(stats.min <= t <= stats.max for t in asked)
+                read += any(chrom.min <= c <= chrom.max and tile.min <= t <= tile.max for c, t in asked)
         assert groups >= 32 and read <= groups / 2, (groups, read)
         many = spark.range(3000).select(F.lit(0).alias("chrom1_idx"), F.lit(0).alias("chrom2_idx"), (F.col("id") * 200).alias("x"), (F.col("id") * 200).alias("y"))
         whole = store.read_near(spark, "map_store_test", many, 48)
