@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,9 +31,34 @@ def floor_div(a: Column, b: int | Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of whichever store Spark can reach."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Scratch folders that are there.
+_made: list[str] = []
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which goes when the program ends, as nothing can read it any more then."""
+    if not _made:
+        atexit.register(_remove_made, spark)
+    _made.append(path)
+    return path
+
+
+def _remove_made(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # Spark may have been stopped; its folder goes with it, or is the user's to clear
+        remove(spark, _made)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a temporary one for local runs, else an error."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir), removed at the program's end. Where that is unset, a temporary one for local
+    runs, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='maps-')}/{name}-{uuid.uuid4().hex}"
+    return remove_at_exit(spark, f"{base or tempfile.mkdtemp(prefix='maps-')}/{name}-{uuid.uuid4().hex}")
