@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import remove, remove_at_exit
+
 #: ASCII white space, which separates words, as a character list and as a regular expression.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_REGEX = r"[\x20\x09-\x0D]+"
@@ -56,17 +58,10 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         remove(spark, _written.pop())
 
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes folders of whichever store Spark can reach."""
-    jvm = spark._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as parquet and read again: columnar, so smaller than a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder as parquet and read again: columnar, so smaller than a checkpoint. It goes with the scratch() block
+    around, or at the program's end."""
+    path = remove_at_exit(df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     for paths in _written[-1:]:
         paths.append(path)
