@@ -29,6 +29,8 @@ WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 CACHE_ENTRIES = 600_000
+#: Symbols of a piece from which on they and their links are kept in arrays.
+LONG = 4096
 #: New pieces that the library encodes as one text.
 TOGETHER = 500
 
@@ -81,29 +83,41 @@ class WordBpe:
     def merged(self, piece: str) -> list[int]:
         """The ids of one piece: the lowest rank merges first, the leftmost of equals first."""
         raw = piece.encode()
-        ids = array("i", [self.byte_ids[b] for b in raw[:-1]])
+        ids = [self.byte_ids[b] for b in raw[:-1]]
         ids.append(self.last_ids[raw[-1]])
         ranks, n = self.ranks, len(ids)
         if n == 1:
-            return list(ids)
-        before, after = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
-        queue = [r[0] * n + i for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]  # rank and place in one number
+            return ids
+        before, after = range(-1, n - 1), range(1, n + 1)
+        if n > LONG:  # four bytes a link instead of a list's forty
+            ids, before, after = array("i", ids), array("i", before), array("i", after)
+        else:
+            before, after = [*before], [*after]
+        queue = []  # rank and place in one number
+        for i in range(n - 1):
+            if r := ranks.get((ids[i], ids[i + 1])):
+                queue.append(r[0] * n + i)
         heapq.heapify(queue)
+        pop, push, look = heapq.heappop, heapq.heappush, ranks.get
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
+            top = pop(queue)
+            i = top % n
             j = after[i]
-            pair = ranks.get((ids[i], ids[j])) if j < n else None
-            if ids[i] < 0 or pair is None or pair[0] != rank:
+            if j >= n:
+                continue
+            pair = look((ids[i], ids[j]))
+            if pair is None or pair[0] != top // n:
                 continue  # stale: one of the two has merged since
             new = pair[1]
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := ranks.get((new, ids[k])):
-                    heapq.heappush(queue, r[0] * n + i)
-            if (h := before[i]) >= 0 and (r := ranks.get((ids[h], new))):
-                heapq.heappush(queue, r[0] * n + h)
+                if r := look((new, ids[k])):
+                    push(queue, r[0] * n + i)
+            h = before[i]
+            if h >= 0 and (r := look((ids[h], new))):
+                push(queue, r[0] * n + h)
         return [x for x in ids if x >= 0]
 
     @cached_property
