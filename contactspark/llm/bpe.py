@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Symbols of a piece from which on they and their links are kept in arrays.
 LONG = 4096
 #: New pieces that the library encodes as one text.
@@ -61,7 +61,7 @@ class WordBpe:
         self.last_ids = [self.vocab[c + self.end] for c in alphabet]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.most = CACHE_ENTRIES if merge == "library" else CACHE_ENTRIES // 2  # the decoder's worker needs room, too
+        self.most = CACHE_ENTRIES
 
     @cached_property
     def ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
