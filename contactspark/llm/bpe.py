@@ -1,10 +1,11 @@
 """Byte-pair encoding and decoding of whole texts with a public vocabulary file.
 
-A text is cut at white space first: no merge and no match of the vocabulary's own pattern crosses
-it, so a chunk's ids do not depend on its neighbours. Chunks repeat, so each task keeps the ids of
-the chunks it has met (a bounded cache, which only saves time). New chunks are normalised, split
-by the vocabulary's pattern and merged with a priority queue of merge ranks over a doubly linked
-list of symbols; entries whose symbols have merged in the meantime are stale and skipped.
+A text is cut at ASCII white space first: no merge and no match of the vocabulary's own pattern
+crosses it, so a chunk's ids do not depend on its neighbours. Chunks repeat, so each batch encodes
+its distinct ones, and each task keeps the ids of chunks and pieces it has met (bounded caches, which
+only save time). New chunks are normalised, split by the vocabulary's pattern and merged with a
+priority queue of merge ranks over a doubly linked list of symbols; entries whose symbols have merged
+in the meantime are stale and skipped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -24,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: White space as the vocabulary's patterns mean it (the Unicode property). str.split() also cuts at \x1c-\x1f.
-WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+from .tokens import cut_words
 
-CACHE_ENTRIES = 300_000
+#: Chunks, and pieces, whose ids a coder keeps, and the bytes that each of them has at most.
+CACHE_ENTRIES = 500_000
+CACHE_BYTES = 64
 #: Symbols of a piece from which on they and their links are kept in arrays.
 LONG = 4096
 #: New pieces that the library encodes as one text.
@@ -43,6 +44,46 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else next(moved) for b in range(256)]
 
 
+def edges(sizes: np.ndarray | list[int]) -> np.ndarray:
+    """Where rows of these sizes, one after the other, begin and end."""
+    out = np.zeros(len(sizes) + 1, "i8")
+    np.cumsum(sizes, out=out[1:])
+    return out
+
+
+def taken(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of many rows of ids: the ids one after the other, and how many each row has."""
+    n = sizes[which]
+    to = edges(n)
+    return ids[np.repeat(edges(sizes)[which] - to[:-1], n) + np.arange(to[-1])], n
+
+
+class Kept:
+    """The ids of strings that were met, in arrays. It takes what comes first, which is what is frequent, and then stays as it is."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.strings, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, "i8")
+
+    def encode(self, strings: pa.Array, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings, one after the other, and how many each has. make does the same for distinct strings that are not kept."""
+        coded = strings.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.strings)
+        unknown = place.is_null()
+        at = place.fill_null(0).to_numpy().astype("i8")
+        ids, sizes = self.ids, self.sizes
+        if len(new := coded.dictionary.filter(unknown)):
+            at[unknown.to_numpy(zero_copy_only=False)] = len(sizes) + np.arange(len(new))
+            made, n = make(new)
+            ids, sizes = np.concatenate([ids, made]), np.concatenate([sizes, n])
+            short = np.flatnonzero(pc.binary_length(new).to_numpy() <= CACHE_BYTES)[: self.most - len(self.sizes)]
+            if len(short):
+                self.strings = pa.concat_arrays([self.strings, new.take(pa.array(short))])
+                made, n = taken(made, n, short)
+                self.ids, self.sizes = np.concatenate([self.ids, made]), np.concatenate([self.sizes, n])
+        return taken(ids, sizes, at[coded.indices.to_numpy()])
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the kind "BPE with word ends"."""
 
@@ -54,14 +95,12 @@ class WordBpe:
         self.end: str = spec["model"]["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.splitter = regex.compile(f"{split['pattern']['Regex']}|\n")
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         alphabet = byte_alphabet()
         self.byte_ids = [self.vocab[c] for c in alphabet]
         self.last_ids = [self.vocab[c + self.end] for c in alphabet]
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.most = CACHE_ENTRIES
+        self.chunks, self.pieces = Kept(CACHE_ENTRIES), Kept(CACHE_ENTRIES)
 
     @cached_property
     def ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
@@ -129,55 +168,54 @@ class WordBpe:
 
         return Tokenizer.from_str(self.file_text)
 
-    def pieces_of(self, chunk: str) -> list[str]:
-        """A chunk normalised (composed, lower case letter by letter) and split by the vocabulary's pattern."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        chunk = chunk.lower()
-        return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
-
     @cached_property
     def ends(self) -> np.ndarray:
         """Which ids end a piece."""
         return np.array([bool(self.end) and x.endswith(self.end) for x in self.strings], bool)
 
-    def ids_of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        if self.merge != "library":
-            return {p: array("I", self.merged(p)).tobytes() for p in pieces}
-        out = {}
-        parts = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
-        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):  # every piece ends with an id of its own, and no other id does
-                raw, stops = ids.tobytes(), (4 * stops).tolist()
-                out |= {p: raw[s:e] for p, s, e in zip(part, [0, *stops[:-1]], stops, strict=True)}
-            else:  # a piece that spells a special token stands for itself
-                out |= {p: array("I", self.merged(p)).tobytes() for p in part}
-        return out
+    def ids_of_pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces, one after the other, and how many each has."""
+        pieces, ids, sizes = new.to_pylist(), array("I"), []
 
-    def ids_of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of new chunks. Caches take what comes first, which is what is frequent, and then stay as they are."""
-        split = [(c, self.pieces_of(c)) for c in chunks]
-        known = self.pieces
-        found = self.ids_of_pieces(list({p for _, ps in split for p in ps if p not in known}))
-        if len(known) < self.most // 2:
-            known.update(found)
-            found = known
-        look = lambda p: found[p] if p in found else known[p]
-        return {c: look(ps[0]) if len(ps) == 1 else b"".join([look(p) for p in ps]) for c, ps in split}
+        def merge(some: list[str]) -> None:
+            for p in some:
+                found = self.merged(p)
+                ids.extend(found)
+                sizes.append(len(found))
+
+        if self.merge != "library":
+            merge(pieces)
+        else:
+            parts = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+            joined = [" ".join(p) for p in parts]
+            for part, text, e in zip(parts, joined, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                found = np.array(e.ids, "<u4")
+                stops = np.flatnonzero(self.ends[found]) + 1
+                if len(stops) == len(part) and unicodedata.is_normalized("NFC", text):  # every piece ends with an id of its own, and no other id does
+                    ids.frombytes(found.tobytes())
+                    sizes += np.diff(stops, prepend=0).tolist()
+                else:  # a piece that spells a special token stands for itself, and marks after a letter of two characters in lower case keep their order
+                    merge(part)
+        return np.array(ids, "<u4"), np.array(sizes, "i8")
+
+    def ids_of_chunks(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of new chunks, which are normalised (composed, lower case letter by letter) and split by the vocabulary's pattern."""
+        text = "\n".join(new.to_pylist())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        found = pa.array(self.splitter.findall(text.lower()), pa.string())  # with the ends of lines between the chunks
+        ends = pc.equal(found, "\n")
+        at = np.flatnonzero(ends.to_numpy(zero_copy_only=False))
+        ids, sizes = self.pieces.encode(found.filter(pc.invert(ends)), self.ids_of_pieces)
+        return ids, np.diff(edges(sizes)[[0, *(at - np.arange(len(at))), len(sizes)]])
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Texts without special tokens to little-endian 32-bit ids."""
-        cut = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        known = self.chunks
-        new = set().union(*cut) - known.keys()
-        if new:
-            found = self.ids_of_chunks(new)
-            if len(known) >= self.most:
-                return [b"".join([known[c] if c in known else found[c] for c in cs]) for cs in cut]
-            known.update(found)
-        return [b"".join(map(known.__getitem__, cs)) for cs in cut]
+        chunks, owner, _ = cut_words(pa.array(texts, pa.string()))
+        ids, sizes = self.chunks.encode(chunks, self.ids_of_chunks)
+        ends = (4 * edges(sizes)[np.searchsorted(owner, np.arange(len(texts) + 1))]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Texts to little-endian 32-bit ids; special tokens inside a text are cut out before anything else."""

@@ -28,6 +28,9 @@ IDS_PER_PARTITION = 1 << 40
 #: Tokens that are gathered before they are packed.
 GATHER = 2_000_000
 
+#: Bytes of text that are encoded at once; a slice looks each of its distinct chunks up once.
+SLICE = 8_000_000
+
 SCHEMA = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
 
 
@@ -94,7 +97,7 @@ def pack_documents(
 
         for whole in batches:
             kind = whole.schema.field(key).type
-            for b in few(whole, text):
+            for b in few(whole, text, SLICE):
                 for k, ids in zip(b[key].to_pylist(), bpe.encode(b[text].to_pylist()), strict=True):
                     ids += end
                     held.append((k, ids, 0, len(ids) // 4))

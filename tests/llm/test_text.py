@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -93,6 +94,34 @@ def test_both_ways_to_merge_and_full_caches(library, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+@pytest.mark.parametrize("merge", ["queue", "library"])
+def test_what_was_met_is_not_merged_again(library, monkeypatch, merge):
+    """Many chunks of few words: all words are kept, and so are all chunks for which there is room."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 1000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshré") for _ in range(9)) for _ in range(800)]
+    texts = [" ".join(w + end for w in words) for end in ("", ",", ".", "###")]
+    coder = bpe.WordBpe(bpe.read_vocabulary(queries.WORD_BPE), merge)
+    new, make = [], coder.ids_of_pieces
+    monkeypatch.setattr(coder, "ids_of_pieces", lambda pieces: new.append(len(pieces)) or make(pieces))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in coder.encode([t])] == want
+    assert sum(new) == 803
+
+
+def test_white_space_and_odd_letters_are_the_librarys(library):
+    odd = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc", "Cf"))]
+    rng = random.Random(4)
+    texts = [f"ab{c}Cd {c}{c} e{c}'s1{c}" for c in odd] + ["".join(rng.choice("aÉe\u0301ß'Ssσ ΣİH\u0331̈1٣½\n\u3000\x85,#") for _ in range(60)) for _ in range(500)] + ["", " ", "\n", "x" * 200, "y" * 200 + "!"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for merge in ("queue", "library"):
+        coder = bpe.WordBpe(bpe.read_vocabulary(queries.WORD_BPE), merge)
+        for n in (1, 50):
+            assert [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), n) for x in coder.encode(texts[i : i + n])] == want
+        assert [len(x) for x in coder.encode([])] == []
+
+
 def test_packing(spark, awkward, library):
     import zlib
 
