@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import coder, few, read_vocabulary
+from .common import giving_back
 
 #: Sequences of one task get consecutive ids from its partition's number times this on.
 IDS_PER_PARTITION = 1 << 40
@@ -74,6 +75,7 @@ def pack_documents(
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
     end = np.array([end_id], "<u4").tobytes()
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(shared.value, "library")
         first = TaskContext.get().partitionId() * IDS_PER_PARTITION

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import few
-from .common import stored
+from .common import giving_back, stored
 from .components import components
 
 SEGMENTS = 32
@@ -59,6 +59,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key and fp, the fingerprint as a signed long."""
     schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType(), False)])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in few(whole, text):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import few
-from .common import numbered, stored
+from .common import giving_back, numbered, stored
 
 SPAN = 100
 ANCHOR = 32
@@ -143,6 +143,7 @@ def anchor_rows(docs: DataFrame, text: str, span: int) -> DataFrame:
         )
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns[:5]] + [pa.array(np.concatenate(columns[5]), pa.int32())], names=["h", "c", "doc", "lo", "hi", "kind"])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for whole in batches:
@@ -279,6 +280,7 @@ def contexts(docs: DataFrame, firsts: DataFrame, text: str, span: int) -> DataFr
     marked = firsts.withColumn("salt", F.pmod(F.xxhash64("doc", "lo"), F.lit(SALTS)).cast("int")).join(stored(crowded, "crowded"), ["h", "salt"], "left")
     lists = marked.groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi", F.coalesce("one", F.lit(False)).alias("one"))).alias("found"))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, tuple[int, int]] = {}
         digest = xxhash.xxh3_128_intdigest
@@ -320,9 +322,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     df = numbered(df, key, "\1row")
     rest = [c for c in df.columns if c not in (*new, "\1row")]
     docs = df.select(F.coalesce("\1row", F.lit(LAST)).alias("doc"), F.col(text).alias("\1text"), *(F.col(c).alias(f"\1c{i}") for i, c in enumerate(rest) if c != text))
-    found = stored(anchor_rows(docs, "\1text", span).mapInArrow(settle_classes, "doc long, lo long, hi long, kind int, h long"), "repeats")
+    found = stored(anchor_rows(docs, "\1text", span).mapInArrow(giving_back(settle_classes), "doc long, lo long, hi long, kind int, h long"), "repeats")
     firsts = contexts(docs, found.where(F.col("kind") == COMPARED), "\1text", span)
-    compared = firsts.repartition("h").sortWithinPartitions("h", "one", "context", "doc", "lo").mapInArrow(lambda b: compare_contexts(b, span), "doc long, lo long, hi long")
+    compared = firsts.repartition("h").sortWithinPartitions("h", "one", "context", "doc", "lo").mapInArrow(giving_back(lambda b: compare_contexts(b, span)), "doc long, lo long, hi long")
     runs = found.where(F.col("kind") == REPEAT).select("doc", "lo", "hi").union(compared)
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
@@ -330,6 +332,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     named = ["\1text" if c == text else f"\1c{i}" for i, c in enumerate(rest)]
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in few(whole, "\1text"):

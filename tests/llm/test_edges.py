@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SF
+from conftest import ROOT, SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -468,3 +470,31 @@ def test_one_long_run_of_letters_is_merged_in_little_memory():
     tracemalloc.stop()
     library = bpe.WordBpe(bpe.read_vocabulary(queries.WORD_BPE)).library.encode(piece, add_special_tokens=False).ids
     assert ids == library and peak < 90 * len(piece)
+
+
+def test_idle_workers_hold_little_memory():
+    """A worker that has encoded many different words, asked by a later job."""
+    program = r"""
+import random, re
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from contactspark.llm import packing, queries
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+rng = random.Random(17)
+texts = [(i, " ".join("".join(rng.choices("etaoinshr", k=9)) for _ in range(800))) for i in range(500)]
+docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+packing.pack_documents(docs, queries.WORD_BPE).write.format("noop").mode("overwrite").save()
+
+def held(batches):
+    from contactspark.llm import bpe
+
+    for b in batches:
+        found = re.findall(r"Pss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read())
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, found)) // 1024]), pa.array([len(bpe._OWN)])], names=["mb", "coders"])
+
+print("HELD", *spark.range(1).coalesce(1).mapInArrow(held, "mb long, coders long").first())
+"""
+    out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300, cwd=ROOT)
+    mb, coders = map(int, re.search(r"HELD (\d+) (\d+)", out.stdout)[0].split()[1:])
+    assert coders == 1 and mb < 170, (mb, coders)
