@@ -46,6 +46,8 @@ FIRST_BLOCKS = 2
 CACHE_ENTRIES = 400_000
 #: A term that at least this share of the examples has keeps a weight for every one of them, as a row of a matrix.
 DENSE_SHARE = 1 / 16
+#: Terms with fewer postings for each of their blocks are scored before blocks are bounded.
+THIN = 3
 #: Texts that are multiplied with that matrix together.
 TOGETHER = 128
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -141,7 +143,7 @@ class BlockMaxIndex:
     """Postings by term and block, with the highest weight of each term in each block where it occurs.
 
     The postings of the most frequent terms are rows of a matrix with a weight for every example; their part of a similarity is
-    known for all examples before blocks are bounded.
+    known for all examples before blocks are bounded, and so is that of terms with so few postings a block that bounds cost as much.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
@@ -169,12 +171,20 @@ class BlockMaxIndex:
         self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * n)  # the cells of term t are those from cells[t] to cells[t + 1]
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.blocks = n
-
-    def scored(self, text: np.ndarray, cells: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
-        """What some cells add to the similarities, texts by places; w: the weight of each cell's term in the text that asks for it."""
-        a, size = self.edges[cells], self.edges[cells + 1] - self.edges[cells]
-        at, n = spans(a, size), len(self.order)
-        return np.bincount(np.repeat(text * n, size) + self.place[at], np.repeat(w, size) * self.weight[at], texts * n).reshape(texts, n)
+        self.thin = self.edges[self.cells[1:]] - self.edges[self.cells[:-1]] < THIN * np.diff(self.cells)
+
+    def score(self, both: np.ndarray, text: np.ndarray, a: np.ndarray, z: np.ndarray, w: np.ndarray, u: np.ndarray) -> None:
+        """Adds what the postings from a to z of some cells give to the similarities and to their shares, texts by places; w, u: the weight, and the share of it, of
+        each cell's term in the text that asks for it."""
+        texts, n = both.shape[1:]
+        size = z - a
+        at = spans(a, size)
+        to, weight = np.repeat(text * n, size), self.weight[at]
+        to += self.place[at]
+        for total, x in zip(both, (w, u), strict=True):
+            x = np.repeat(x, size)
+            x *= weight
+            total += np.bincount(to, x, texts * n).reshape(texts, n)
 
     def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each vector (term ids, weights, and a share of each) the numbers, similarities and shares of them of the k most similar examples with
@@ -195,23 +205,26 @@ class BlockMaxIndex:
         asked = np.zeros((2, texts, len(self.dense)))
         asked[0, text[row >= 0], row[row >= 0]] = w[row >= 0]
         asked[1, text[row >= 0], row[row >= 0]] = u[row >= 0]
-        sims, told = asked[0] @ self.dense, asked[1] @ self.dense
+        both = (asked.reshape(2 * texts, -1) @ self.dense).reshape(2, texts, n)
         text, t, w, u = text[row < 0], t[row < 0], w[row < 0], u[row < 0]
+        thin = self.thin[t]
+        self.score(both, text[thin], self.edges[self.cells[t[thin]]], self.edges[self.cells[t[thin] + 1]], w[thin], u[thin])
+        sims, told = both
+        text, t, w, u = text[~thin], t[~thin], w[~thin], u[~thin]
         size = self.cells[t + 1] - self.cells[t]
         cells, text, w, u = spans(self.cells[t], size), np.repeat(text, size), np.repeat(w, size), np.repeat(u, size)
         block = text * self.blocks + self.block[cells]
         bound = np.maximum.reduceat(sims, np.arange(0, n, BLOCK), axis=1) + np.bincount(block, w * self.most[cells], texts * self.blocks).reshape(texts, -1)
         first = np.zeros_like(bound, bool)
         np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        begin, end = self.edges[cells], self.edges[cells + 1]
         pick = first.reshape(-1)[block]
-        sims += self.scored(text[pick], cells[pick], w[pick], texts)
+        self.score(both, text[pick], begin[pick], end[pick], w[pick], u[pick])
         short = min(k + 1, n)  # one more, for the one left out
         kth = np.partition(sims, n - short, axis=1)[:, n - short] if n > k else np.zeros(texts)  # of sums that may lack something
         rest = ~first & (bound + 1e-9 >= np.maximum(kth, 1e-9)[:, None])
         pick = rest.reshape(-1)[block]
-        sims += self.scored(text[pick], cells[pick], w[pick], texts)
-        pick = u > 1e-9
-        told += self.scored(text[pick], cells[pick], u[pick], texts)
+        self.score(both, text[pick], begin[pick], end[pick], w[pick], u[pick])  # the nearest stand in blocks that are scored, so their shares are whole
         kth = np.partition(sims, n - short, axis=1)[:, n - short]
         at, place = np.nonzero((sims > 1e-12) & (sims >= kth[:, None] - 1e-9))
         for j, (a, z) in enumerate(itertools.pairwise(np.searchsorted(at, np.arange(texts + 1)).tolist())):

@@ -498,3 +498,29 @@ print("HELD", *spark.range(1).coalesce(1).mapInArrow(held, "mb long, coders long
     out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300, cwd=ROOT)
     mb, coders = map(int, re.search(r"HELD (\d+) (\d+)", out.stdout)[0].split()[1:])
     assert coders == 1 and mb < 170, (mb, coders)
+
+
+def test_postings_are_walked_once(monkeypatch):
+    """The similarity and the share of it that tells come from one walk; both against plain sums."""
+    rng, terms = np.random.default_rng(19), 3000
+
+    def vector():
+        t = np.unique(np.minimum(rng.zipf(1.3, 60), terms) - 1)
+        return t, rng.random(len(t)), rng.random(len(t))
+
+    examples, texts = [vector()[:2] for _ in range(600)], [vector() for _ in range(40)]
+    index = toxicity.BlockMaxIndex(examples, terms)
+    plain = np.zeros((600, terms))
+    for i, (t, w) in enumerate(examples):
+        plain[i, t] = w
+    walked, spans = [], toxicity.spans
+    monkeypatch.setattr(toxicity, "spans", lambda a, size: walked.append(size.sum()) or spans(a, size))
+    found = list(index.all_nearest(texts, 20))
+    asked = np.concatenate([t for t, _, _ in texts])
+    asked = asked[index.row[asked] < 0]
+    cells = index.cells[asked + 1] - index.cells[asked]
+    postings = index.edges[index.cells[asked + 1]] - index.edges[index.cells[asked]]
+    assert sum(walked) <= cells.sum() + postings.sum()
+    for (t, w, share), (number, similarity, told) in zip(texts, found, strict=True):
+        want = plain[:, t] @ w
+        assert np.allclose(similarity, np.sort(want[want > 0])[::-1][:20]) and np.allclose(similarity, want[number]) and np.allclose(told, plain[number][:, t] @ (w * share))
