@@ -1,5 +1,6 @@
 """Operators on hand-made maps against dense NumPy, and properties."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -358,3 +359,12 @@ def test_chains_over_ranges(spark):
                 greedy.append((k, x))
                 last = x
     assert kept == greedy
+
+
+def test_recentre_takes_ties_as_sql_does(spark):
+    """22 against 11 is a doubling: the difference of the two logarithms as the C library has them, not as Java has."""
+    pairs = [(2 * n, n) for n in range(8, 128)]
+    rows = [(k, dx, dx, float(v)) for k, (most, mid) in enumerate(pairs) for dx, v in ((1, most), (4, mid))]
+    got = {r["k"]: r["move_x"] for r in cluster.recentre(spark.createDataFrame(rows, "k int, dx int, dy int, value double"), 8, ["k"]).collect()}
+    want = duckdb.connect().execute(f"select {', '.join(f'log2({a}::double) - log2({b}::double) > floor(log2({a}::double) / 4)' for a, b in pairs)}").fetchone()
+    assert [got[k] == -3 for k in range(len(pairs))] == list(want)
