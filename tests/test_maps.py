@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from contactspark import queries as map_queries
 from contactspark.functions import coords, values
 from contactspark.operators import calls, cluster, evaluate, expected, maps, normalize, sampling, scoring, windows
 from contactspark.plans import jobs
@@ -368,3 +369,22 @@ def test_recentre_takes_ties_as_sql_does(spark):
     got = {r["k"]: r["move_x"] for r in cluster.recentre(spark.createDataFrame(rows, "k int, dx int, dy int, value double"), 8, ["k"]).collect()}
     want = duckdb.connect().execute(f"select {', '.join(f'log2({a}::double) - log2({b}::double) > floor(log2({a}::double) / 4)' for a, b in pairs)}").fetchone()
     assert [got[k] == -3 for k in range(len(pairs))] == list(want)
+
+
+def test_zeros_keep_their_sign_as_in_sql(spark, monkeypatch):
+    """Numbers that round to zero: the queries' own rounding of arrays against DuckDB's."""
+    rows = [(k, [[-1e-9, 1e-9, -0.3, 0.0][(k // 4 + i) % 4] for i in range(64)]) for k in range(8)]
+    df = spark.createDataFrame(rows, "patch_id long, values array<double>")
+    monkeypatch.setattr(map_queries, "patches", lambda *_: df)
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    for name in NAMES_OF_ARRAYS:
+        want = con.execute(f"select {name[1]} from ({name[2]}) order by patch_id").fetchall()
+        got = map_queries.QUERIES[name[0]](None, None).orderBy("patch_id").select(name[1]).collect()
+        assert any(str(x) == "-0.0" for r in want for x in r[0])
+        assert [[str(x) for x in r[0]] for r in got] == [[str(x) for x in r[0]] for r in want]
+
+
+#: Name, column and the SQL without its views, which need tables that these queries do not.
+NAMES_OF_ARRAYS = [(n, c, map_queries.SQL[n].rpartition("\nselect")[1].strip() + map_queries.SQL[n].rpartition("\nselect")[2]) for n, c in (("ag17_ensemble_average", "scores"),)]
