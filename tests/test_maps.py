@@ -387,4 +387,4 @@ def test_zeros_keep_their_sign_as_in_sql(spark, monkeypatch):
 
 
 #: Name, column and the SQL without its views, which need tables that these queries do not.
-NAMES_OF_ARRAYS = [(n, c, map_queries.SQL[n].rpartition("\nselect")[1].strip() + map_queries.SQL[n].rpartition("\nselect")[2]) for n, c in (("ag17_ensemble_average", "scores"),)]
+NAMES_OF_ARRAYS = [(n, c, map_queries.SQL[n].rpartition("\nselect")[1].strip() + map_queries.SQL[n].rpartition("\nselect")[2]) for n, c in (("ag17_ensemble_average", "scores"), ("pa11_gaussian_blur3", "blurred"))]
