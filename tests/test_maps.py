@@ -1,5 +1,7 @@
 """Operators on hand-made maps against dense NumPy, and properties."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -388,3 +390,13 @@ def test_zeros_keep_their_sign_as_in_sql(spark, monkeypatch):
 
 #: Name, column and the SQL without its views, which need tables that these queries do not.
 NAMES_OF_ARRAYS = [(n, c, map_queries.SQL[n].rpartition("\nselect")[1].strip() + map_queries.SQL[n].rpartition("\nselect")[2]) for n, c in (("ag17_ensemble_average", "scores"), ("pa11_gaussian_blur3", "blurred"))]
+
+
+def test_places_of_rows_that_come_in_any_order(spark, request):
+    """Rows that come in another order each time they are read, as after a shuffle; so the bounds of ranges fall elsewhere each time."""
+    df = spark.range(20_000, numPartitions=4).select(F.lit(0).alias("chrom1_idx"), F.lit(0).alias("chrom2_idx"), F.xxhash64("id").alias("x"), F.col("id").alias("y"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so short a table is one range
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    out = cluster.order_detections(df.mapInPandas(lambda frames: (f.sample(frac=1, random_state=int.from_bytes(os.urandom(4))) for f in frames), df.schema))
+    for _ in range(2):
+        assert tuple(out.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first()) == (20_000, 0, 19_999)
