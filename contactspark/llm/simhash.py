@@ -80,19 +80,22 @@ def grid_points(fp: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fingerprints that connect all within MAX_BITS; fps has distinct fp."""
+    """Pairs (a, b) of fingerprints that connect all within MAX_BITS; fps has distinct fp.
+
+    Joins are hinted: Spark takes a table for as short as it was before an explode, and would broadcast it.
+    """
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # a short table that is about to grow
     cells = spread.select("fp", F.explode(grid_points(F.col("fp"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(cells.join(sizes, "cell"), "simhash-cells")
+    met = stored(cells.join(sizes.hint("merge"), "cell"), "simhash-cells")
     left, right = met.where(F.col("n") <= CROWDED).alias("x"), met.where(F.col("n") <= CROWDED).alias("y")
     close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS
-    pairs = left.join(right, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = left.join(right.hint("merge"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     crowd = met.where(F.col("n") > CROWDED).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
     near = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = near.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
-    stars = near.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = near.join(least.hint("merge"), "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.union(stars).distinct()
 
 

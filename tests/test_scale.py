@@ -377,3 +377,15 @@ def test_z_order(spark):
     pairs = [(random.Random(i).randrange(1 << 31), random.Random(-i).randrange(1 << 31)) for i in range(1, 60)] + [(0, 0), (1, 0), (0, 1)]
     for r in spark.createDataFrame(pairs, "a long, b long").withColumn("z", store.z_order(F.col("a"), F.col("b"))).collect():
         assert r["z"] == sum((r["a"] >> k & 1) << 2 * k | (r["b"] >> k & 1) << 2 * k + 1 for k in range(31))
+
+
+def test_grid_points_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the exploded points for as short as the fingerprints; at 0.6 GB they were broadcast and the driver's memory did not do."""
+    from contactspark.llm import simhash
+
+    plans, kept = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.append(df) or kept(df, name))
+    pairs = simhash.links(kept(spark.range(500).select(F.xxhash64("id").alias("fp")), "prints"))
+    for df in (*plans, pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
