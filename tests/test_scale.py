@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactspark.functions import coords, ranges
-from contactspark.operators import blocks, calls, cluster, evaluate, expected, maps, scoring
+from contactspark.operators import blocks, calls, cluster, evaluate, expected, maps, scoring, windows
 from contactspark.plans import jobs
 from contactspark.sources import readers, store
 
@@ -389,3 +389,12 @@ def test_grid_points_are_not_broadcast(spark, monkeypatch):
     for df in (*plans, pairs):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_windows_of_few_chromosomes_and_boxes_are_dealt_out(spark):
+    """Short tables that grow: no task makes most of the windows of a chromosome or of a box."""
+    sizes = spark.createDataFrame([(0, "a", 400_000)], "chrom_idx int, chrom string, length long")
+    found = [windows.full_map_windows(sizes, 1000, 8, 4)]
+    for df in found:
+        tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) > 1 and max(tasks) < 0.6 * sum(tasks)
