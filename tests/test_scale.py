@@ -394,7 +394,7 @@ def test_grid_points_are_not_broadcast(spark, monkeypatch):
 def test_windows_of_few_chromosomes_and_boxes_are_dealt_out(spark):
     """Short tables that grow: no task makes most of the windows of a chromosome or of a box."""
     sizes = spark.createDataFrame([(0, "a", 400_000)], "chrom_idx int, chrom string, length long")
-    found = [windows.full_map_windows(sizes, 1000, 8, 4)]
-    for df in found:
+    box = spark.createDataFrame([("a", 0, 0, 100, 100)], "box_id string, x0 long, y0 long, width long, height long")
+    for df in (windows.full_map_windows(sizes, 1000, 8, 4), windows.box_windows(box, 8)):
         tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
         assert len(tasks) > 1 and max(tasks) < 0.6 * sum(tasks)
