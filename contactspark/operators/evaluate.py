@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import functools
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import floor_div
-from .cluster import chains
 
-#: Runs of positions that are swept together.
-RUNS = 1000
 SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
@@ -37,36 +34,39 @@ def match_calls(results: DataFrame, answers: DataFrame, tol: int = 100, crossed:
 def matched_one_to_one(results: DataFrame, answers: DataFrame, tol: int = 100, crossed: bool = True, key: str = "result_id") -> DataFrame:
     """results with found_x and found_y, where each answer's side is met by one result at most; as many as can be are.
 
-    Both lists lie on a line for each side, sorted. Points farther apart than tol from the one before begin a run, and nothing is matched across
-    runs; a run is swept once: the foremost result and answer are a pair if they are near enough, else the one behind is left. Of equal positions
-    the result of the least key comes first. Runs are dealt out some at a time, in order; only a run, a chain of neighbours within tol, needs one task. Keys and positions of results are not null.
+    Both lists lie on a line for each side, sorted, and are swept once: the foremost result and answer are a pair if they are near enough, else the one behind
+    is left. Of equal positions the result of the least key comes first. What is swept is a row a position, with the numbers of results and answers there, in
+    order and as a stream: a task for each side, which holds only the positions within tol of where it is. So it gets no more rows than a genome has bins,
+    however many results. Results then look up how many of their position are met. Keys and positions of results are not null.
     """
-    at = lambda df, side, c, of, kind: df.select(F.lit(side).alias("side"), F.col(c).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(kind).alias("_kind"), of.alias("_key")).where("x is not null")
-    a, b = ("bp_2", "bp_1") if crossed else ("bp_1", "bp_2")
-    none = F.lit(None).cast(results.schema[key].dataType)
-    parts = [at(results, "x", "bp_1", F.col(key), 0), at(results, "y", "bp_2", F.col(key), 0), at(answers, "x", a, none, 1), at(answers, "y", b, none, 1)]
-    points = functools.reduce(DataFrame.unionByName, parts)
-    linked = chains(points, ["side"], F.col("dist2") > tol * tol)
-    kind = results.schema[key].dataType.simpleString()
-
-    def sweep(f: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = f[f["_kind"] == 0].sort_values(["x", "_key"]), np.sort(f.loc[f["_kind"] == 1, "x"].to_numpy())
-        x, good, i, j = mine["x"].to_numpy(), np.zeros(len(mine), bool), 0, 0
-        while i < len(x) and j < len(theirs):
-            if abs(x[i] - theirs[j]) <= tol:
-                good[i] = True
-                i, j = i + 1, j + 1
-            elif x[i] < theirs[j]:
-                i += 1
-            else:
-                j += 1
-        return mine.loc[good, ["side", "_key"]]
-
-    found = linked.groupBy("side", F.expr(f"chain div {RUNS}")).applyInPandas(sweep, f"side string, _key {kind}")
+    at = lambda df, c, mine: df.where(F.col(c).isNotNull()).select(F.col(c).cast("long").alias("x"), F.lit(int(mine)).alias("r"), F.lit(int(not mine)).alias("a"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, theirs = deque(), deque()  # positions with results, and with answers, that are not met yet
+        for batch in batches:
+            spots, hits = [], []
+            for x, *counts in zip(*(batch[c].to_pylist() for c in ("x", "r", "a")), strict=True):
+                for waiting, n in zip((mine, theirs), counts, strict=True):
+                    while waiting and waiting[0][0] < x - tol:
+                        waiting.popleft()
+                    if n:
+                        waiting.append([x, n])
+                while mine and theirs:
+                    met = min(mine[0][1], theirs[0][1])
+                    spots.append(mine[0][0])
+                    hits.append(met)
+                    for waiting in (mine, theirs):
+                        waiting[0][1] -= met
+                        if not waiting[0][1]:
+                            waiting.popleft()
+            yield pa.RecordBatch.from_arrays([pa.array(spots, pa.int64()), pa.array(hits, pa.int64())], names=["_x", "hits"])
+
     out = results
-    for side in "xy":
-        hit = found.where(F.col("side") == side).select(F.col("_key").alias(key), F.lit(True).alias(f"found_{side}"))
-        out = out.join(hit, key, "left").withColumn(f"found_{side}", F.coalesce(f"found_{side}", F.lit(False)))
+    for side, c, other in (("x", "bp_1", "bp_2" if crossed else "bp_1"), ("y", "bp_2", "bp_1" if crossed else "bp_2")):
+        points = at(results, c, True).unionByName(at(answers, other, False)).groupBy("x").agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+        met = points.repartition(1).sortWithinPartitions("x").mapInArrow(sweep, "_x long, hits long").groupBy("_x").agg(F.sum("hits").alias("_hits"))
+        ranked = out.withColumns({"_x": F.col(c).cast("long"), "_rank": F.row_number().over(Window.partitionBy(F.col(c).cast("long")).orderBy(key))})
+        out = ranked.join(met, "_x", "left").withColumn(f"found_{side}", F.coalesce(F.col("_rank") <= F.col("_hits"), F.lit(False))).drop("_x", "_rank", "_hits")
     return out
 
 

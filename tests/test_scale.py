@@ -304,6 +304,15 @@ def test_one_to_one_is_a_largest_matching(spark, tol):
         assert evaluate.call_scores(got, answers).first()["recall"] <= 1
 
 
+def test_one_to_one_sweeps_positions_and_not_rows(spark):
+    """Very many results on few neighbouring positions are one run, which no task of Python may get as a whole: it gets a row a position."""
+    spots = spark.range(20_000).select(F.col("id").alias("result_id"), (F.col("id") % 50).alias("bp_1"), (F.col("id") % 50).alias("bp_2"))
+    found = evaluate.matched_one_to_one(spots, spots.where("result_id % 2 = 0"), 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") == 2
+    assert found.agg(F.count_if("found_x"), F.count_if("found_y"), F.count("*")).first()[:] == (10_000, 10_000, 20_000)
+
+
 # --- networks
 
 
