@@ -407,3 +407,21 @@ def test_windows_of_few_chromosomes_and_boxes_are_dealt_out(spark):
     for df in (windows.full_map_windows(sizes, 1000, 8, 4), windows.box_windows(box, 8)):
         tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
         assert len(tasks) > 1 and max(tasks) < 0.6 * sum(tasks)
+
+
+def test_training_patches_go_by_blocks(spark):
+    """A window is shuffled once and a cell four times at most: no cells are gathered by window. Values are those of plain loops."""
+    rng = np.random.default_rng(5)
+    a = np.triu(np.where(rng.random((60, 60)) < 0.6, 0, rng.integers(1, 50, (60, 60))))
+    rows = [(s, 0, i, 0, j, int(a[i, j]) + (s == "clean")) for i in range(60) for j in range(i, 60) if a[i, j] for s in ("test", "clean")]
+    cells = spark.createDataFrame(rows, "sample string, chrom1_idx int, bin1 long, chrom2_idx int, bin2 long, count long")
+    sizes = spark.createDataFrame([(0, "a", 59_999)], "chrom_idx int, chrom string, length long")
+    w = spark.createDataFrame([(k, 1, 0, 0, int(x), int(y)) for k, (x, y) in enumerate(rng.integers(4, 56, (40, 2)))] + [(40, 1, 0, 0, None, None)], "k int, label_idx int, chrom1_idx int, chrom2_idx int, x long, y long")
+    out = jobs.training_patches(w, cells, sizes, 1000, 8, ("k",))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    v = np.where(a > 0, np.log10(np.maximum(a, 1)) - np.log10(a + 1) + 1e-6, 0.0)
+    lo, hi = v.min(), max(v.max(), 0.0)
+    v = 2 * (v + np.triu(v, 1).T - lo) / (hi - lo) - 1
+    got, at = {r["k"]: r["values"] for r in out.collect()}, {r["k"]: (r["x"], r["y"]) for r in w.collect()}
+    assert len(got) == 41 and np.allclose(got[40], 2 * (0 - lo) / (hi - lo) - 1)
+    assert all(np.allclose(got[k], v[x - 4 : x + 4, y - 4 : y + 4].ravel()) for k, (x, y) in at.items() if k < 40)
